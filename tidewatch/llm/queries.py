@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format
+from tidewatch.llm import chat_format, packing, quality_rules
 from tidewatch.llm.common import table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -60,7 +60,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_tokenizer_path() -> str:
+    """Where the public tokenizer's file lies; nothing is copied from it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer_path())
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word rules and cross-document line frequency over all documents."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
 }
 
