@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, packing, quality_rules
-from tidewatch.llm.common import table
+from tidewatch.llm import chat_format, language_id, packing, quality_rules
+from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
@@ -77,7 +77,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
