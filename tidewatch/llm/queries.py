@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, language_id, packing, quality_rules
+from tidewatch.llm import chat_format, language_id, packing, pu_quality, quality_rules
 from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -84,7 +84,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+#: Scores from here on count as good.
+GOOD = 0.7
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learned from trusted positives and unlabelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = docs.where(~held_out(F.col("doc_id"))).select("doc_id")
+    scored = pu_quality.score(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), learn)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op7_language_id": op7_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op8_packing": op8_packing,
