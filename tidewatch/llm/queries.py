@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, language_id, packing, pu_quality, quality_rules
+from tidewatch.llm import chat_format, language_id, packing, pii, pu_quality, quality_rules
 from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -96,7 +96,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_pii": op4_pii,
     "op1_quality_classifier": op1_quality_classifier,
     "op7_language_id": op7_language_id,
     "op3_quality_rules": op3_quality_rules,
