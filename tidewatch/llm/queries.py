@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, language_id, packing, pii, pu_quality, quality_rules
+from tidewatch.llm import chat_format, language_id, minhash, packing, pii, pu_quality, quality_rules
 from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -101,7 +101,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_minhash": op10_minhash,
     "op4_pii": op4_pii,
     "op1_quality_classifier": op1_quality_classifier,
     "op7_language_id": op7_language_id,
