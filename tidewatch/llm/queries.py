@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, language_id, minhash, packing, pii, pu_quality, quality_rules
+from tidewatch.llm import chat_format, cover_tree, language_id, minhash, packing, pii, pu_quality, quality_rules
 from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -106,7 +106,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all embeddings."""
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
+    "op5_cover_tree": op5_cover_tree,
     "op10_minhash": op10_minhash,
     "op4_pii": op4_pii,
     "op1_quality_classifier": op1_quality_classifier,
@@ -119,6 +125,21 @@ QUERIES = {
 _TEMPLATE = "'### ' || replace(replace(replace(replace(role, chr(92), chr(92) || 'b'), '#', chr(92) || 'h'), '<', chr(92) || 'l'), ':', chr(92) || 'c') || ': ' || replace(replace(replace(text, chr(92), chr(92) || 'b'), '#', chr(92) || 'h'), '<', chr(92) || 'l') || '</turn>' || chr(10)"
 
 ORACLE_SQL = {
+    "op5_cover_tree": """
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN deg ON deg.a = e.vec_id LEFT JOIN comp ON comp.a = e.vec_id""",
     "op9_chat_format": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
