@@ -117,8 +117,8 @@ def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: flo
     return seen.groupBy("host", "h", "docs", "limit").agg(F.count(F.lit(1)).alias("witnesses")).where(F.col("witnesses") > F.col("limit")).select("host", "h", "docs", "witnesses")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """doc_id, the counts, base_failed, n_removed_lines, n_words_left, kept: a row for each row of docs."""
+def judge_contents(docs: DataFrame, min_docs: int, max_share: float, min_left: float) -> DataFrame:
+    """The rows of judge(), with the host and the hash of the text that the verdict belongs to."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
     measured = scratch.keep(measure(docs))
     remove = scratch.keep(frequent_lines(measured, min_docs, max_share, scratch))
@@ -136,12 +136,18 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
         .join(rows.alias("b"), F.col("a.host").eqNullSafe(F.col("b.source")) & (F.col("a.content") == F.col("b.content")))
         .select("a.host", "a.content", F.expr("removed_rows div copies").alias("n_removed_lines"), F.expr("removed_words div copies").alias("removed_words"))
     )
+    return verdicts(measured, removed, min_left)
+
+
+def verdicts(measured: DataFrame, removed: DataFrame, min_left: float) -> DataFrame:
     return (
         measured.drop("lines")
         .alias("a")
         .join(removed.alias("b"), F.col("a.source").eqNullSafe(F.col("b.host")) & (F.col("a.content") == F.col("b.content")), "left")
         .select(
             "doc_id",
+            "a.source",
+            "a.content",
             "n_words",
             "word_chars",
             "n_symbols",
@@ -153,3 +159,14 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
         )
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= F.col("n_words") * min_left))
     )
+
+
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """doc_id, the counts, base_failed, n_removed_lines, n_words_left, kept: a row for each row of docs."""
+    return judge_contents(docs, min_docs, max_share, min_left).drop("source", "content")
+
+
+def keep(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    out = judge_contents(docs, min_docs, max_share, min_left).where(~F.col("kept")).select(F.col("source").alias("source__"), F.col("content").alias("content__")).distinct()
+    return docs.join(out, F.col("source").eqNullSafe(F.col("source__")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("content__")), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, cover_tree, language_id, minhash, packing, pii, pu_quality, quality_rules
+from tidewatch.llm import chat_format, cover_tree, language_id, minhash, mixing, packing, pii, pu_quality, quality_rules
 from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -111,7 +111,14 @@ def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring the domains' token totals to their target weights."""
+    rated = mixing.copies(mixing.rates(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")))
+    return rated.select("doc_id", "n_tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)], "rate", "copies")
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op5_cover_tree": op5_cover_tree,
     "op10_minhash": op10_minhash,
     "op4_pii": op4_pii,
