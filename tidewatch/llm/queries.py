@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, cover_tree, language_id, minhash, mixing, packing, pii, pu_quality, quality_rules
+from tidewatch.llm import chat_format, cover_tree, language_id, minhash, mixing, packing, pii, pu_quality, quality_rules, suffix_dedup
 from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -117,7 +117,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)], "rate", "copies")
 
 
+def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long repeats across all documents, removed where a smaller id has them."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_run_index": op6_run_index,
     "op2_mixing": op2_mixing,
     "op5_cover_tree": op5_cover_tree,
     "op10_minhash": op10_minhash,
