@@ -75,7 +75,7 @@ def id_ok(text: Column) -> Column:
 
 def allow_list(ids: Column) -> Column:
     """'1, 2,,3' as numbers."""
-    return F.transform(F.filter(F.transform(F.split(ids, ","), F.trim), lambda x: x != ""), lambda x: x.cast("bigint"))
+    return F.transform(F.filter(F.transform(F.split(ids, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast("bigint"))
 
 
 def label(code: Column, labels: dict[str, str], missing: str | None = None) -> Column:

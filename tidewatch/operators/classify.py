@@ -117,4 +117,4 @@ def trace_line(trace: Column, relevant: Column, event: Column, where: Column, ra
 def keyword_counts(rows: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """Rows that match each pattern of a small table (grp, pattern), by a broadcast theta join."""
     lower = rows.select(F.lower(text).alias("lower"))
-    return patterns.hint("broadcast").join(lower, F.col("lower").rlike(F.col("pattern")), "left").groupBy("grp", "pattern").agg(F.count("lower").alias("n"))
+    return patterns.hint("broadcast").join(lower, F.regexp_like("lower", F.col("pattern")), "left").groupBy("grp", "pattern").agg(F.count("lower").alias("n"))

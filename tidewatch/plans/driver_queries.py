@@ -1,11 +1,423 @@
-"""The engine's registered queries and the SQL they are checked against."""
+"""The engine's registered queries over the driver's tables, and the SQL that each is checked against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.catalog import EVENT_ORDER, STATUS_LABELS, SYNTHETIC
+from tidewatch.functions import dates, textmatch, urls
+from tidewatch.operators import classify, ingest, lifecycle, reports
+from tidewatch.session import table
+from tidewatch.sources import listings
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
+C = SYNTHETIC
+
+
+def query(sql: str):
+    """Registers a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def big(column) -> F.Column:
+    return column.cast("bigint")
+
+
+# --- pieces of SQL ------------------------------------------------------------------------
+
+
+def sql_any(words, text: str = "low") -> str:
+    """Whether a lower-cased text holds any keyword; the patterns are the engine's, read by another engine."""
+    return "(" + " OR ".join(f"regexp_matches({text}, '{textmatch.keyword_pattern(w)}')" for w in words) + ")" if words else "false"
+
+
+def sql_found(words, text: str = "low") -> str:
+    return "concat_ws(', ', " + ", ".join(f"CASE WHEN regexp_matches({text}, '{textmatch.keyword_pattern(w)}') THEN '{w}' END" for w in words) + ")"
+
+
+_EVENT = "CASE " + " ".join(f"WHEN {sql_any(C.events[e])} THEN '{e}'" for e in EVENT_ORDER) + " ELSE 'review' END"
+_REGION = "CASE WHEN source IN ('src0','src1') THEN 'moscow' WHEN source IN ('src2','src3','src4','src5','src6') THEN 'rf' ELSE 'undefined' END"
+_PRIORITY = f"CASE WHEN NOT {sql_any(C.markers)} THEN 'low' WHEN region = 'undefined' THEN 'medium' WHEN {sql_any(C.high)} THEN 'high' ELSE 'medium' END"
+_CLASSIFIED = f"""WITH d AS (SELECT doc_id, source, lower(text || ' ') AS low FROM documents), r AS (
+  SELECT *, {_REGION} AS region, {_EVENT} AS event_type, {", ".join(f"{sql_any(w)} AS {k}" for k, w in C.situations.items())}, {sql_any(C.topic)} AS topic FROM d
+), c AS (SELECT *, {_PRIORITY} AS priority, (cat_a OR cat_b OR cat_c) AND topic AS is_relevant FROM r)
+"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"), F.col("source").alias("source_key"))
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(_documents(spark, sf_dir), C, summary=None)
+
+
+def _lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.lower(textmatch.publication_text(F.col("title"), F.lit(None).cast("string"))).alias("low"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance by priority."""
+    return _classified(spark, sf_dir).groupBy("is_relevant", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- classification -------------------------------------------------------------------------
+
+
+@query(_CLASSIFIED + "SELECT doc_id, cat_a, cat_b, cat_c, topic, is_relevant FROM c")
+def q01_relevance(spark, sf_dir):
+    low = F.col("low")
+    return _lower(spark, sf_dir).select("doc_id", *[textmatch.contains_any(low, w).alias(k) for k, w in C.situations.items()], textmatch.contains_any(low, C.topic).alias("topic"), classify.is_relevant(low, C).alias("is_relevant"))
+
+
+_ALL_WORDS = tuple(dict.fromkeys(w for g in (*C.situations.values(), C.topic, C.markers, C.high) for w in g))
+
+
+@query(f"WITH d AS (SELECT doc_id, lower(text || ' ') AS low FROM documents) SELECT doc_id, {sql_found(_ALL_WORDS)} AS found FROM d")
+def q02_matched_keywords(spark, sf_dir):
+    return _lower(spark, sf_dir).select("doc_id", F.array_join(textmatch.find_matches(F.col("low"), _ALL_WORDS), ", ").alias("found"))
+
+
+@query(_CLASSIFIED + "SELECT category, count(*) AS n FROM (SELECT 'cat_a' AS category FROM c WHERE cat_a UNION ALL SELECT 'cat_b' FROM c WHERE cat_b UNION ALL SELECT 'cat_c' FROM c WHERE cat_c) GROUP BY category")
+def q03_category_counts(spark, sf_dir):
+    return _classified(spark, sf_dir).select(F.explode("categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_CLASSIFIED + "SELECT doc_id, event_type FROM c")
+def q04_event_type(spark, sf_dir):
+    return _lower(spark, sf_dir).select("doc_id", classify.event_type(F.col("low"), C).alias("event_type"))
+
+
+@query(_CLASSIFIED + "SELECT doc_id, region FROM c")
+def q05_region(spark, sf_dir):
+    regional = spark.createDataFrame([(s.domain, code, k) for k, (code, sources) in enumerate(C.regions) for s in sources], "domain string, code string, ord int")
+    federal = spark.createDataFrame([(s.domain,) for s in C.federal], "domain string")
+    return classify.region_by_join(_documents(spark, sf_dir).select("doc_id", "source_key"), regional, federal).select("doc_id", "region")
+
+
+@query(_CLASSIFIED + "SELECT doc_id, priority FROM c")
+def q06_priority(spark, sf_dir):
+    return _classified(spark, sf_dir).select("doc_id", "priority")
+
+
+def _sql_trace() -> str:
+    cats = "concat_ws(', ', " + ", ".join(f"CASE WHEN {k} THEN '{k} (по ''' || {sql_found(w)} || ''')' END" for k, w in C.situations.items()) + ")"
+    part = lambda name, words: f"CASE WHEN {sql_any(words)} THEN '{name}: ''' || {sql_found(words)} || '''' END"
+    return (
+        _CLASSIFIED
+        + f"""SELECT doc_id, concat_ws(' | ', 'ЖС: ' || CASE WHEN cat_a OR cat_b OR cat_c THEN {cats} ELSE 'нет совпадений' END,
+  CASE WHEN topic THEN 'тематический блок: да (''' || {sql_found(C.topic)} || ''')' ELSE 'тематический блок: нет совпадений' END,
+  CASE WHEN is_relevant THEN 'РЕЛЕВАНТНО' ELSE 'не релевантно' END, {part("маркер документа", C.markers)}, {part("слово приоритета", C.high)},
+  'тип события: ' || event_type || '; регион: ' || region || '; приоритет: ' || priority) AS trace_line FROM c"""
+    )
+
+
+@query(_sql_trace())
+def q07_trace(spark, sf_dir):
+    return classify.explain(_documents(spark, sf_dir), C, summary=None).select("doc_id", "trace_line")
+
+
+@query(_CLASSIFIED + "SELECT category, priority, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN cat_a THEN 'cat_a' END, CASE WHEN cat_b THEN 'cat_b' END, CASE WHEN cat_c THEN 'cat_c' END], lambda x: x IS NOT NULL)) AS category, priority FROM c) GROUP BY category, priority")
+def q08_category_priority(spark, sf_dir):
+    return _classified(spark, sf_dir).select(F.explode("categories").alias("category"), "priority").groupBy("category", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PATTERNS = [(g, textmatch.keyword_pattern(w)) for g, words in (*C.situations.items(), ("topic", C.topic), ("markers", C.markers)) for w in words]
+
+
+@query("SELECT grp, pattern, count(low) AS n FROM (VALUES " + ", ".join(f"('{g}', '{p}')" for g, p in _PATTERNS) + ") p(grp, pattern) LEFT JOIN (SELECT lower(text) AS low FROM documents) d ON regexp_matches(low, pattern) GROUP BY grp, pattern")
+def q09_keyword_join(spark, sf_dir):
+    return classify.keyword_counts(table(spark, sf_dir, "documents"), spark.createDataFrame(_PATTERNS, "grp string, pattern string"))
+
+
+# --- links and pages --------------------------------------------------------------------------
+
+_HOST = "lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1))"
+_DOMAINS = ["example.com", "site1.example.org", "example.net"]
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages")
+def q10_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+
+
+@query(f"SELECT page_id, h AS host FROM (SELECT page_id, {_HOST} AS h FROM pages) WHERE " + " OR ".join(f"h = '{d}' OR ends_with(h, '.{d}')" for d in _DOMAINS))
+def q11_allowed_domains(spark, sf_dir):
+    domains = spark.createDataFrame([(d,) for d in _DOMAINS], "domain string")
+    return urls.allowed(table(spark, sf_dir, "pages").select("page_id", "url"), domains).select("page_id", "host")
+
+
+@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
+def q12_page_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", listings.title_of(F.col("html")).alias("title"))
+
+
+@query("SELECT href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY href")
+def q13_hrefs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.explode(listings.hrefs(F.col("html"))).alias("href")).groupBy("href").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def q14_json_field(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+
+
+_DATES = ["24 июля 2026 года", "опубликовано 1 Марта 2025 г.", "32 мая 2026", "5 смарта 2026", "нет даты", "вступает в силу с 1 сентября 2026 г.", "вступил в силу 31 июня 2026 г.", "вступила в силу со дня его официального опубликования", ""]
+_MONTH = "CASE m " + " ".join(f"WHEN '{k}' THEN '{v:02}'" for k, v in dates.MONTHS.items()) + " END"
+
+
+@query(
+    "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(_DATES)) + ") v(id, s)), x AS (SELECT id, lower(s) AS s FROM t), "
+    "f AS (SELECT id, s, regexp_extract(s, '(\\d{1,2})[\\s\\p{Z}]+([а-яё]+)[\\s\\p{Z}]+(\\d{4})', ['d', 'm', 'y']) AS g, regexp_extract(s, 'вступ(?:ает|ил|ила)[\\s\\p{Z}]+в[\\s\\p{Z}]+силу[\\s\\p{Z}]+(?:с[\\s\\p{Z}]+)?(\\d{1,2})[\\s\\p{Z}]+([а-яё]+)[\\s\\p{Z}]+(\\d{4})[\\s\\p{Z}]*г', ['d', 'm', 'y']) AS e FROM x) "
+    f"SELECT id, strftime(TRY_CAST(g.y || '-' || {_MONTH.replace('CASE m', 'CASE g.m')} || '-' || lpad(g.d, 2, '0') AS DATE), '%Y-%m-%d') AS found, strftime(coalesce(TRY_CAST(e.y || '-' || {_MONTH.replace('CASE m', 'CASE e.m')} || '-' || lpad(e.d, 2, '0') AS DATE), CASE WHEN s LIKE '%силу со дня%' THEN DATE '2026-08-20' END), '%Y-%m-%d') AS effective FROM f"
+)
+def q15_dates(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(_DATES)), "id int, s string")
+    effective = dates.effective_date(F.col("s"), F.lit("2026-08-20 06:00:00").cast("timestamp"))
+    return rows.select("id", dates.russian_date(F.col("s")).cast("string").alias("found"), effective.cast("string").alias("effective"))
+
+
+_TYPES = ["text/html; charset=utf-8", " Text/Plain ", "application/pdf", "video/mp4", ""]
+_TIMES = ["2026-08-20T10:00:00", "2026-08-20T10:00:00+04:00", "2026-08-20", "nonsense", "2026-13-01"]
+_STAMPS = ["2026-08-20 10:11:12", "2026-02-30 00:00:00", "", "2026-08-20", "x"]
+_DOTTED = ["20.08.2026", "31.02.2026", "1.9.2026", "", "x"]
+_FEED_TIMES = ["Thu, 20 Aug 2026 10:00:00 +0300", "20 Aug 2026 10:00:00 GMT", "x", "", "Thu, 20 Aug 2026 10:00:00 +0000"]
+_Q16 = list(zip(range(5), _TYPES, _TIMES, _STAMPS, _DOTTED, _FEED_TIMES, strict=True))
+
+
+@query("""SELECT * FROM (VALUES
+  (0, true, '2026-08-20 07:00:00', '2026-08-20 07:11:12', '2026-08-19 21:00:00', '2026-08-20 07:00:00'),
+  (1, true, '2026-08-20 06:00:00', NULL, NULL, '2026-08-20 10:00:00'),
+  (2, true, '2026-08-19 21:00:00', NULL, '2026-08-31 21:00:00', NULL),
+  (3, false, NULL, NULL, NULL, NULL),
+  (4, false, NULL, NULL, NULL, '2026-08-20 10:00:00')) v(id, is_text, iso, stamp, dotted, feed)""")
+def q16_formats(spark, sf_dir):
+    rows = spark.createDataFrame(_Q16, "id int, kind string, iso string, stamp string, dotted string, feed string")
+    said = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return rows.select("id", urls.is_text(F.col("kind")).alias("is_text"), said(dates.iso_moscow(F.col("iso"))).alias("iso"), said(dates.moscow_stamp(F.col("stamp"))).alias("stamp"), said(dates.dotted_moscow(F.col("dotted"))).alias("dotted"), said(dates.feed_date(F.col("feed"))).alias("feed"))
+
+
+# --- ingest -------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, user_id FROM (SELECT event_id, user_id, max(CASE WHEN value < 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM events) WHERE stop = 0""")
+def q20_prefix_stop(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    place = F.struct(-F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"))
+    return ingest.prefix_stop_by_bound(rows.select("event_id", "user_id", "ts", "value"), "user_id", place, F.coalesce(F.col("value") < 1, F.lit(False))).select("event_id", "user_id")
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def q21_first_wins(spark, sf_dir):
+    return ingest.first_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], F.struct("ts", "event_id")).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT DISTINCT user_id, k FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, ts FROM events) e WHERE ts >= TIMESTAMP '2024-01-05' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-05' AND s.user_id = e.user_id AND CAST(json_extract_string(s.props, '$.k') AS INTEGER) = e.k)")
+def q22_unseen(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), "ts")
+    cut = F.lit("2024-01-05").cast("timestamp_ntz")
+    return ingest.unseen(rows.where(F.col("ts") >= cut).select("user_id", "k").distinct(), rows.where(F.col("ts") < cut), ["user_id", "k"])
+
+
+_NOW = "2024-01-20 00:00:00"
+
+
+@query(f"""SELECT t.event_type AS source_key, strftime(coalesce(s.moment, TIMESTAMP '{_NOW}' - INTERVAL 7 DAY), '%Y-%m-%d %H:%M:%S') AS since FROM (SELECT DISTINCT event_type FROM events) t
+  LEFT JOIN (VALUES ('view', TIMESTAMP '2024-01-02 03:00:00'), ('click', NULL), ('other', TIMESTAMP '2024-01-01')) s(k, moment) ON s.k = t.event_type""")
+def q23_window_start(spark, sf_dir):
+    state = spark.createDataFrame([("view", "2024-01-02 03:00:00"), ("click", None), ("other", "2024-01-01 00:00:00")], "source_key string, at string").select("source_key", F.col("at").cast("timestamp").alias("last_success_at"))
+    sources = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_key")).distinct()
+    return ingest.window_start(sources, state, F.lit(_NOW).cast("timestamp")).select("source_key", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query("SELECT event_type AS source_key, count(*) FILTER (value >= 50) AS fresh, count(*) FILTER (value < 50 AND value >= 10) AS duplicates, count(*) FILTER (value < 10) AS irrelevant, count(*) AS total FROM events GROUP BY event_type")
+def q24_counters(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_key")).agg(F.count_if(v >= 50).alias("fresh"), F.count_if((v < 50) & (v >= 10)).alias("duplicates"), F.count_if(v < 10).alias("irrelevant"), F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS kept FROM (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS moment FROM events) WHERE NOT coalesce(moment < TIMESTAMP '2024-01-15', false) GROUP BY event_type")
+def q25_late_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("at"))
+    return rows.where(~ingest.is_stale(F.col("at"), F.lit("2024-01-15").cast("timestamp_ntz"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("""SELECT coalesce(o.k, n.k) AS source_key, strftime(coalesce(n.moment, o.moment), '%Y-%m-%d %H:%M:%S') AS last_success_at, strftime(coalesce(n.d, o.d), '%Y-%m-%d') AS last_seen_publication_date
+  FROM (VALUES ('a', TIMESTAMP '2026-01-01', DATE '2026-01-01'), ('b', TIMESTAMP '2026-01-01', NULL), ('c', NULL, DATE '2025-12-31')) o(k, moment, d)
+  FULL JOIN (VALUES ('a', TIMESTAMP '2026-02-01', NULL), ('c', TIMESTAMP '2026-02-01', DATE '2026-01-31'), ('d', TIMESTAMP '2026-02-01', NULL)) n(k, moment, d) ON o.k = n.k""")
+def q26_state_upsert(spark, sf_dir):
+    made = lambda rows: spark.createDataFrame(rows, "source_key string, a string, d string").select("source_key", F.col("a").cast("timestamp").alias("last_success_at"), F.col("d").cast("date").alias("last_seen_publication_date"))
+    old = made([("a", "2026-01-01", "2026-01-01"), ("b", "2026-01-01", None), ("c", None, "2025-12-31")])
+    new = made([("a", "2026-02-01", None), ("c", "2026-02-01", "2026-01-31"), ("d", "2026-02-01", None)])
+    return ingest.merge_state(old, new).withColumns({"last_success_at": F.date_format("last_success_at", "yyyy-MM-dd HH:mm:ss"), "last_seen_publication_date": F.date_format("last_seen_publication_date", "yyyy-MM-dd")})
+
+
+# --- lifecycle ------------------------------------------------------------------------------------
+
+_REQUESTED = {"view": "in_progress", "click": "postponed", "error": "rejected", "purchase": "sent_to_agent", "signup": "completed"}
+_TO = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _REQUESTED.items()) + " END"
+_MOVES = "('new','in_progress'),('new','rejected'),('new','postponed'),('in_progress','postponed'),('in_progress','rejected'),('in_progress','sent_to_agent'),('postponed','in_progress'),('postponed','rejected'),('sent_to_agent','completed'),('rejected','new')"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT user_id, {_TO} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+m(a, b) AS (VALUES {_MOVES}),
+s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 'new' AS status, CAST(0 AS BIGINT) AS accepted FROM r
+  UNION ALL SELECT s.user_id, r.k, CASE WHEN m.a IS NULL THEN s.status ELSE r.t END, s.accepted + CASE WHEN m.a IS NULL THEN 0 ELSE 1 END
+  FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1 LEFT JOIN m ON m.a = s.status AND m.b = r.t)
+SELECT user_id, status, accepted, k - accepted AS refused FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS z FROM s) WHERE z = 1""")
+def q30_status_fold(spark, sf_dir):
+    requested = F.create_map(*[F.lit(x) for pair in _REQUESTED.items() for x in pair])
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", requested[F.col("event_type")].alias("to_status"))
+    return lifecycle.fold(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "status", "accepted", "refused")
+
+
+@query("SELECT event_type AS from_status, nxt AS to_status, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY 1, 2")
+def q31_status_pairs(spark, sf_dir):
+    rows = lifecycle.steps(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type")
+    return rows.where("next_status IS NOT NULL").groupBy(F.col("event_type").alias("from_status"), F.col("next_status").alias("to_status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'orders without customer' AS rule, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'labels without document', count(*) FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'repeated page url', count(*) FROM (SELECT url FROM pages GROUP BY url HAVING count(*) > 1)
+UNION ALL SELECT 'repeated event source', count(*) FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1)""")
+def q32_constraints(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    checks = {
+        "orders without customer": lifecycle.orphans(t("orders").select("o_custkey"), t("customer"), "o_custkey", "c_custkey"),
+        "labels without document": lifecycle.orphans(t("labels").select("doc_id"), t("documents"), "doc_id", "doc_id"),
+        "repeated page url": lifecycle.repeated(t("pages"), ["url"]),
+        "repeated event source": lifecycle.repeated(t("events"), ["user_id"]),
+    }
+    out = None
+    for rule, bad in checks.items():
+        one = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS history FROM events GROUP BY user_id")
+def q33_history_string(spark, sf_dir):
+    grouped = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("h"))
+    return grouped.select("user_id", F.array_join(F.transform("h", lambda x: x["event_type"]), ">").alias("history"))
+
+
+# --- reports ----------------------------------------------------------------------------------------
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as signals."""
+    status = F.when(F.col("o_orderstatus") == "O", "new").when(F.col("o_orderstatus") == "F", "completed").otherwise("in_progress")
+    level = F.when(F.col("o_orderpriority").startswith("1"), "high").when(F.col("o_orderpriority").startswith("2"), "medium").when(F.col("o_orderpriority").startswith("3"), "low").otherwise("none")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), status.alias("status"), level.alias("priority"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderpriority").alias("title"), "o_custkey"
+    )
+
+
+_SIGNALS = """WITH signals AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'F' THEN 'completed' ELSE 'in_progress' END AS status,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'medium' WHEN '3' THEN 'low' ELSE 'none' END AS priority, o_orderdate AS moment, o_orderpriority AS title, o_custkey FROM orders)
+"""
+
+
+@query(_SIGNALS + "SELECT id, status FROM signals WHERE status IN ('new', 'postponed') AND moment >= TIMESTAMP '1995-03-15' AND moment < TIMESTAMP '1995-03-16'")
+def q40_today(spark, sf_dir):
+    return reports.today(_signals(spark, sf_dir), F.lit("1995-03-15").cast("timestamp_ntz")).select("id", "status")
+
+
+@query(_SIGNALS + "SELECT id, strftime(moment, '%Y-%m-%d') AS day FROM signals WHERE status IN ('in_progress', 'postponed')")
+def q41_pending(spark, sf_dir):
+    return reports.pending(_signals(spark, sf_dir)).select("id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query(_SIGNALS + "SELECT id, strftime(moment, '%Y-%m-%d') AS day FROM signals WHERE status IN ('sent_to_agent', 'completed', 'rejected') ORDER BY moment DESC, id LIMIT 10")
+def q42_history(spark, sf_dir):
+    return reports.history(_signals(spark, sf_dir)).select("id", F.date_format("updated_at", "yyyy-MM-dd").alias("day"))
+
+
+_LABEL = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_LABELS.items()) + " ELSE status END"
+
+
+@query("SELECT event_type AS status, event_type AS label, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY GROUP BY event_type")
+def q43_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("status"), F.col("ts").alias("created_at"))
+    return reports.stats(rows, F.lit("2024-01-30").cast("timestamp_ntz"))
+
+
+@query(_SIGNALS + "SELECT id, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 9 END, moment, id) AS place FROM signals WHERE status IN ('new', 'postponed') AND moment >= TIMESTAMP '1998-01-01'")
+def q44_digest(spark, sf_dir):
+    rows = reports.digest(_signals(spark, sf_dir).where(F.col("created_at") >= F.lit("1998-01-01").cast("timestamp_ntz"))).select("id", "priority", "created_at")
+    # places in a global order: ranges are sorted apart and their counts added up, so that no task takes all rows
+    from pyspark.sql import Window
+
+    keyed = rows.select("id", reports.rank(F.col("priority")).alias("r"), "created_at").withColumn("day", F.to_date("created_at"))
+    before = keyed.groupBy("r", "day").agg(F.count(F.lit(1)).alias("n"))
+    sums = before.select("r", "day", (F.sum("n").over(Window.orderBy("r", "day").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
+    w = Window.partitionBy("r", "day").orderBy("created_at", "id")
+    return keyed.join(sums, ["r", "day"]).select("id", (F.row_number().over(w) + F.coalesce("before", F.lit(0))).cast("bigint").alias("place"))
+
+
+@query(_SIGNALS + "SELECT id, recipient, '⏰ Сигнал ' || id || ' в работе больше 3 дней: ' || title AS message FROM signals, (VALUES (CAST(11 AS BIGINT)), (12)) r(recipient) WHERE status = 'in_progress' AND moment < TIMESTAMP '1995-06-20' - INTERVAL 3 DAY")
+def q45_reminder(spark, sf_dir):
+    rows = reports.stale(_signals(spark, sf_dir), F.lit("1995-06-20").cast("timestamp_ntz"))
+    return reports.addressed(rows, [11, 12]).select("id", "recipient", reports.reminder(rows).alias("message"))
+
+
+@query(_SIGNALS + f"""SELECT id, concat_ws(chr(10), '🆔 <b>' || id || '</b> · ' || CASE priority WHEN 'high' THEN '🔴 Высокий' WHEN 'medium' THEN '🟡 Средний' WHEN 'low' THEN '🟢 Низкий' ELSE priority END, '<b>' || title || '</b>',
+  'ЖС: ' || CASE WHEN id % 3 = 0 THEN '—' WHEN id % 3 = 1 THEN 'ВБД' ELSE 'Инвалиды, x' END, 'Тип: ' || CASE WHEN id % 2 = 0 THEN 'Обзор' ELSE '—' END, 'Регион: ' || CASE WHEN id % 2 = 0 THEN 'РФ' ELSE 'zz' END,
+  'Статус: ' || {_LABEL}, 'Дата: ' || strftime(moment, '%d.%m.%Y %H:%M'), CASE WHEN id % 5 = 0 THEN '🔗 http://x/' || id END) AS card FROM signals WHERE id % 10 < 4""")
+def q46_cards(spark, sf_dir):
+    i = F.col("id")
+    cats = F.when(i % 3 == 0, F.array().cast("array<string>")).when(i % 3 == 1, F.array(F.lit("veterans"))).otherwise(F.array(F.lit("disabled"), F.lit("x")))
+    rows = _signals(spark, sf_dir).where(i % 10 < 4)
+    rows = rows.withColumns({"categories": cats, "event_type": F.when(i % 2 == 0, "review"), "region": F.when(i % 2 == 0, "rf").otherwise("zz"), "source_url": F.when(i % 5 == 0, F.concat(F.lit("http://x/"), i.cast("string")))})
+    return rows.select("id", reports.card().alias("card"))
+
+
+@query(f"SELECT host FROM (SELECT {_HOST} AS host FROM pages UNION SELECT 'example.com' UNION SELECT 'mos.ru')")
+def q50_domain_union(spark, sf_dir):
+    known = spark.createDataFrame([("example.com",), ("mos.ru",)], "host string")
+    return table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host")).union(known).distinct()
+
+
+@query(_SIGNALS + """, cats AS (SELECT l_orderkey AS id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey)
+SELECT s.id, coalesce(flags, '') AS flags FROM signals s LEFT JOIN cats ON cats.id = s.id""")
+def q51_nested_categories(spark, sf_dir):
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("signal_id"), F.col("l_returnflag").alias("category"))
+    return reports.with_categories(_signals(spark, sf_dir).select("id"), links).select("id", F.array_join("categories", ",").alias("flags"))
+
+
+@query("SELECT event_type AS source_key, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT source, count(*) FROM documents GROUP BY 1")
+def q52_concat_sources(spark, sf_dir):
+    a = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_key")).agg(F.count(F.lit(1)).alias("n"))
+    return a.unionByName(table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_key")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT event_id, CAST(date_diff('second', ts, CASE WHEN date_trunc('day', ts) + INTERVAL 8 HOUR <= ts THEN date_trunc('day', ts) + INTERVAL 32 HOUR ELSE date_trunc('day', ts) + INTERVAL 8 HOUR END) AS BIGINT) AS wait FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+def q53_next_digest(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    return rows.select("event_id", big(dates.seconds_until(F.col("ts"), 8)).alias("wait"))
+
+
+@query("SELECT page_id, CASE WHEN length(trim(left(html, page_id % 40))) < 20 THEN 'OCR ' || page_id ELSE trim(left(html, page_id % 40)) END AS body FROM pages")
+def q54_text_layer(spark, sf_dir):
+    i = F.col("page_id")
+    return table(spark, sf_dir, "pages").select("page_id", urls.page_text(F.left(F.col("html"), (i % 40).cast("int")), F.concat(F.lit("OCR "), i.cast("string"))).alias("body"))
+
+
+_LINKS = ["https://x/1", "SKIP", "ftp://x", "12a", "77"]
+
 
-def flagship(spark, sf_dir):
-    """Replaced as the classification rules land."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+@query("SELECT * FROM (VALUES (0, true, false, '1,2,3'), (1, true, false, '1,2,3'), (2, false, false, '1,2,3'), (3, false, false, '1,2,3'), (4, false, true, '1,2,3')) v(id, link_ok, id_ok, allowed)")
+def q55_arguments(spark, sf_dir):
+    s = F.col("s")
+    return spark.createDataFrame(list(enumerate(_LINKS)), "id int, s string").select("id", urls.link_ok(s).alias("link_ok"), urls.id_ok(s).alias("id_ok"), F.array_join(urls.allow_list(F.lit("1, 2,,3")), ",").alias("allowed"))
