@@ -112,6 +112,8 @@ class PageReader(DataSourceReader):
         return [InputPartition(u) for u in self.urls]
 
     def read(self, partition):
+        if partition is None:  # no addresses
+            return
         try:
             status, kind, text = fetch(partition.value, self.access, self.proxy)
             yield partition.value, True, status, kind, text, None
