@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, cover_tree, language_id, minhash, mixing, packing, pii, pu_quality, quality_rules, suffix_dedup
+from tidewatch.llm import chat_format, cover_tree, language_id, minhash, mixing, oracle, packing, pii, pu_quality, quality_rules, suffix_dedup
 from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -138,6 +138,9 @@ QUERIES = {
 _TEMPLATE = "'### ' || replace(replace(replace(replace(role, chr(92), chr(92) || 'b'), '#', chr(92) || 'h'), '<', chr(92) || 'l'), ':', chr(92) || 'c') || ': ' || replace(replace(replace(text, chr(92), chr(92) || 'b'), '#', chr(92) || 'h'), '<', chr(92) || 'l') || '</turn>' || chr(10)"
 
 ORACLE_SQL = {
+    "op3_quality_rules": oracle.QUALITY_RULES,
+    "op6_run_index": oracle.REPEATS,
+    "op10_minhash": oracle.NEAR_DUPLICATES,
     "op5_cover_tree": """
 WITH RECURSIVE vecs AS (
   SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
