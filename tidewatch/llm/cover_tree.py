@@ -34,7 +34,8 @@ BLOCK = 4096
 MAX_CELLS = 512
 #: Added to every bound that is found in single precision.
 MARGIN = 2e-3
-ROOT = 2.0
+#: The radius from which levels halve. Coarser levels prune nothing: their nodes reach further than vectors lie apart.
+ROOT = 1.0
 LEAF = 0.05
 
 
