@@ -119,7 +119,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(width):
         key = (key << 9) | np.roll(text, -k).astype(np.int64)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]).cumsum()
         rank = np.empty(n, np.int64)

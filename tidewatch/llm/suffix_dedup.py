@@ -10,8 +10,8 @@ anchor in a row, with their bytes, are its context (``WINDOW`` bytes plus some).
 
 1. Anchors of all documents go, as packed hashes, to shards by hash; those seen in one document only are dropped.
 2. The contexts of the others go to shards by anchor, compressed.
-3. A shard resolves anchors with a single distinct context at once (one run: the smallest id has it first);
-   over the distinct contexts of all others it builds a run-length index (``run_index``), streams every context
+3. A shard resolves contexts that share no window with another one at once (one run: the smallest id has it first);
+   over the distinct contexts of all others, which agree with another in the anchor and the half window on one side of it, it builds a run-length index (``run_index``), streams every context
    through it, and gets for each window the smallest id that holds it.
 4. The windows found go back to their documents as bit masks, and the documents are cut.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,8 +70,8 @@ def hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return both(h[: -(k - width)], h[k - width :]) if width < k else h
 
 
-def contexts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each context of a text of at least WINDOW bytes."""
+def contexts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window, number of windows and the anchor's place in it of each context of a text of at least WINDOW bytes."""
     found = []
     n = len(raw) - WINDOW + 1
     for at in range(0, n, SLICE):
@@ -84,9 +85,9 @@ def contexts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             low = np.minimum(low[: -(span - width)], low[span - width :])
         place = (low & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        found.append((h[place[first]], first + at, np.diff(first, append=len(place))))
-    a, b, c = (np.concatenate(v) for v in zip(*found, strict=True))
-    return (a * _M1) ^ (a >> np.uint64(32)), b, c
+        found.append((h[place[first]], first + at, np.diff(first, append=len(place)), place[first] - first))
+    a, b, c, d = (np.concatenate(v) for v in zip(*found, strict=True))
+    return (a * _M1) ^ (a >> np.uint64(32)), b, c, d
 
 
 def packed(**arrays: np.ndarray) -> bytes:
@@ -119,6 +120,22 @@ def dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         yield s, order[stops[s] : stops[s + 1]]
 
 
+def shared_sides(strings: list[bytes], place: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Those contexts that can share a window with another one.
+
+    A window holds its anchor and ``WINDOW - K`` more bytes, so at least half of these on one side of it: two contexts with
+    a window in common have the anchor with that half in common, to its left or to its right.
+    """
+    half = (WINDOW - K + 1) // 2
+    sides, counts = [], Counter()
+    for i in of.tolist():
+        s, p = strings[i], int(place[i])
+        both = (b"<" + s[p - half : p + K] if p >= half else b"", b">" + s[p : p + K + half] if len(s) >= p + K + half else b"")
+        sides.append(both)
+        counts.update(x for x in both if x)
+    return of[np.array([any(x and counts[x] > 1 for x in both) for both in sides], bool)] if len(of) else of
+
+
 def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
     return ((anchor >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
@@ -209,12 +226,12 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
         doc, anchor = np.concatenate([np.cumsum(x["doc"]) for x in pieces]), np.concatenate([x["anchor"] for x in pieces])
         order = np.lexsort((anchor, doc))
         doc, anchor = doc[order], anchor[order]
-        a_all, d_all, s_all, c_all, n_all = [], [], [], [], []
+        a_all, d_all, s_all, c_all, n_all, l_all = [], [], [], [], [], []
         for _, d, raw in usable(own["doc"].tolist(), own["text"].tolist()):
             lo, hi = np.searchsorted(doc, [d, d + 1])
             if lo == hi:
                 continue
-            a, first, n = contexts(np.frombuffer(raw, np.uint8))
+            a, first, n, lead = contexts(np.frombuffer(raw, np.uint8))
             short = a >> np.uint64(16)
             mine = anchor[lo:hi]
             at = np.minimum(np.searchsorted(mine, short), len(mine) - 1)
@@ -223,14 +240,15 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
             d_all.append(np.full(len(hit), d))
             s_all.append(first[hit])
             n_all.append(n[hit])
+            l_all.append(lead[hit])
             c_all += [raw[f : f + m] for f, m in zip(first[hit].tolist(), (n[hit] + WINDOW - 1).tolist(), strict=True)]
         if not a_all:
             return pd.DataFrame([], columns=columns)
-        a, d, s, n = (np.concatenate(v) for v in (a_all, d_all, s_all, n_all))
+        a, d, s, n, lead = (np.concatenate(v) for v in (a_all, d_all, s_all, n_all, l_all))
         out = []
         for shard, at in dealt(shard_of(a << np.uint64(16), parts), parts):
             at = at[np.argsort(a[at], kind="stable")]
-            out.append((shard, packed(anchor=a[at], doc=d[at], start=s[at].astype(np.uint32), windows=n[at].astype(np.uint8), raw=b"".join([c_all[i] for i in at.tolist()]))))
+            out.append((shard, packed(anchor=a[at], doc=d[at], start=s[at].astype(np.uint32), windows=n[at].astype(np.uint8), lead=lead[at].astype(np.uint8), raw=b"".join([c_all[i] for i in at.tolist()]))))
         return pd.DataFrame(out, columns=columns)
 
     gathered = texts.groupBy("part").cogroup(lists.groupBy("part")).applyInPandas(gather, "shard long, blob binary")
@@ -238,7 +256,7 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
     # 3: the smallest document of each window
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}  # a distinct context
-        anchors, docs, starts, windows, which = [], [], [], [], []
+        anchors, docs, starts, windows, leads, which = [], [], [], [], [], []
         for blob in pdf["blob"]:
             x = unpacked(blob)
             size = x["windows"].astype(np.int64) + WINDOW - 1
@@ -249,18 +267,23 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
             docs.append(x["doc"])
             starts.append(x["start"])
             windows.append(x["windows"])
-        anchor, doc, start, n, which = (np.concatenate(v) for v in (anchors, docs, starts, windows, which))
+            leads.append(x["lead"])
+        anchor, doc, start, n, lead, which = (np.concatenate(v) for v in (anchors, docs, starts, windows, leads, which))
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
         # distinct contexts of each anchor (a context may stand under one anchor only: it holds it)
         held = np.zeros(len(number), np.uint64)
         held[which] = anchor
         _, group, size = np.unique(held, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(size[group] > 1)
         strings = list(number)
+        place = np.zeros(len(number), np.int64)
+        place[which] = lead
+        several = shared_sides(strings, place, np.flatnonzero(size[group] > 1))
         masks = np.zeros(len(doc), np.uint64)
         full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
-        alone = size[group][which] == 1
+        meets = np.zeros(len(number), bool)
+        meets[several] = True
+        alone = ~meets[which]  # no other context shares a window: only its own copies do
         masks[alone] = np.where(doc[alone] > least[which[alone]], full[alone], np.uint64(0))
         if len(several):
             index = RunIndex([strings[i] for i in several.tolist()], least[several], WINDOW)
