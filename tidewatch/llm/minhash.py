@@ -10,10 +10,12 @@ sets, ``100 * common >= percent * union``.
 No bucket is expanded into pairs. Documents with equal sets are one class, by an exact hash of the set. Then rounds: in each bucket
 every class that is not yet connected to the bucket's leader is a candidate with it; each keeps
 its best-estimated untested leader, one pair per class and round, and confirmed links merge classes into components.
-The leader is another member in every round. Buckets whose classes are all in one component leave; the few
-that stay after ``ROUNDS`` rounds are settled exactly: every class outside the bucket's largest component is
-estimated against all classes of other components in its buckets, and whatever passes is confirmed. So no
-link between different components is left out, and components are those of all links.
+The first leader is the member that meets most others over all its buckets (of edited copies, their origin); the
+next is any. Buckets whose classes are all in one component leave; those that stay after ``ROUNDS`` rounds
+are settled exactly. A class's shingles that no other class in these buckets has can be in no link, so
+``common <= min(n - own)`` over both sides bounds the similarity of every pair; classes outside the bucket's largest component are
+compared with the classes of other components whose bound and estimate reach the threshold, and those pairs are confirmed. So
+no link between different components is left out, and components are those of all links.
 
 Sets are recomputed from the texts of the pairs at hand, so only signatures of all documents are stored.
 
@@ -42,7 +44,7 @@ BANDS, ROWS = 26, 5
 PERMUTATIONS = BANDS * ROWS
 BITS = 2
 SLACK = 0.2
-ROUNDS = 3
+ROUNDS = 2
 _LANES = 64 // BITS
 WORDS = -(-PERMUTATIONS // _LANES)
 
@@ -202,6 +204,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
     texts = scratch.keep(texts.dropDuplicates(["id"]) if has_repeats(signed, key) else texts)
     links = tested = None
+    crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    central = scratch.keep(members.join(crowd, "bucket").groupBy("rep").agg(F.sum("n").alias("meets")))
+    members = members.join(central, "rep")
     for turn in range(ROUNDS + 1):
         open_buckets = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
         live = scratch.keep(members.join(open_buckets, "bucket", "left_semi"))
@@ -209,13 +214,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
             break
         fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
         if turn < ROUNDS:
-            order = F.xxhash64("rep", F.lit(turn))
+            order = F.struct(-F.col("meets"), F.col("rep")) if not turn else F.xxhash64("rep", F.lit(turn))
             lead = live.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"), F.col("comp").alias("b_comp")), order).alias("l"))
             near = live.join(lead, "bucket").select(F.col("rep").alias("a"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"), F.col("comp").alias("a_comp"), "l.*")
         else:
-            largest = live.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
-            rest = live.join(largest, "bucket").where("comp <> most").select("bucket", F.col("rep").alias("a"), F.col("n_shingles").alias("a_n"), F.col("sig").alias("a_sig"), F.col("comp").alias("a_comp"))
-            every = live.select("bucket", F.col("rep").alias("b"), F.col("n_shingles").alias("b_n"), F.col("sig").alias("b_sig"), F.col("comp").alias("b_comp"))
+            left = live.select(F.col("rep").alias("id")).distinct()
+            own = lone_shingles(texts.join(left, "id", "left_semi"))
+            sized = live.join(own, live["rep"] == own["id"], "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+            largest = live.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+            sized = scratch.keep(sized.join(largest, "bucket").select("bucket", "rep", "n_shingles", "sig", "comp", "most", "main"))
+            side = lambda x: [F.col("rep").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"), F.col("comp").alias(f"{x}_comp"), F.col("most").alias(f"{x}_most")]
+            rest = sized.where("comp <> main").select("bucket", *side("a"))
+            every = sized.select("bucket", "main", *side("b"))
+            common = F.least("a_most", "b_most")
+            fits = fits & (common * 100 >= (F.col("a_n") + F.col("b_n") - common) * percent) & ((F.col("b_comp") == F.col("main")) | (F.col("a") < F.col("b")))
             near = rest.join(every, "bucket")
         near = near.where((F.col("a_comp") != F.col("b_comp")) & fits).withColumn("like", estimate(F.col("a_sig"), F.col("b_sig"))).where(F.col("like") >= floor)
         pairs = near.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "a", "like")
@@ -245,6 +257,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     return found.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """id and own: how many of a text's shingles no other text of the table has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.iloc[k : k + 256]
+                found = [shingles(t).view(np.int64) for t in part["text"].tolist()]
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(f) for f in found]), "hash": np.concatenate(found)})
+
+    spread = texts.mapInPandas(run, "id long, hash long")
+    lone = spread.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    return lone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def has_repeats(rows: DataFrame, key: str) -> bool:
     """Whether a key comes more than once."""
     return not rows.groupBy(key).count().where("count > 1").isEmpty()
