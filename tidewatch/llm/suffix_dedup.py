@@ -52,6 +52,7 @@ NO_ID = -(1 << 63)
 _SYMBOL = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64(0xFFFFF)
+_BITS = np.arange(WINDOW - K + 1, dtype=np.uint64)
 
 
 def hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -323,13 +324,11 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
             spans = 0
             kept = raw
             if lo < hi:
-                edge = np.zeros(len(raw) + 1, np.int64)
-                s, m = start[lo:hi], mask[lo:hi]
-                for bit in range(64):
-                    at = s[((m >> np.uint64(bit)) & np.uint64(1)).astype(bool)] + bit
-                    at = at[at + WINDOW <= len(raw)]
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + WINDOW, -1)
+                # windows that go: each opens a stretch of WINDOW bytes
+                bits = (mask[lo:hi, None] >> _BITS) & np.uint64(1)
+                at = (start[lo:hi, None] + _BITS.astype(np.int64))[bits.astype(bool)]
+                at = at[at + WINDOW <= len(raw)]
+                edge = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + WINDOW, minlength=len(raw) + 1)
                 gone = np.cumsum(edge)[:-1] > 0
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
