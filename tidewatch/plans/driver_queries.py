@@ -378,8 +378,7 @@ def q45_reminder(spark, sf_dir):
 def q46_cards(spark, sf_dir):
     i = F.col("id")
     cats = F.when(i % 3 == 0, F.array().cast("array<string>")).when(i % 3 == 1, F.array(F.lit("veterans"))).otherwise(F.array(F.lit("disabled"), F.lit("x")))
-    rows = _signals(spark, sf_dir).where(i % 10 < 4)
-    rows = rows.withColumns({"categories": cats, "event_type": F.when(i % 2 == 0, "review"), "region": F.when(i % 2 == 0, "rf").otherwise("zz"), "source_url": F.when(i % 5 == 0, F.concat(F.lit("http://x/"), i.cast("string")))})
+    rows = _signals(spark, sf_dir).withColumns({"categories": cats, "event_type": F.when(i % 2 == 0, "review"), "region": F.when(i % 2 == 0, "rf").otherwise("zz"), "source_url": F.when(i % 5 == 0, F.concat(F.lit("http://x/"), i.cast("string")))})
     return rows.select("id", reports.card().alias("card"))
 
 
