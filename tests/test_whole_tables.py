@@ -17,3 +17,10 @@ def test_every_order_has_a_card(spark, tmp_path):
     got = {r.id: r.card for r in driver_queries.QUERIES["q46_cards"](spark, stored(spark, tmp_path, "orders", rows, ORDERS)).collect()}
     assert sorted(got) == list(range(20))
     assert got[7] == "🆔 <b>7</b> · 🔴 Высокий\n<b>1-URGENT</b>\nЖС: ВБД\nТип: —\nРегион: zz\nСтатус: Новый\nДата: 15.03.1995 10:05"
+
+
+def test_the_digest_ranks_signals_of_all_years(spark, tmp_path):
+    rows = [(k, 1, "OFP"[k % 3], dt.datetime(1990 + k % 11, 1 + k % 12, 1 + k % 28, k % 24), f"{1 + k % 5}-X") for k in range(200)]
+    active = sorted((k % 5 if k % 5 < 3 else 9, dt.datetime(1990 + k % 11, 1 + k % 12, 1 + k % 28, k % 24), k) for k in range(200) if k % 3 == 0)
+    got = {r.id: r.place for r in driver_queries.QUERIES["q44_digest"](spark, stored(spark, tmp_path, "orders", rows, ORDERS)).collect()}
+    assert got == {k: n for n, (_, _, k) in enumerate(active, 1)}
