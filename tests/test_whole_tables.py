@@ -24,3 +24,10 @@ def test_the_digest_ranks_signals_of_all_years(spark, tmp_path):
     active = sorted((k % 5 if k % 5 < 3 else 9, dt.datetime(1990 + k % 11, 1 + k % 12, 1 + k % 28, k % 24), k) for k in range(200) if k % 3 == 0)
     got = {r.id: r.place for r in driver_queries.QUERIES["q44_digest"](spark, stored(spark, tmp_path, "orders", rows, ORDERS)).collect()}
     assert got == {k: n for n, (_, _, k) in enumerate(active, 1)}
+
+
+def test_text_layers_are_whole(spark, tmp_path):
+    html = ["x" * 19, "x" * 20, " " * 9 + "x" * 19 + " ", "<p>" + "long " * 500 + "</p>", "", None]
+    rows = [(40 + k, f"http://x/{k}", t) for k, t in enumerate(html)]
+    got = {r.page_id: r.body for r in driver_queries.QUERIES["q54_text_layer"](spark, stored(spark, tmp_path, "pages", rows, "page_id long, url string, html string")).collect()}
+    assert got == {40: "OCR 40", 41: "x" * 20, 42: "OCR 42", 43: html[3], 44: "OCR 44", 45: "OCR 45"}

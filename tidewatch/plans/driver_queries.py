@@ -410,7 +410,7 @@ def q53_next_digest(spark, sf_dir):
 @query("SELECT page_id, CASE WHEN length(trim(left(html, page_id % 40))) < 20 THEN 'OCR ' || page_id ELSE trim(left(html, page_id % 40)) END AS body FROM pages")
 def q54_text_layer(spark, sf_dir):
     i = F.col("page_id")
-    return table(spark, sf_dir, "pages").select("page_id", urls.page_text(F.left(F.col("html"), (i % 40).cast("int")), F.concat(F.lit("OCR "), i.cast("string"))).alias("body"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.page_text(F.col("html"), F.concat(F.lit("OCR "), i.cast("string"))).alias("body"))
 
 
 _LINKS = ["https://x/1", "SKIP", "ftp://x", "12a", "77"]
