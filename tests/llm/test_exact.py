@@ -166,6 +166,15 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
     assert deduped.count() == deduped.select("doc_id").distinct().count()
 
 
+def test_pipeline_links_copies_of_eighty_percent(spark, tmp_path):
+    words = [f"w{k}" for k in range(304)]
+    edit = lambda places: " ".join(f"e{k}" if k in places else w for k, w in enumerate(words))
+    # six and eight edited words of 300 shingles: similarities 270 / 330 = 0.818 and 260 / 340 = 0.765
+    rows = [(1, edit([])), (2, edit(range(20, 300, 50))), (3, edit(range(10, 300, 38)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_held_out_rows(spark):
     from tidewatch.llm.common import held_out
 
