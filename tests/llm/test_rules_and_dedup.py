@@ -54,6 +54,25 @@ def test_line_frequency_rejects_boilerplate_and_keeps_copies(spark, rng=None):
     assert all(v for k, v in got.items() if not 1000 <= k < 1005)
 
 
+def test_frequent_lines_leave_the_texts(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = [(k, f"Home  About\t{k}\n\n" + prose(rng, 80) + "\n home about 7\n" + prose(rng, 20), "h", 0) for k in range(60)]
+    rows += [(100, prose(rng, 70) + "\nHome About 1", "other", 0), (101, prose(rng, 70), None, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    judged = {r.doc_id: (r.n_removed_lines, r.n_words_left) for r in quality_rules.judge(d).collect()}
+    got = {r.doc_id: r for r in corpus_pipeline.quality(spark, d, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(judged)
+    for k, text, _, _ in rows:
+        lines = text.split("\n")
+        assert got[k].text == ("\n".join([lines[1], lines[2], lines[4]]) if k < 100 else text)
+        assert got[k].n_chars == len(got[k].text)
+        assert judged[k] == (2 if k < 100 else 0, len(WORD.findall(got[k].text)))
+
+
 def shingle_sets(rows):
     out = {}
     for r in rows:

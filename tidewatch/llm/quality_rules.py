@@ -8,7 +8,8 @@ each host (``source``) a line's documents are counted by distinct content, so ex
 once. A line is frequent above ``max(MIN_DOCS, MAX_SHARE * contents of the host)``. Copies with small
 edits share most of their lines as well, so a second count takes only witnesses: contents in which
 frequent lines make up at most half of the words. Lines above the limit by witnesses too are removed. A
-document with less than ``MIN_LEFT`` of its words left is depleted and rejected.
+document with less than ``MIN_LEFT`` of its words left is depleted and rejected. ``judge`` counts, ``keep`` selects
+documents as they are, ``clean`` selects them and takes the removed lines out of their texts.
 
 Defined cases: a null text has no words (base fails); a null source is a host of its own; a null
 doc_id is a document like any other; repeated rows give repeated results; empty tables give no rows;
@@ -118,7 +119,7 @@ def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: flo
 
 
 def judge_contents(docs: DataFrame, min_docs: int, max_share: float, min_left: float) -> DataFrame:
-    """The rows of judge(), with the host and the hash of the text that the verdict belongs to."""
+    """The rows of judge(), with the host and the hash of the text that the verdict belongs to, and the hashes of the lines to remove."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
     measured = scratch.keep(measure(docs))
     remove = scratch.keep(frequent_lines(measured, min_docs, max_share, scratch))
@@ -129,12 +130,12 @@ def judge_contents(docs: DataFrame, min_docs: int, max_share: float, min_left: f
         .select("host", "content", F.struct("l.h", "l.w").alias("l"))
     )
     # the same content comes once per row: divided by its rows, the sums are those of one row
-    removed = lost.groupBy("host", "content").agg(F.count(F.lit(1)).alias("removed_rows"), F.sum("l.w").alias("removed_words"))
+    removed = lost.groupBy("host", "content").agg(F.count(F.lit(1)).alias("removed_rows"), F.sum("l.w").alias("removed_words"), F.sort_array(F.collect_set("l.h")).alias("gone"))
     rows = measured.groupBy("source", "content").agg(F.count(F.lit(1)).alias("copies"))
     removed = (
         removed.alias("a")
         .join(rows.alias("b"), F.col("a.host").eqNullSafe(F.col("b.source")) & (F.col("a.content") == F.col("b.content")))
-        .select("a.host", "a.content", F.expr("removed_rows div copies").alias("n_removed_lines"), F.expr("removed_words div copies").alias("removed_words"))
+        .select("a.host", "a.content", F.expr("removed_rows div copies").alias("n_removed_lines"), F.expr("removed_words div copies").alias("removed_words"), "gone")
     )
     return verdicts(measured, removed, min_left)
 
@@ -156,6 +157,7 @@ def verdicts(measured: DataFrame, removed: DataFrame, min_left: float) -> DataFr
             "base_failed",
             F.coalesce("n_removed_lines", F.lit(0)).cast("bigint").alias("n_removed_lines"),
             (F.col("n_words") - F.coalesce("removed_words", F.lit(0))).cast("bigint").alias("n_words_left"),
+            "gone",
         )
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= F.col("n_words") * min_left))
     )
@@ -163,10 +165,25 @@ def verdicts(measured: DataFrame, removed: DataFrame, min_left: float) -> DataFr
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """doc_id, the counts, base_failed, n_removed_lines, n_words_left, kept: a row for each row of docs."""
-    return judge_contents(docs, min_docs, max_share, min_left).drop("source", "content")
+    return judge_contents(docs, min_docs, max_share, min_left).drop("source", "content", "gone")
 
 
 def keep(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
     out = judge_contents(docs, min_docs, max_share, min_left).where(~F.col("kept")).select(F.col("source").alias("source__"), F.col("content").alias("content__")).distinct()
     return docs.join(out, F.col("source").eqNullSafe(F.col("source__")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("content__")), "left_anti")
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """text without the lines whose hashes are in gone; blank lines stay."""
+    blank = lambda x: F.translate(x, SPACES, "") == ""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: blank(x) | ~F.array_contains(gone, F.xxhash64(normal_line(x)))), "\n")
+
+
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows that keep() gives, with the frequent lines taken out of their texts; the words left are n_words_left."""
+    judged = judge_contents(docs, min_docs, max_share, min_left).where(~F.col("kept") | F.col("gone").isNotNull())
+    marks = judged.select(F.col("source").alias("source__"), F.col("content").alias("content__"), F.col("kept").alias("kept__"), F.col("gone").alias("gone__")).distinct()
+    found = docs.join(marks, F.col("source").eqNullSafe(F.col("source__")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("content__")), "left")
+    text = F.when(F.col("gone__").isNotNull(), without_lines(F.col("text"), F.col("gone__"))).otherwise(F.col("text"))
+    return found.where(F.coalesce("kept__", F.lit(True))).withColumn("text", text).select(*docs.columns)
