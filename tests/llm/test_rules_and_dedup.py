@@ -73,6 +73,24 @@ def test_frequent_lines_leave_the_texts(spark, tmp_path):
         assert judged[k] == (2 if k < 100 else 0, len(WORD.findall(got[k].text)))
 
 
+def test_a_host_of_template_pages_is_depleted(spark):
+    import random
+
+    rng = random.Random(11)
+    menu = [prose(rng, 15) for _ in range(10)]
+    page = [(k, "\n".join(menu[:5] + [prose(rng, 50)] + menu[5:]), "template") for k in range(60)]  # 25 % words of their own
+    near = [prose(rng, 25) for _ in range(8)]
+    copies = []
+    for k in range(60):
+        lines = [x.split() for x in near]
+        lines[k % 8][k % 25] = f"edit{chr(97 + k % 26)}{chr(97 + k // 26)}"
+        copies.append((1000 + k, "\n".join(map(" ".join, lines)), "copies"))
+    other = [(2000 + k, prose(rng, 120), None) for k in range(30)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([*page, *copies, *other], "doc_id long, text string, source string")).collect()}
+    assert all((got[k].n_removed_lines, got[k].n_words_left, got[k].kept) == (10, 50, False) for k, _, _ in page)
+    assert all((got[k].n_removed_lines, got[k].kept) == (0, True) for k, _, _ in copies + other)
+
+
 def shingle_sets(rows):
     out = {}
     for r in rows:
