@@ -53,6 +53,20 @@ def test_long_regions_are_reconciled():
     assert any(k == 0 for k, _, _ in spans) and all(0 <= s < e <= len(text) for _, s, e in spans)
 
 
+def test_long_and_upper_case_addresses_are_whole():
+    names, hosts = ["an", "lamitionreastlomibeauverthentionque", "anna.lomi_thentionreastingverbledela.que"], ["lami.example.org", "mailreastinglamitionverblethentionlo.example.com", "post.thentionreastlomiverblelamiting.co.uk"]
+    for at in (" [at] ", "(at)", " [AT] ", "(AT)"):
+        for name in names:
+            for host in hosts:
+                address = name + at + host
+                text = f"the lami que {address} and en tion la"
+                spans = next(pii.all_spans([text], pii_model.trained()))[1]
+                assert (0, 13, 13 + len(address)) in spans and len(spans) == 1, (text, [text[a:b] for _, a, b in spans])
+    text = "ab " * 40 + "x" * 200 + "7" + "y" * 100 + "8" + "z" * 100 + " ab" * 40
+    assert [text[a:b].split()[-1] for a, b in pii.regions(text)] == ["x" * 200 + "7" + "y" * 100 + "8" + "z" * 100]
+    assert len(pii.regions(("a" * 90 + "1") * 20000)) == 1
+
+
 def test_find_and_mask(docs, none, spark):
     got = pii.find(docs).collect()
     assert len(got) == docs.count() and pii.find(none).count() == 0

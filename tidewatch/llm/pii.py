@@ -2,7 +2,7 @@
 
 Base spans come from four patterns, leftmost and non-overlapping for each kind, and must pass their test
 (Luhn, parts of at most 255, numbers of digits). The tagger (``pii_model``) reads the neighbourhood of every digit and
-``@`` and of bracketed or spelt ``at``; all kinds hold one of these, so nothing else can hold a span. Its spans
+``@`` and of bracketed ``at`` in any case, with the whole runs of address characters at its edges; all kinds hold one of these, so nothing else can hold a span. Its spans
 are added where they overlap no base span, are sure enough, and have the digits of their kind (a card
 must also pass Luhn). Offsets are code points, ends exclusive.
 
@@ -35,7 +35,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+|[(\[] ?at ?[)\]]")
+_AT = re.compile(r"[(\[] ?[aA][tT] ?[)\]]")
+_TRIGGER = re.compile(rf"[0-9@]+|{_AT.pattern}")
+_RUN = re.compile(r"[A-Za-z0-9._%+-]*+")
+_HOST_REST = re.compile(r"(?:\.?[A-Za-z0-9-])*+")
 
 
 def luhn(digits: str) -> bool:
@@ -79,21 +82,44 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
+def run_start(text: str, at: int, least: int = 0) -> int:
+    """Where the run of address characters that ends before ``at`` begins."""
+    while at > least and _LOCAL.match(text[at - 1]):
+        at -= 1
+    return at
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Neighbourhoods of triggers, joined where they meet; none splits a run of triggers."""
+    """Neighbourhoods of triggers, joined where they meet; none splits a run of triggers or of address characters."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         if out and m.start() - AROUND - JOIN <= out[-1][1]:
             out[-1][1] = m.end() + AROUND
         else:
             out.append([max(0, m.start() - AROUND), m.end() + AROUND])
-    return [(a, min(b, len(text))) for a, b in out]
+    whole: list[list[int]] = []
+    for a, b in out:
+        b = min(b, len(text))
+        done = whole[-1][1] if whole else 0
+        if whole and b <= done:
+            continue
+        start, end = run_start(text, a, done) if a > done else done, _RUN.match(text, b).end()
+        if whole and start <= done:
+            whole[-1][1] = end
+        else:
+            whole.append([start, end])
+    return [(a, b) for a, b in whole]
+
+
+def completed(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
+    """An address with the rest of its local part and host, where the tagger stopped inside them."""
+    return (run_start(text, start), _HOST_REST.match(text, end).end()) if kind == 0 else (start, end)
 
 
 def plausible(kind: int, value: str) -> bool:
     digits = "".join(_NUMBER.findall(value))
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(@|[(\[] ?at ?[)\]]) ?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", value))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(@|[(\[] ?[aA][tT] ?[)\]]) ?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", value))
     if kind == 1:
         parts = re.findall("[0-9]+", value)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -109,12 +135,16 @@ def all_spans(texts: list[str | None], tagger: pii_model.Tagger) -> Iterator[tup
     added: dict[int, list[Span]] = {}
     for k in range(0, len(where), 2048):
         part = where[k : k + 2048]
-        for (i, a, b), spans in zip(part, tagger.decode([texts[i][a:b] for i, a, b in part]), strict=True):
+        read = [_AT.sub(lambda m: m.group().lower(), texts[i][a:b]) for i, a, b in part]
+        for (i, a, _), spans in zip(part, tagger.decode(read), strict=True):
             for kind, s, e, sure in spans:
                 value = texts[i][a + s : a + e]
                 s, e = a + s + len(value) - len(value.lstrip()), a + e - len(value) + len(value.rstrip())
-                if sure >= SURE and plausible(kind, value.strip()) and not any(s < y and x < e for _, x, y in base[i]):
-                    added.setdefault(i, []).append((kind, s, e))
+                taken = base[i] + added.get(i, [])
+                for x, y in dict.fromkeys((completed(kind, texts[i], s, e), (s, e))):
+                    if sure >= SURE and plausible(kind, texts[i][x:y]) and not any(x < d and c < y for _, c, d in taken):
+                        added.setdefault(i, []).append((kind, x, y))
+                        break
     for i, own in enumerate(base):
         yield own, sorted(own + added.get(i, []), key=lambda s: (s[1], s[0], s[2]))
 
