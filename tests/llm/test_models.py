@@ -98,6 +98,18 @@ def test_kernel_is_presence_over_roots():
     assert abs(float(a @ b) - len(x & y) / np.sqrt(len(x) * len(y))) < 1e-5
 
 
+def test_rare_scripts_keep_their_letters():
+    rng = random.Random(3)
+    han = [chr(0x4E00 + k) for k in range(400)]
+    parts = {"aa": han, "bb": [chr(0x10400 + k) for k in range(6)], "cc": [chr(0x10410 + k) for k in range(6)]}
+    say = lambda lang, n: "".join(rng.choice(parts[lang]) for _ in range(n))
+    labels = ["aa", "bb", "cc"] * 20
+    model = language_id.Model([say(y, 300 if y == "aa" else 12) for y in labels], labels, landmarks=60)
+    assert model.spectrum.known[0].size > 400
+    asked = ["bb", "cc"] * 30
+    assert model.score([say(y, 12) for y in asked])[0] == asked
+
+
 def test_nn_risk_and_prior():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(1.5, 1, (1500, 2)), rng.normal(-1.5, 1, (1500, 2))

@@ -31,9 +31,9 @@ ORDERS = 3
 LANDMARKS = 192
 PER_LABEL = 600
 RIDGE = 1e-2
-#: Distinct characters of the landmarks that get a code of their own.
-ALPHABET = 126
 BATCH = 256
+#: Cells of a presence matrix at once; wide spectra take fewer texts.
+CELLS = 1 << 24
 
 _SPACE = re.compile(r"\s+")
 _DIGIT = re.compile(r"\d")
@@ -54,22 +54,17 @@ class Spectrum:
 
     def __init__(self, texts: list[str]):
         points = [clean(t) for t in texts]
-        seen, count = np.unique(np.concatenate(points), return_counts=True)
-        self.alphabet = np.sort(seen[np.argsort(-count, kind="stable")[:ALPHABET]])
-        self.codes = np.zeros(65536, np.int64)  # 0: unseen
-        low = self.alphabet[self.alphabet < 65536]
-        self.codes[low] = 1 + np.arange(len(low))
+        self.alphabet = np.unique(np.concatenate(points))
         self.base = len(self.alphabet) + 1
-        self.columns = [np.zeros(self.base**n, np.int32) for n in range(1, ORDERS + 1)]  # 0: in no landmark
-        width = 1
+        self.known = []  # the landmarks' n-grams, sorted; columns follow in this order, 0: in no landmark
+        grams = [self.grams(p) for p in points]
         for n in range(ORDERS):
-            found = np.unique(np.concatenate([self.grams(p)[n] for p in points]))
-            self.columns[n][found] = width + np.arange(len(found))
-            width += len(found)
-        self.width = width
+            self.known.append(np.unique(np.concatenate([g[n] for g in grams])))
+        self.width = 1 + sum(map(len, self.known))
 
     def grams(self, points: np.ndarray) -> list[np.ndarray]:
-        code = self.codes[np.minimum(points, 65535)]
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        code = np.where(self.alphabet[at] == points, at + 1, 0)  # 0: unseen
         out = [code]
         for n in range(1, ORDERS):
             out.append(out[-1][:-1] * self.base + code[n:])
@@ -79,9 +74,11 @@ class Spectrum:
         """A row of 0 and 1 for each text, over the root of its sum."""
         out = np.zeros((len(texts), self.width), np.float32)
         for row, text in zip(out, texts, strict=True):
-            for columns, grams in zip(self.columns, self.grams(clean(text)), strict=True):
-                row[columns[grams]] = 1
-            row[0] = 0
+            first = 1
+            for known, grams in zip(self.known, self.grams(clean(text)), strict=True):
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                row[first + at[known[at] == grams]] = 1
+                first += len(known)
         out /= np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
         return out
 
@@ -98,7 +95,7 @@ class Model:
         value, vector = np.linalg.eigh(self.landmarks @ self.landmarks.T)
         keep = value > 1e-8 * value[-1]
         root = vector[:, keep] / np.sqrt(value[keep])
-        kernel = np.concatenate([self.spectrum.presence(texts[k : k + BATCH]) @ self.landmarks.T for k in range(0, len(texts), BATCH)])
+        kernel = self.kernel(texts)
         features = kernel @ root
         target = np.where(np.array(labels)[:, None] == np.array(self.labels)[None, :], 1.0, -1.0)
         weight = 1 / np.array([len(p) for p in places])[[self.labels.index(y) for y in labels]]
@@ -108,9 +105,13 @@ class Model:
         self.weights = (root @ fitted).astype(np.float32)
         self.landmarks = self.landmarks.astype(np.float32)
 
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        step = max(1, min(BATCH, CELLS // self.spectrum.width))
+        return np.concatenate([self.spectrum.presence(texts[k : k + step]) @ self.landmarks.T for k in range(0, len(texts), step)])
+
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The best label and its share (softmax of the margins)."""
-        margin = (self.spectrum.presence(texts) @ self.landmarks.T @ self.weights).astype(np.float64) + self.offset
+        margin = (self.kernel(texts) @ self.weights).astype(np.float64) + self.offset
         best = margin.argmax(1)
         share = np.exp(4 * (margin - margin.max(1, keepdims=True)))
         return [self.labels[i] for i in best], (share / share.sum(1, keepdims=True)).max(1)
