@@ -159,6 +159,45 @@ def test_a_chain_of_links_is_one_component(spark):
     assert got == want
 
 
+def test_a_large_family_is_settled_exactly(spark, monkeypatch):
+    """2,000 edited copies of one text, some of them edited on: similarities on both sides of the threshold, hot buckets, heavy differences."""
+    import random
+
+    monkeypatch.setattr(minhash, "HEAVY", 24)
+    rng = random.Random(21)
+    origin = [f"w{rng.randrange(4000)}" for _ in range(120)]
+
+    def edited(words, k):
+        words = list(words)
+        for at in rng.sample(range(len(words)), k):
+            words[at] = f"e{rng.randrange(10**6)}"
+        return words
+
+    made = [edited(origin, rng.randint(0, 5)) for _ in range(1500)]
+    far = [edited(origin, 6) for _ in range(4)]
+    made += [edited(far[k % 4], rng.randint(0, 4)) for k in range(500)]
+    rows = [(3 * k + 1, " ".join(w)) for k, w in enumerate(made)]
+    sets = [minhash.shingles(t) for _, t in rows]
+    size = np.array([len(s) for s in sets])
+    words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(sets), len(words)), np.float32)
+    has[np.repeat(np.arange(len(sets)), size), at] = 1
+    common = (has @ has.T).astype(int)
+    linked = 100 * common >= 85 * (size[:, None] + size[None, :] - common)
+    least = np.arange(len(sets))
+    while True:
+        new = np.where(linked, least[None, :], len(sets)).min(1)
+        if (new == least).all():
+            break
+        least = new
+    counted = []
+    compare = minhash.compare
+    monkeypatch.setattr(minhash, "compare", lambda pairs, *a, **b: counted.append(pairs.count()) or compare(pairs, *a, **b))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[k][0]: rows[c][0] for k, c in enumerate(least.tolist())}
+    assert 100 < len(set(got.values())) < 1500 and sum(counted) < 20 * len(rows)
+
+
 def brute_repeats(rows, window=50):
     seen, out = {}, {}
     data = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0])
