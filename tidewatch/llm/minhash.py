@@ -330,8 +330,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     shared = scratch.keep(spread.join(busy, "gid"))
     central = shared.groupBy("rep").agg(F.sum("size").alias("meets"))
     members = scratch.keep(shared.select("gid", "rep").join(central.join(classes.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep"), "rep"))
-    # texts of classes that share a bucket: one row per class, written once
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(central.select(F.col("rep").alias("id")), "id", "left_semi")
+    # texts of classes that share a bucket: one row per class, written once; joined alike at every size
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(central.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
     texts = scratch.keep(texts.dropDuplicates(["id"]) if has_repeats(signed, key) else texts)
     lead = members.groupBy("gid").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sig").alias("b_sig")), F.struct(-F.col("meets"), F.col("rep"))).alias("l"))
     near = members.join(lead, "gid").select(F.col("rep").alias("a"), "n", "sig", "l.*").where(F.col("a") != F.col("b")).where(fitting(percent))
