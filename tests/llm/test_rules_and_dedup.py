@@ -232,6 +232,24 @@ def test_repetitive_texts(spark):
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
 
 
+def test_small_pieces_and_buckets(spark, monkeypatch):
+    """Indexes of a few strings, anchors split by their sides, many buckets, one passage in every document, rows with one id and different texts."""
+    import random
+
+    for name, value in (("PIECE", 300), ("SHARD", 2000), ("BUCKET", 4000), ("MOST_FILES", 3)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(4)
+    base = [prose(rng, 30) for _ in range(12)]
+    rows = [(rng.randrange(400), " ".join([prose(rng, rng.randint(0, 9)), base[0], rng.choice(base)[rng.randint(0, 60) :], prose(rng, rng.randint(0, 4))])) for _ in range(150)]
+    rows = list({r[0]: r for r in rows}.values())
+    want = brute_repeats(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(d).collect()} == want
+    twice = [(7, base[1] + " x " + base[2]), (7, base[3]), (3, base[2]), (9, base[3] + base[1])]
+    got = sorted(tuple(r)[1:3] for r in suffix_dedup.remove_repeats(spark.createDataFrame(twice, "doc_id long, text string")).collect())
+    assert got == sorted([(len(twice[0][1]), len(base[2])), (len(base[3]), 0), (len(base[2]), 0), (len(twice[3][1]), len(twice[3][1]))])
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_run_index(seed):
     import random
@@ -242,12 +260,24 @@ def test_run_index(seed):
     window = rng.choice([1, 3, 5, 8, 12])
     owners = np.array([rng.randint(0, 9) for _ in strings])
     index = RunIndex(strings, owners, window)
-    for s, got in zip(strings, index.earliest(), strict=True):
-        assert got.tolist() == [min(o for o, x in zip(owners, strings, strict=True) if s[i : i + window] in x) for i in range(len(s) - window + 1)]
+    asked = [*strings, b"", base[::-1], *(bytes(rng.choice(b"ab\0\xffz") for _ in range(rng.randint(1, 40))) for _ in range(8)), base[3:20] + b"z" + base[5:30]]
+    length, _, places, begin = index.statistics(asked)
+    joined = b"\0".join(strings) + b"\0"
+    for s, a in zip(asked, begin.tolist(), strict=False):
+        for i in range(len(s)):
+            longest = max(n for n in range(window + 1) if i + n <= len(s) and any(s[i : i + n] in x for x in strings))
+            assert length[a + i] == longest
+            # the samples locate a match, inside one string
+            place = int(places[a + i])
+            assert not longest or (joined[place : place + longest] == s[i : i + longest] and place + longest <= index.starts[np.searchsorted(index.starts, place, side="right") - 1] + len(strings[np.searchsorted(index.starts, place, side="right") - 1]))
+    flat, start = index.earliest(asked, 99)
+    for s, a, b in zip(asked, start[:-1].tolist(), start[1:].tolist(), strict=True):
+        assert flat[a:b].tolist() == [min((o for o, x in zip(owners, strings, strict=True) if s[i : i + window] in x), default=99) for i in range(len(s) - window + 1)]
     for _ in range(5):
         p = bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 4)))
         assert index.count(p) == sum(sum(x[i : i + len(p)] == p for i in range(len(x) - len(p) + 1)) for x in strings)
     assert index.runs() <= index.n and len(index.sample_first) == len(index.sample_last) == index.runs()
+    assert RunIndex([], np.zeros(0), window).earliest(asked, 7)[0].tolist() == [7] * len(flat)
 
 
 assert SCHEMA

@@ -5,31 +5,34 @@ entry per run of equal symbols: its first row, its symbol, how many equal symbol
 last-to-first step) and the text positions at its first and last row. For a window length, the rows whose
 suffixes share that many bytes form intervals; each keeps its smallest owner.
 
-``stream`` reads all strings out of the index from right to left, in step: a row tells the suffix's match with the rest of the
-collection at the window length, and one last-to-first step leads to the suffix one byte longer. ``count`` is a
-backward search for any patterns.
+``statistics`` streams any patterns through the index from right to left, in step, and gives their matching statistics: for every place the length
+of the longest match that starts there (up to the window), a row of it and, by the samples, a text position. While the run
+at hand has the wanted symbol, a last-to-first step leads on; else the match goes over to the nearer end of the nearest runs that have
+it, whose text positions the samples tell, and keeps as many bytes as the texts there agree on. ``count`` is a backward search.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 
 class RunIndex:
     def __init__(self, strings: list[bytes], owners: np.ndarray, window: int):
         """owners: a number per string; an interval keeps the smallest of the strings that its rows start in."""
-        self.window = window
+        self.window, self.n = window, 0
+        if not strings:
+            self.run_start = self.sample_first = self.sample_last = np.zeros(0, np.int64)
+            return
         self.lengths = np.array([len(s) for s in strings], np.int64)
         self.owners = np.asarray(owners, np.int64)
         text = np.zeros(int(self.lengths.sum()) + len(strings), np.uint16)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]]) if strings else np.zeros(0, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]])
         joined = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)[: len(text)]
         text[:] = joined
         text += 1
         ends = self.starts + self.lengths
         text[ends] = 0
+        self.text = np.concatenate([text, text[: window + 1] if len(text) > window else np.resize(text, window + 1)])
         order, rank = suffix_order(text)
         n = len(text)
         before = text[order - 1]  # the text is a circle: the last terminator stands before the first string
@@ -46,6 +49,8 @@ class RunIndex:
         self.symbol_first = np.searchsorted(self.run_symbol[by_symbol], np.arange(258))
         base = total[np.minimum(self.symbol_first[:-1], max(0, len(total) - 1))] if len(total) else np.zeros(257, np.int64)
         self.by_symbol = by_symbol
+        self.symbol_run = self.run_symbol[by_symbol] * (len(self.run_start) + 1) + by_symbol  # runs by symbol, then row
+        self.run_end = run_end
         self.seen_by_symbol = total - base[self.run_symbol[by_symbol]]
         self.seen = np.empty_like(total)
         self.seen[by_symbol] = self.seen_by_symbol
@@ -58,7 +63,7 @@ class RunIndex:
         long = left >= window
         cut = np.concatenate([[True], ~(same & long[1:] & long[:-1])])
         self.interval = np.flatnonzero(cut)
-        self.least = np.minimum.reduceat(self.owners[owner], self.interval) if n else np.zeros(0, np.int64)
+        self.least = np.minimum.reduceat(self.owners[owner], self.interval)
 
     def runs(self) -> int:
         return len(self.run_start)
@@ -73,25 +78,70 @@ class RunIndex:
         """The smallest owner of a string that holds the window at each row."""
         return self.least[np.searchsorted(self.interval, rows, side="right") - 1]
 
-    def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Right to left over all strings in step: which strings, their positions, the rows of the suffixes there."""
-        rows, at = self.end_row.copy(), self.lengths.copy()
-        live = np.flatnonzero(at > 0)
-        while len(live):
-            rows[live], _ = self.step(rows[live])
-            at[live] -= 1
-            yield live, at[live], rows[live]
-            live = live[at[live] > 0]
-
-    def earliest(self) -> list[np.ndarray]:
-        """For each string and window start, the smallest owner of an equal window."""
-        out = [np.zeros(max(0, n - self.window + 1), np.int64) for n in self.lengths.tolist()]
-        flat = np.zeros(int(sum(map(len, out))), np.int64)
-        offset = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
-        for which, at, rows in self.stream():
-            ok = at <= self.lengths[which] - self.window
-            flat[offset[which[ok]] + at[ok]] = self.least_owner(rows[ok])
-        return [flat[a:b] for a, b in zip(offset[:-1], offset[1:], strict=True)]
+    def statistics(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For every place of every pattern, one pattern after the other: length of the longest match up to the window, a row and a text position of it; and where each pattern begins."""
+        size = np.array([len(s) for s in patterns], np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        asked = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + 1
+        length, rows, places = (np.zeros(len(asked), np.int64) for _ in range(3))
+        if not self.n or not len(asked):
+            return length, rows, places, begin
+        order = np.argsort(-size, kind="stable")  # the longest first: those that are done are a tail
+        size, first = size[order], begin[:-1][order]
+        many = len(size)
+        row, place, known = np.zeros(many, np.int64), np.full(many, self.sample_first[0]), np.zeros(many, np.int64)
+        runs = len(self.run_start)
+        for back in range(int(size[0])):
+            live = int(np.searchsorted(-size, -back, side="left"))  # sizes over back
+            at = first[:live] + size[:live] - 1 - back
+            c = asked[at]
+            run = np.searchsorted(self.run_start, row[:live], side="right") - 1
+            turn = np.flatnonzero(self.run_symbol[run] != c)
+            if len(turn):
+                row[turn], place[turn], known[turn], run[turn] = self.turned(c[turn], run[turn], row[turn], place[turn], known[turn], runs)
+                lost = turn[self.run_symbol[run[turn]] != c[turn]]  # nowhere in the text
+            else:
+                lost = turn
+            row[:live] = self.below[c] + self.seen[run] + row[:live] - self.run_start[run]
+            place[:live] = (place[:live] - 1) % self.n
+            known[:live] = np.minimum(known[:live] + 1, self.window)
+            row[lost], place[lost], known[lost] = 0, self.sample_first[0], 0
+            length[at], rows[at], places[at] = known[:live], row[:live], place[:live]
+        return length, rows, places, begin
+
+    def turned(self, c: np.ndarray, run: np.ndarray, row: np.ndarray, place: np.ndarray, known: np.ndarray, runs: int) -> tuple[np.ndarray, ...]:
+        """Matches whose run has another symbol, at the end of the run before or behind that has c and agrees on more bytes: row, text position, length, run."""
+        k = np.searchsorted(self.symbol_run, c * (runs + 1) + run)
+        found = []
+        for side, samples, ends in ((k - 1, self.sample_last, self.run_end), (k, self.sample_first, self.run_start)):
+            near = self.by_symbol[np.clip(side, 0, runs - 1)]
+            there = samples[near]
+            found.append((np.where((side >= 0) & (side < runs) & (self.run_symbol[near] == c), self.common(place, there, known), -1), near, there, ends[near]))
+        (up, a, pa, ra), (down, b, pb, rb) = found
+        first = up >= down
+        best = np.maximum(up, down)
+        ok = best >= 0
+        pick = lambda x, y, z: np.where(ok, np.where(first, x, y), z)
+        return pick(ra, rb, row), pick(pa, pb, place), np.maximum(best, 0), pick(a, b, run)
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes, up to most, the texts at a and at b agree on."""
+        out = np.zeros(len(a), np.int64)
+        views = np.lib.stride_tricks.sliding_window_view(self.text, self.window)
+        for k in range(0, len(a), 65536):
+            part = slice(k, k + 65536)
+            differ = views[a[part]] != views[b[part]]
+            out[part] = np.where(differ.any(1), differ.argmax(1), self.window)
+        return np.minimum(out, most)
+
+    def earliest(self, patterns: list[bytes], none: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of each pattern the smallest owner of a string that holds it, ``none`` if no string does; and where each pattern begins."""
+        length, rows, _, begin = self.statistics(patterns)
+        size = np.diff(begin)
+        windows = np.maximum(size - self.window + 1, 0)
+        start = np.concatenate([[0], np.cumsum(windows)]).astype(np.int64)
+        at = np.arange(start[-1]) + np.repeat(begin[:-1] - start[:-1], windows)
+        return np.where(length[at] >= self.window, self.least_owner(rows[at]) if self.n else none, none), start
 
     def rank(self, symbol: int, rows: np.ndarray) -> np.ndarray:
         """How often the symbol stands before each row."""

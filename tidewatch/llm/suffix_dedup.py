@@ -8,15 +8,17 @@ first, without loss: the leftmost smallest hash among the ``K``-byte strings of
 equal windows have equal anchors at equal places. Every window has exactly one anchor; the windows of one
 anchor in a row, with their bytes, are its context (``WINDOW`` bytes plus some).
 
-1. Anchors of all documents go, as packed hashes, to shards by hash; those seen in one document only are dropped.
-2. The contexts of the others go to shards by anchor, compressed.
-3. A shard resolves contexts that share no window with another one at once (one run: the smallest id has it first);
-   over the distinct contexts of all others, which agree with another in the anchor and the half window on one side of it, it builds a run-length index (``run_index``), streams every context
-   through it, and gets for each window the smallest id that holds it.
-4. The windows found go back to their documents as bit masks, and the documents are cut.
+1. Anchors of all documents go, as packed hashes, to shards by hash, once for each bucket of documents; a bucket is told which of its anchors
+   stand in several documents.
+2. The distinct contexts of these anchors go to shards by anchor, each once for a bucket, with the smallest and largest id there. So a passage that
+   every document has costs a shard one entry for each bucket, not for each document.
+3. A shard builds run-length indexes (``run_index``) over its distinct contexts, whole anchors at a time and about ``PIECE`` bytes each, streams every distinct context
+   through its index, and where the matching statistics reach ``WINDOW`` bytes takes the smallest id of the strings that hold the match. An anchor with more bytes than
+   that is split by the half windows beside it: a window has at least half of its other bytes on one side of its anchor.
+4. A bucket is told the smallest id of every window of its contexts that another document may have first, and cuts its documents.
 
 Texts are dealt once, into a table bucketed by document, and join the lists of steps 2 and 4 in place. A task
-holds the documents of one bucket, or the contexts of one shard; both numbers follow the bytes of the input.
+holds the documents of one bucket, or the contexts of one shard; both numbers follow measured bytes. Contexts are told apart by 64-bit hashes within a shard.
 
 Defined cases: a null text is empty; texts shorter than the window stay; a null doc_id neither loses nor
 removes anything; rows that share an id don't remove each other; repeated rows give repeated results; empty
@@ -27,11 +29,11 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,10 @@ WINDOW = 50
 K = 16
 #: Bytes of text in a bucket, about.
 BUCKET = 24 << 20
+#: Bytes of contexts in a shard, and of the strings of one index, about.
+SHARD, PIECE = 8 << 20, 1 << 20
+#: Most files of the table of texts; further buckets share them.
+MOST_FILES = 50_000
 #: Windows worked on at once in a long text; places stay below 2^20.
 SLICE = 1 << 19
 
@@ -52,7 +58,8 @@ NO_ID = -(1 << 63)
 _SYMBOL = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64(0xFFFFF)
-_BITS = np.arange(WINDOW - K + 1, dtype=np.uint64)
+#: No document holds the window.
+NOBODY = np.iinfo(np.int64).max
 
 
 def hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -121,20 +128,46 @@ def dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         yield s, order[stops[s] : stops[s + 1]]
 
 
-def shared_sides(strings: list[bytes], place: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Those contexts that can share a window with another one.
+def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value that occurs, with its places."""
+    order = np.argsort(values, kind="stable")
+    cuts = np.flatnonzero(np.diff(values[order], prepend=values[order[:1]] - 1))
+    for at in np.split(order, cuts[1:]) if len(order) else []:
+        yield int(values[at[0]]), at
 
-    A window holds its anchor and ``WINDOW - K`` more bytes, so at least half of these on one side of it: two contexts with
-    a window in common have the anchor with that half in common, to its left or to its right.
+
+def pieces(anchor: np.ndarray, place: np.ndarray, strings: list[bytes]) -> Iterator[np.ndarray]:
+    """The contexts in groups for one index each: whole anchors, about PIECE bytes; a larger anchor by the half windows on either side of it.
+
+    Two contexts with a window in common are in a group together: they have the anchor in common, and with it at least half of the window's
+    other bytes on one side.
     """
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    order = np.argsort(anchor, kind="stable")
+    cuts = np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[:1]] ^ np.uint64(1)))
+    held = np.add.reduceat(size[order], cuts) if len(cuts) else np.zeros(0, np.int64)
+    groups = np.split(order, cuts[1:]) if len(order) else []
     half = (WINDOW - K + 1) // 2
-    sides, counts = [], Counter()
-    for i in of.tolist():
-        s, p = strings[i], int(place[i])
-        both = (b"<" + s[p - half : p + K] if p >= half else b"", b">" + s[p : p + K + half] if len(s) >= p + K + half else b"")
-        sides.append(both)
-        counts.update(x for x in both if x)
-    return of[np.array([any(x and counts[x] > 1 for x in both) for both in sides], bool)] if len(of) else of
+    packed_groups, total = [], 0
+    for group, n in zip(groups, held.tolist(), strict=True):
+        parts = [group]
+        if n > PIECE:
+            sides: dict[bytes, list[int]] = {}
+            for i in group.tolist():
+                x, p = strings[i], int(place[i])
+                if p >= half:
+                    sides.setdefault(b"<" + x[p - half : p + K], []).append(i)
+                if len(x) >= p + K + half:
+                    sides.setdefault(b">" + x[p : p + K + half], []).append(i)
+            parts = [np.array(v) for v in sides.values()]
+        for part in parts:
+            packed_groups.append(part)
+            total += int(size[part].sum())
+            if total >= PIECE:
+                yield np.unique(np.concatenate(packed_groups))
+                packed_groups, total = [], 0
+    if packed_groups:
+        yield np.unique(np.concatenate(packed_groups))
 
 
 def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
@@ -163,8 +196,8 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
     docs = rows.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET), 1)
+    files = min(parts, MOST_FILES)
 
-    # the texts, dealt once
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             # rows without an id are dealt by place: they take no part in the search
@@ -172,173 +205,206 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
             yield batch.assign(part=part_of(np.where(doc == NO_ID, np.arange(len(doc)), doc), parts))
 
     name = f"tidewatch_texts_{uuid.uuid4().hex}"
-    dealt_docs = docs.mapInPandas(place, "doc long, text string, part long").repartition(parts, "part")
-    dealt_docs.write.format("parquet").option("compression", "zstd").bucketBy(parts, "part").saveAsTable(name)
-    texts = spark.table(name)
+    try:
+        dealt_docs = docs.mapInPandas(place, "doc long, text string, part long").repartition(files, "part")
+        dealt_docs.write.format("parquet").option("compression", "zstd").bucketBy(files, "part").saveAsTable(name)
+        done = repeats_removed(spark.table(name), scratch, parts, with_text)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return done.select(F.nullif("doc", F.lit(NO_ID)).alias(key), *done.columns[1:])
 
-    # 1: anchors to shards
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found, ids = [], []
-            for _, doc, raw in usable(batch["doc"].tolist(), batch["text"].tolist()):
-                found.append(np.unique(contexts(np.frombuffer(raw, np.uint8))[0]))
-                ids.append(doc)
-            if not found:
-                continue
-            anchor, which = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
-            ids = np.array(ids, np.int64)
-            out = []
-            for s, at in dealt(shard_of(anchor, parts), parts):
-                at = at[np.argsort(anchor[at], kind="stable")]
-                own, number = np.unique(which[at], return_inverse=True)
-                out.append((s, packed(high=(anchor[at] >> np.uint64(32)).astype(np.uint32), low=((anchor[at] >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16), number=number.astype(np.uint16 if len(own) < 65536 else np.uint32), ids=np.diff(ids[own], prepend=0))))
-            yield pd.DataFrame(out, columns=["shard", "blob"])
 
-    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        anchor, doc = [], []
-        for blob in pdf["blob"]:
-            x = unpacked(blob)
-            anchor.append((x["high"].astype(np.uint64) << np.uint64(16)) | x["low"])
-            doc.append(np.cumsum(x["ids"])[x["number"]])
-        anchor, doc = np.concatenate(anchor), np.concatenate(doc)
-        order = np.lexsort((doc, anchor))
-        anchor, doc = anchor[order], doc[order]
-        head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        size = np.diff(head, append=len(anchor))
-        # an id may come twice where rows repeat it
-        many = np.maximum.reduceat(doc, head) > np.minimum.reduceat(doc, head)
-        hit = np.repeat(many, size)
-        anchor, doc = anchor[hit], doc[hit]
-        out = []
-        for p, at in dealt(part_of(doc, parts), parts):
-            at = at[np.lexsort((anchor[at], doc[at]))]
-            out.append((p, packed(doc=np.diff(doc[at], prepend=0), anchor=anchor[at])))
-        return pd.DataFrame(out, columns=["part", "blob"])
-
-    seen = texts.select("doc", "text").mapInPandas(anchors, "shard long, blob binary")
-    lists = scratch.keep(seen.groupBy("shard").applyInPandas(shared, "part long, blob binary"))
-
-    # 2: contexts of the shared anchors to shards
-    def gather(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = ["shard", "blob"]
-        if not len(told):
-            return pd.DataFrame([], columns=columns)
-        pieces = [unpacked(b) for b in told["blob"]]
-        doc, anchor = np.concatenate([np.cumsum(x["doc"]) for x in pieces]), np.concatenate([x["anchor"] for x in pieces])
-        order = np.lexsort((anchor, doc))
-        doc, anchor = doc[order], anchor[order]
-        a_all, d_all, s_all, c_all, n_all, l_all = [], [], [], [], [], []
-        for _, d, raw in usable(own["doc"].tolist(), own["text"].tolist()):
-            lo, hi = np.searchsorted(doc, [d, d + 1])
-            if lo == hi:
-                continue
-            a, first, n, lead = contexts(np.frombuffer(raw, np.uint8))
-            short = a >> np.uint64(16)
-            mine = anchor[lo:hi]
-            at = np.minimum(np.searchsorted(mine, short), len(mine) - 1)
-            hit = np.flatnonzero(mine[at] == short)
-            a_all.append(short[hit])
-            d_all.append(np.full(len(hit), d))
-            s_all.append(first[hit])
-            n_all.append(n[hit])
-            l_all.append(lead[hit])
-            c_all += [raw[f : f + m] for f, m in zip(first[hit].tolist(), (n[hit] + WINDOW - 1).tolist(), strict=True)]
-        if not a_all:
-            return pd.DataFrame([], columns=columns)
-        a, d, s, n, lead = (np.concatenate(v) for v in (a_all, d_all, s_all, n_all, l_all))
-        out = []
-        for shard, at in dealt(shard_of(a << np.uint64(16), parts), parts):
-            at = at[np.argsort(a[at], kind="stable")]
-            out.append((shard, packed(anchor=a[at], doc=d[at], start=s[at].astype(np.uint32), windows=n[at].astype(np.uint8), lead=lead[at].astype(np.uint8), raw=b"".join([c_all[i] for i in at.tolist()]))))
-        return pd.DataFrame(out, columns=columns)
-
-    gathered = texts.groupBy("part").cogroup(lists.groupBy("part")).applyInPandas(gather, "shard long, blob binary")
-
-    # 3: the smallest document of each window
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        number: dict[bytes, int] = {}  # a distinct context
-        anchors, docs, starts, windows, leads, which = [], [], [], [], [], []
-        for blob in pdf["blob"]:
-            x = unpacked(blob)
-            size = x["windows"].astype(np.int64) + WINDOW - 1
-            stop = np.cumsum(size)
-            raw = x["raw"]
-            which.append(np.fromiter((number.setdefault(raw[e - m : e], len(number)) for e, m in zip(stop.tolist(), size.tolist(), strict=True)), np.int64, len(size)))
-            anchors.append(x["anchor"])
-            docs.append(x["doc"])
-            starts.append(x["start"])
-            windows.append(x["windows"])
-            leads.append(x["lead"])
-        anchor, doc, start, n, lead, which = (np.concatenate(v) for v in (anchors, docs, starts, windows, leads, which))
-        least = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, doc)
-        # distinct contexts of each anchor (a context may stand under one anchor only: it holds it)
-        held = np.zeros(len(number), np.uint64)
-        held[which] = anchor
-        _, group, size = np.unique(held, return_inverse=True, return_counts=True)
-        strings = list(number)
-        place = np.zeros(len(number), np.int64)
-        place[which] = lead
-        several = shared_sides(strings, place, np.flatnonzero(size[group] > 1))
-        masks = np.zeros(len(doc), np.uint64)
-        full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
-        meets = np.zeros(len(number), bool)
-        meets[several] = True
-        alone = ~meets[which]  # no other context shares a window: only its own copies do
-        masks[alone] = np.where(doc[alone] > least[which[alone]], full[alone], np.uint64(0))
-        if len(several):
-            index = RunIndex([strings[i] for i in several.tolist()], least[several], WINDOW)
-            first = index.earliest()
-            place = np.full(len(number), -1)
-            place[several] = np.arange(len(several))
-            rest = np.flatnonzero(~alone)
-            offset = np.concatenate([[0], np.cumsum([len(f) for f in first])])
-            flat = np.concatenate(first)
-            for bit in range(int(n[rest].max())):
-                live = rest[n[rest] > bit]
-                earlier = flat[offset[place[which[live]]] + bit] < doc[live]
-                masks[live] |= earlier.astype(np.uint64) << np.uint64(bit)
-        hit = np.flatnonzero(masks)
-        out = []
-        for p, at in dealt(part_of(doc[hit], parts), parts):
-            at = hit[at]
-            at = at[np.lexsort((start[at], doc[at]))]
-            out.append((p, packed(doc=np.diff(doc[at], prepend=0), start=start[at], mask=masks[at])))
-        return pd.DataFrame(out, columns=["part", "blob"])
-
-    masks = scratch.keep(gathered.groupBy("shard").applyInPandas(settle, "part long, blob binary"))
+def repeats_removed(texts: DataFrame, scratch: Scratch, parts: int, with_text: bool) -> DataFrame:
+    """The four steps over the table of texts (doc, text, part)."""
+    seen = texts.select("part", "doc", "text").mapInPandas(lambda batches: anchors_of(batches, parts), "shard long, blob binary")
+    lists = scratch.keep(seen.groupBy("shard").applyInPandas(shared_anchors, "part long, n long, blob binary"))
+    # a context takes about 70 bytes
+    shards = max(parts, -(-70 * (lists.agg(F.sum("n")).first()[0] or 0) // SHARD))
+    dealt_contexts = texts.groupBy("part").cogroup(lists.groupBy("part")).applyInPandas(lambda own, told: contexts_of(own, told, shards), "kind int, at long, blob binary")
+    held = scratch.keep(dealt_contexts)
+    settled = scratch.keep(held.where("kind = 0").groupBy("at").applyInPandas(earliest_of, "kind int, at long, blob binary"))
     scratch.drop(lists)
-
-    # 4: documents are cut
-    def cut(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        pieces = [unpacked(b) for b in told["blob"]]
-        doc = np.concatenate([np.cumsum(x["doc"]) for x in pieces]) if pieces else np.zeros(0, np.int64)
-        start = np.concatenate([x["start"] for x in pieces]).astype(np.int64) if pieces else np.zeros(0, np.int64)
-        mask = np.concatenate([x["mask"] for x in pieces]) if pieces else np.zeros(0, np.uint64)
-        order = np.lexsort((start, doc))
-        doc, start, mask = doc[order], start[order], mask[order]
-        out = []
-        for d, t in zip(own["doc"].tolist(), own["text"].tolist(), strict=True):
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            lo, hi = np.searchsorted(doc, [d, d + 1]) if d != NO_ID else (0, 0)
-            spans = 0
-            kept = raw
-            if lo < hi:
-                # windows that go: each opens a stretch of WINDOW bytes
-                bits = (mask[lo:hi, None] >> _BITS) & np.uint64(1)
-                at = (start[lo:hi, None] + _BITS.astype(np.int64))[bits.astype(bool)]
-                at = at[at + WINDOW <= len(raw)]
-                edge = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + WINDOW, minlength=len(raw) + 1)
-                gone = np.cumsum(edge)[:-1] > 0
-                spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            out.append((d, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        made = pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-        made["doc"] = own["doc"].values
-        return made if with_text else made.drop(columns=["kept"])
-
+    told = held.where("kind = 1").unionByName(settled)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    done = scratch.keep(texts.groupBy("part").cogroup(masks.groupBy("part")).applyInPandas(cut, schema))
-    scratch.drop(masks)
-    spark.sql(f"DROP TABLE {name}")
-    return done.select(F.nullif("doc", F.lit(NO_ID)).alias(key), *done.columns[1:])
+    done = scratch.keep(texts.groupBy("part").cogroup(told.groupBy("at")).applyInPandas(lambda own, news: documents_cut(own, news, with_text), schema))
+    scratch.drop(held)
+    scratch.drop(settled)
+    return done
+
+
+def anchors_of(batches: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
+    """1: the anchors of each bucket, one blob for each shard: which, in which document, and whether in several."""
+    held: dict[int, list[tuple[np.ndarray, int]]] = {}
+    size = 0
+
+    def flushed() -> Iterator[pd.DataFrame]:
+        for part, found in held.items():
+            anchor = np.concatenate([a for a, _ in found])
+            doc = np.repeat(np.array([d for _, d in found], np.int64), [len(a) for a, _ in found])
+            order = np.argsort(anchor)
+            anchor, doc = anchor[order], doc[order]
+            head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            least, most = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
+            anchor = anchor[head]
+            ids, number = np.unique(least, return_inverse=True)
+            out = []
+            for s, at in dealt(shard_of(anchor << np.uint64(16), parts), parts):
+                short = anchor[at]
+                own, which = np.unique(number[at], return_inverse=True)
+                out.append((s, packed(part=np.array([part]), high=(short >> np.uint64(16)).astype(np.uint32), low=(short & np.uint64(0xFFFF)).astype(np.uint16), number=which.astype(np.uint16 if len(own) < 65536 else np.uint32), several=np.packbits(most[at] > least[at]), ids=np.diff(ids[own], prepend=0))))
+            yield pd.DataFrame(out, columns=["shard", "blob"])
+        held.clear()
+
+    for batch in batches:
+        for part, own in batch.groupby("part", sort=False):
+            for _, doc, raw in usable(own["doc"].tolist(), own["text"].tolist()):
+                a = np.unique(contexts(np.frombuffer(raw, np.uint8))[0] >> np.uint64(16))
+                held.setdefault(int(part), []).append((a, doc))
+                size += len(a)
+        if size > 2_000_000:
+            yield from flushed()
+            size = 0
+    yield from flushed()
+
+
+def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+    """1: for each bucket those of its anchors that stand in several documents, over all buckets."""
+    anchor, doc, several, part = [], [], [], []
+    for blob in pdf["blob"]:
+        x = unpacked(blob)
+        anchor.append((x["high"].astype(np.uint64) << np.uint64(16)) | x["low"])
+        doc.append(np.cumsum(x["ids"])[x["number"]])
+        several.append(np.unpackbits(x["several"], count=len(x["high"])).astype(bool))
+        part.append(np.full(len(x["high"]), x["part"][0]))
+    anchor, doc, several, part = (np.concatenate(v) for v in (anchor, doc, several, part))
+    order = np.argsort(anchor)
+    head = np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[:1]] ^ np.uint64(1)))
+    many = (np.maximum.reduceat(doc[order], head) > np.minimum.reduceat(doc[order], head)) | np.logical_or.reduceat(several[order], head)
+    hit = order[np.repeat(many, np.diff(head, append=len(order)))]
+    anchor, part = anchor[hit], part[hit]
+    out = []
+    for p, at in by_value(part):
+        own = np.unique(anchor[at])
+        out.append((p, len(own), packed(anchor=own)))
+    return pd.DataFrame(out, columns=["part", "n", "blob"])
+
+
+def contexts_of(own: pd.DataFrame, told: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """2: the distinct contexts of a bucket's shared anchors for the shards (kind 0), and for the bucket itself where they stand (kind 1)."""
+    columns = ["kind", "at", "blob"]
+    if not len(told) or not len(own):
+        return pd.DataFrame([], columns=columns)
+    shared = np.unique(np.concatenate([unpacked(b)["anchor"] for b in told["blob"]]))
+    rows, found, strings = [], [], []
+    number: dict[bytes, int] = {}
+    for _, d, raw in usable(own["doc"].tolist(), own["text"].tolist()):
+        a, first, n, lead = contexts(np.frombuffer(raw, np.uint8))
+        short = a >> np.uint64(16)
+        hit = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short)
+        if not len(hit):
+            continue
+        first, n = first[hit], n[hit]
+        which = np.empty(len(hit), np.int64)
+        for k, (f, m) in enumerate(zip(first.tolist(), (n + WINDOW - 1).tolist(), strict=True)):
+            which[k] = number.setdefault(raw[f : f + m], len(number))
+        rows.append((d, xxhash.xxh3_64_intdigest(raw), len(hit)))
+        found.append((which, first, short[hit], n, lead[hit]))
+    if not rows:
+        return pd.DataFrame([], columns=columns)
+    which, first, anchor, n, lead = (np.concatenate(v) for v in zip(*found, strict=True))
+    strings = list(number)
+    del number, found
+    doc = np.array([d for d, _, _ in rows], np.int64)
+    count = np.array([c for _, _, c in rows], np.int64)
+    by = np.repeat(doc, count)
+    least, most = np.full(len(strings), NOBODY), np.full(len(strings), NO_ID)
+    np.minimum.at(least, which, by)
+    np.maximum.at(most, which, by)
+    key = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
+    of = np.empty(len(strings), np.int64)
+    of[which] = np.arange(len(which))  # any place of each
+    part = int(own["part"].iloc[0])
+    out = [(1, part, packed(row_doc=doc, row_hash=np.array([h for _, h, _ in rows], np.uint64), count=count, key=key, which=which.astype(np.uint32), start=first.astype(np.uint32)))]
+    for shard, at in dealt(shard_of(anchor[of] << np.uint64(16), shards), shards):
+        out.append((0, shard, packed(part=np.array([part]), key=key[at], least=least[at], most=most[at], anchor=anchor[of[at]], windows=n[of[at]].astype(np.uint8), lead=lead[of[at]].astype(np.uint8), raw=b"".join([strings[i] for i in at.tolist()]))))
+    return pd.DataFrame(out, columns=columns)
+
+
+def earliest_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """3: for each bucket the smallest id that holds each window of its contexts, where that may be another document's."""
+    told = [unpacked(b) for b in pdf["blob"]]
+    sizes = [len(x["key"]) for x in told]
+    joined = lambda name: np.concatenate([x[name] for x in told])
+    every, least, most, anchor, windows, lead = (joined(c) for c in ("key", "least", "most", "anchor", "windows", "lead"))
+    part = np.repeat([int(x["part"][0]) for x in told], sizes)
+    key, first, which = np.unique(every, return_index=True, return_inverse=True)
+    owner = np.full(len(key), NOBODY)
+    np.minimum.at(owner, which, least)
+    strings: list[bytes] = [b""] * len(key)
+    wanted, at = np.zeros(len(every), bool), 0
+    wanted[first] = True
+    for x, k in zip(told, sizes, strict=True):
+        stop = np.cumsum(x["windows"].astype(np.int64) + WINDOW - 1)
+        begin = np.concatenate([[0], stop[:-1]])
+        raw = x.pop("raw")
+        for i in np.flatnonzero(wanted[at : at + k]).tolist():
+            strings[which[at + i]] = raw[begin[i] : stop[i]]
+        at += k
+    told.clear()
+    n = windows[first].astype(np.int64)
+    offset = np.concatenate([[0], np.cumsum(n)])
+    flat = np.repeat(owner, n)  # its own copies hold it
+    for group in pieces(anchor[first], lead[first], strings):
+        if len(group) < 2:
+            continue
+        own = [strings[i] for i in group.tolist()]
+        found, start = RunIndex(own, owner[group], WINDOW).earliest(own, NOBODY)
+        to = np.arange(start[-1]) + np.repeat(offset[group] - start[:-1], np.diff(start))
+        flat[to] = np.minimum(flat[to], found)
+    low = np.minimum.reduceat(flat, offset[:-1])
+    out = []
+    news = np.flatnonzero(low[which] < most)
+    for p, held in by_value(part[news]):
+        mine = which[news[held]]
+        at = np.arange(n[mine].sum()) + np.repeat(offset[mine] - np.concatenate([[0], np.cumsum(n[mine])[:-1]]), n[mine])
+        out.append((0, p, packed(key=key[mine], windows=n[mine].astype(np.uint8), least=flat[at])))
+    return pd.DataFrame(out, columns=["kind", "at", "blob"])
+
+
+def documents_cut(own: pd.DataFrame, news: pd.DataFrame, with_text: bool) -> pd.DataFrame:
+    """4: the documents of a bucket without the bytes that a smaller id has."""
+    stretches: dict[tuple[int, int], np.ndarray] = {}
+    places = [unpacked(b) for b in news["blob"][news["kind"] == 1]]
+    told = [unpacked(b) for b in news["blob"][news["kind"] == 0]]
+    if places and told:
+        key, windows, least = (np.concatenate([x[c] for x in told]) for c in ("key", "windows", "least"))
+        n = windows.astype(np.int64)
+        offset = np.concatenate([[0], np.cumsum(n)])[:-1]
+        order = np.argsort(key)
+        for x in places:
+            at = order[np.minimum(np.searchsorted(key[order], x["key"]), len(order) - 1)]
+            hit = np.flatnonzero((key[at] == x["key"])[x["which"]])
+            at, start = at[x["which"][hit]], x["start"][hit].astype(np.int64)
+            row = np.repeat(np.arange(len(x["count"])), x["count"])[hit]
+            many = n[at]
+            step = np.arange(many.sum()) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64), many)
+            gone = least[np.repeat(offset[at], many) + step] < np.repeat(x["row_doc"][row], many)
+            where, row = (np.repeat(start, many) + step)[gone], np.repeat(row, many)[gone]
+            cuts = np.searchsorted(row, np.arange(len(x["count"]) + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                stretches[int(x["row_doc"][k]), int(x["row_hash"][k])] = where[cuts[k] : cuts[k + 1]]
+    out = []
+    for d, t in zip(own["doc"].tolist(), own["text"].tolist(), strict=True):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        at = stretches.get((d, xxhash.xxh3_64_intdigest(raw))) if stretches and d != NO_ID else None
+        spans, kept = 0, raw
+        if at is not None:
+            # windows that go: each opens a stretch of WINDOW bytes
+            edge = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + WINDOW, minlength=len(raw) + 1)
+            gone = np.cumsum(edge)[:-1] > 0
+            spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        out.append((d, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+    made = pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    made["doc"] = own["doc"].values
+    return made if with_text else made.drop(columns=["kept"])
