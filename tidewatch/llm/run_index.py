@@ -16,6 +16,21 @@ from __future__ import annotations
 import numpy as np
 
 
+class Marks:
+    """Marked rows: which mark is the last one up to a row, by counts of the marks before each 64 rows."""
+
+    def __init__(self, marked: np.ndarray):
+        bits = np.packbits(marked, bitorder="little")
+        self.words = np.zeros(-(-len(marked) // 64) + 1, np.uint64)
+        self.words.view(np.uint8)[: len(bits)] = bits
+        self.before = (np.cumsum(np.bitwise_count(self.words), dtype=np.int64) - np.bitwise_count(self.words)).astype(np.int64)
+
+    def last(self, rows: np.ndarray) -> np.ndarray:
+        word = rows >> 6
+        up_to = self.words[word] << (np.uint64(63) - (rows & 63).astype(np.uint64))
+        return self.before[word] + np.bitwise_count(up_to) - 1
+
+
 class RunIndex:
     def __init__(self, strings: list[bytes], owners: np.ndarray, window: int):
         """owners: a number per string; an interval keeps the smallest of the strings that its rows start in."""
@@ -37,7 +52,7 @@ class RunIndex:
         n = len(text)
         before = text[order - 1]  # the text is a circle: the last terminator stands before the first string
         first = np.concatenate([[True], before[1:] != before[:-1]])
-        self.run_start = np.flatnonzero(first)
+        self.run_start, self.run_of = np.flatnonzero(first), Marks(first)
         self.run_symbol = before[self.run_start].astype(np.int64)
         run_end = np.append(self.run_start[1:], n) - 1
         self.sample_first, self.sample_last = order[self.run_start], order[run_end]
@@ -57,26 +72,20 @@ class RunIndex:
         self.n = n
         self.end_row = rank[ends]
         # intervals at the window length; suffixes too short stand alone
-        owner = np.searchsorted(self.starts, order, side="right") - 1
+        owner = np.repeat(np.arange(len(strings)), self.lengths + 1)[order]
         left = ends[owner] - order
         same = shared_prefix(text, order, window)
         long = left >= window
         cut = np.concatenate([[True], ~(same & long[1:] & long[:-1])])
-        self.interval = np.flatnonzero(cut)
-        self.least = np.minimum.reduceat(self.owners[owner], self.interval)
+        self.interval = Marks(cut)
+        self.least = np.minimum.reduceat(self.owners[owner], np.flatnonzero(cut))
 
     def runs(self) -> int:
         return len(self.run_start)
 
-    def step(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of the suffixes one symbol longer, and that symbol."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
-        symbol = self.run_symbol[run]
-        return self.below[symbol] + self.seen[run] + rows - self.run_start[run], symbol
-
     def least_owner(self, rows: np.ndarray) -> np.ndarray:
         """The smallest owner of a string that holds the window at each row."""
-        return self.least[np.searchsorted(self.interval, rows, side="right") - 1]
+        return self.least[self.interval.last(rows)]
 
     def statistics(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For every place of every pattern, one pattern after the other: length of the longest match up to the window, a row and a text position of it; and where each pattern begins."""
@@ -95,7 +104,7 @@ class RunIndex:
             live = int(np.searchsorted(-size, -back, side="left"))  # sizes over back
             at = first[:live] + size[:live] - 1 - back
             c = asked[at]
-            run = np.searchsorted(self.run_start, row[:live], side="right") - 1
+            run = self.run_of.last(row[:live])
             turn = np.flatnonzero(self.run_symbol[run] != c)
             if len(turn):
                 row[turn], place[turn], known[turn], run[turn] = self.turned(c[turn], run[turn], row[turn], place[turn], known[turn], runs)

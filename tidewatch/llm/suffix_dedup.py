@@ -139,6 +139,8 @@ def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def pieces(anchor: np.ndarray, place: np.ndarray, strings: list[bytes]) -> Iterator[np.ndarray]:
     """The contexts in groups for one index each: whole anchors, about PIECE bytes; a larger anchor by the half windows on either side of it.
 
+    An anchor with one context is in none: it shares no window with another string.
+
     Two contexts with a window in common are in a group together: they have the anchor in common, and with it at least half of the window's
     other bytes on one side.
     """
@@ -150,6 +152,8 @@ def pieces(anchor: np.ndarray, place: np.ndarray, strings: list[bytes]) -> Itera
     half = (WINDOW - K + 1) // 2
     packed_groups, total = [], 0
     for group, n in zip(groups, held.tolist(), strict=True):
+        if len(group) < 2:
+            continue
         parts = [group]
         if n > PIECE:
             sides: dict[bytes, list[int]] = {}
