@@ -224,15 +224,12 @@ def repeats_removed(texts: DataFrame, scratch: Scratch, parts: int, with_text: b
     lists = scratch.keep(seen.groupBy("shard").applyInPandas(shared_anchors, "part long, n long, blob binary"))
     # a context takes about 70 bytes
     shards = max(parts, -(-70 * (lists.agg(F.sum("n")).first()[0] or 0) // SHARD))
-    dealt_contexts = texts.groupBy("part").cogroup(lists.groupBy("part")).applyInPandas(lambda own, told: contexts_of(own, told, shards), "kind int, at long, blob binary")
-    held = scratch.keep(dealt_contexts)
-    settled = scratch.keep(held.where("kind = 0").groupBy("at").applyInPandas(earliest_of, "kind int, at long, blob binary"))
+    held = texts.groupBy("part").cogroup(lists.groupBy("part")).applyInPandas(lambda own, told: contexts_of(own, told, shards), "at long, blob binary")
+    told = scratch.keep(held.groupBy("at").applyInPandas(lambda pdf: earliest_of(pdf) if pdf["at"].iloc[0] < shards else pdf.assign(kind=1, at=pdf["at"] - shards)[["kind", "at", "blob"]], "kind int, at long, blob binary"))
     scratch.drop(lists)
-    told = held.where("kind = 1").unionByName(settled)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     done = scratch.keep(texts.groupBy("part").cogroup(told.groupBy("at")).applyInPandas(lambda own, news: documents_cut(own, news, with_text), schema))
-    scratch.drop(held)
-    scratch.drop(settled)
+    scratch.drop(told)
     return done
 
 
@@ -294,8 +291,8 @@ def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def contexts_of(own: pd.DataFrame, told: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """2: the distinct contexts of a bucket's shared anchors for the shards (kind 0), and for the bucket itself where they stand (kind 1)."""
-    columns = ["kind", "at", "blob"]
+    """2: the distinct contexts of a bucket's shared anchors for the shards, and where they stand, for ``shards`` and the bucket."""
+    columns = ["at", "blob"]
     if not len(told) or not len(own):
         return pd.DataFrame([], columns=columns)
     shared = np.unique(np.concatenate([unpacked(b)["anchor"] for b in told["blob"]]))
@@ -328,9 +325,9 @@ def contexts_of(own: pd.DataFrame, told: pd.DataFrame, shards: int) -> pd.DataFr
     of = np.empty(len(strings), np.int64)
     of[which] = np.arange(len(which))  # any place of each
     part = int(own["part"].iloc[0])
-    out = [(1, part, packed(row_doc=doc, row_hash=np.array([h for _, h, _ in rows], np.uint64), count=count, key=key, which=which.astype(np.uint32), start=first.astype(np.uint32)))]
+    out = [(shards + part, packed(row_doc=doc, row_hash=np.array([h for _, h, _ in rows], np.uint64), count=count, key=key, which=which.astype(np.uint32), start=first.astype(np.uint32)))]
     for shard, at in dealt(shard_of(anchor[of] << np.uint64(16), shards), shards):
-        out.append((0, shard, packed(part=np.array([part]), key=key[at], least=least[at], most=most[at], anchor=anchor[of[at]], windows=n[of[at]].astype(np.uint8), lead=lead[of[at]].astype(np.uint8), raw=b"".join([strings[i] for i in at.tolist()]))))
+        out.append((shard, packed(part=np.array([part]), key=key[at], least=least[at], most=most[at], anchor=anchor[of[at]], windows=n[of[at]].astype(np.uint8), lead=lead[of[at]].astype(np.uint8), raw=b"".join([strings[i] for i in at.tolist()]))))
     return pd.DataFrame(out, columns=columns)
 
 
