@@ -14,13 +14,9 @@ base AS (SELECT w.doc_id, source, t, len(words) AS n_words, length(array_to_stri
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
 line AS (SELECT doc_id, source, t, len(regexp_extract_all(x, {_WORDS})) AS k,
   translate(regexp_replace(lower(trim(regexp_replace(x, '[\x09-\x0D]', ' ', 'g'))), ' {{2,}}', ' ', 'g'), '123456789', '000000000') AS h FROM (SELECT doc_id, source, t, unnest(lines) AS x FROM w)),
-per AS (SELECT source, h, t, max(k) AS k, max(n_words) AS n_words FROM line JOIN base USING (doc_id, source, t) GROUP BY source, h, t),
 host AS (SELECT source, greatest(20, count(DISTINCT t) * 0.1) AS most FROM d GROUP BY source),
-often AS (SELECT source, h, most FROM per JOIN host USING (source) GROUP BY source, h, most HAVING count(*) > 20 AND count(*) > most),
-found AS (SELECT per.*, most FROM per JOIN often USING (source, h)),
-witness AS (SELECT source, t FROM found GROUP BY source, t HAVING sum(k) * 2 <= max(n_words)),
-gone AS (SELECT source, h FROM found JOIN witness USING (source, t) GROUP BY source, h, most HAVING count(*) > most),
-lost AS (SELECT doc_id, count(*) AS n, sum(k) AS k FROM line JOIN gone USING (source, h) GROUP BY doc_id),
+gone AS (SELECT line.source, h FROM line JOIN host ON line.source IS NOT DISTINCT FROM host.source GROUP BY line.source, h, most HAVING count(DISTINCT t) > most),
+lost AS (SELECT doc_id, count(*) AS n, sum(k) AS k FROM line JOIN gone ON line.h = gone.h AND line.source IS NOT DISTINCT FROM gone.source GROUP BY doc_id),
 done AS (SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(lost.n, 0) AS n_removed_lines, n_words - coalesce(lost.k, 0) AS n_words_left FROM base LEFT JOIN lost USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, CAST(n_removed_lines AS BIGINT) AS n_removed_lines, CAST(n_words_left AS BIGINT) AS n_words_left, NOT base_failed AND n_words_left >= n_words * 0.3 AS kept FROM done"""

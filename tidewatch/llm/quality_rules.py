@@ -5,16 +5,16 @@ Words are runs of anything but ASCII white space. The word rules fail a document
 
 Lines are normalised (lower case, runs of white space as one blank, digits as 0, ends trimmed) and hashed. For
 each host (``source``) a line's documents are counted by distinct content, so exact copies count
-once. A line is frequent above ``max(MIN_DOCS, MAX_SHARE * contents of the host)``. Copies with small
-edits share most of their lines as well, so a second count takes only witnesses: contents in which
-frequent lines make up at most half of the words, or that have at least ``MIN_OWN`` percent words of their own (``independent``:
-in no window shared with frequent or other remaining lines), as pages of one template have and edited copies have not. Lines above the limit by witnesses too are removed. A
+once. A line in more than ``max(MIN_DOCS, MAX_SHARE * contents of the host)`` of them is removed, wherever it stands. A
 document with less than ``MIN_LEFT`` of its words left is depleted and rejected. ``judge`` counts, ``keep`` selects
 documents as they are, ``clean`` selects them and takes the removed lines out of their texts.
 
+Edited copies count as documents of their own: a family of them that makes up more than the share of its host loses the lines it
+has in common, as the pages of one template do. Near-duplicates of smaller families keep their lines; finding those is ``minhash``'s work.
+
 Defined cases: a null text has no words (base fails); a null source is a host of its own; a null
-doc_id is a document like any other; repeated rows give repeated results; empty tables give no rows;
-columns other than doc_id, text and source are ignored.
+doc_id is a document like any other; a line exactly at the limit stays, and so does a document with exactly ``MIN_LEFT`` left; repeated rows give
+repeated results; empty tables give no rows; columns other than doc_id, text and source are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SPACE_CLASS, SPACES, Scratch
+from tidewatch.llm.common import SPACE_CLASS, SPACES, Scratch, unused
 
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -30,8 +30,6 @@ SYMBOLS = "#*$%&|<>"
 MIN_DOCS = 20
 MAX_SHARE = 0.1
 MIN_LEFT = 0.3
-#: Percent of a content's words that make it a document of its own.
-MIN_OWN = 5
 
 
 def count_words(text: Column) -> Column:
@@ -102,64 +100,19 @@ def normal_line(line: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(F.trim(F.translate(line, SPACES, " " * len(SPACES)))), " {2,}", " "), "123456789", "000000000")
 
 
-def frequent_lines(measured: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, scratch: Scratch | None = None) -> DataFrame:
-    """Lines to remove: host, h, docs (contents with the line), witnesses."""
-    lines = measured.select(F.col("source").alias("host"), "content", "n_words", F.explode(F.array_distinct("lines")).alias("l")).select(
-        "host", "content", "n_words", F.col("l.h").alias("h"), F.col("l.w").alias("w")
-    )
-    per_content = lines.groupBy("host", "h", "content").agg(F.max("w").alias("w"), F.max("n_words").alias("n_words"))
-    limits = measured.groupBy("source", "content").agg(F.lit(1).alias("one")).groupBy(F.col("source").alias("host")).agg(F.greatest(F.lit(float(min_docs)), F.count("one") * max_share).alias("limit"))
-    often = per_content.groupBy("host", "h").agg(F.count("content").alias("docs")).where(F.col("docs") > min_docs)
-    often = often.join(limits, often["host"].eqNullSafe(limits["host"])).drop(limits["host"]).where(F.col("docs") > F.col("limit"))
-    if scratch:
-        often = scratch.keep(often)
-    found = per_content.alias("a").join(often.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.h") == F.col("b.h"))).select("a.host", "a.h", "content", "w", "n_words", "docs", "limit")
-    if scratch:
-        found = scratch.keep(found)
-    shares = found.groupBy("host", "content").agg(F.sum("w").alias("often"), F.max("n_words").alias("n_words"), F.max("limit").alias("limit"), F.collect_set("h").alias("hs"))
-    witness = shares.where("often * 2 <= n_words").select("host", "content")
-    rest = shares.where((F.col("often") * 2 > F.col("n_words")) & ((F.col("n_words") - F.col("often")) * 100 >= F.col("n_words") * MIN_OWN))
-    rest = scratch.keep(rest) if scratch else rest
-    witness = witness.unionByName(independent(docs, rest, scratch))
-    seen = found.alias("a").join(witness.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.content") == F.col("b.content"))).select("a.host", "a.h", "docs", "limit")
-    return seen.groupBy("host", "h", "docs", "limit").agg(F.count(F.lit(1)).alias("witnesses")).where(F.col("witnesses") > F.col("limit")).select("host", "h", "docs", "witnesses")
-
-
-def independent(docs: DataFrame, rest: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """host and content of the contents of rest (often, n_words, limit, hs: their frequent lines) with enough words of their own.
-
-    Words of their own lie outside the frequent lines and in no three-word window that a frequent line, or more than the
-    limit of the other contents' remaining lines, holds as well; an edited copy has next to none.
-    """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("source").alias("source__"), F.xxhash64(text).alias("content__"), text.alias("text"))
-    texts = keyed.join(rest, F.col("source__").eqNullSafe(F.col("host")) & (F.col("content__") == F.col("content"))).select("host", "content", "n_words", "limit", "hs", "text")
-    texts = texts.dropDuplicates(["host", "content"])
-    told = texts.select("host", "content", "n_words", "limit", "hs", F.explode(F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, SPACES, "") != "")).alias("x"))
-    told = told.select("host", "content", "n_words", "limit", "hs", normal_line(F.col("x")).alias("x")).withColumn("h", F.xxhash64("x"))
-    told = told.select("host", "content", "n_words", "limit", "h", F.array_contains("hs", F.col("h")).alias("frequent"), F.split("x", " ").alias("ws"))
-    wide = F.size("ws") > 2
-    windows = F.when(wide, F.transform(F.sequence(F.lit(0), F.size("ws") - 3), lambda i: F.xxhash64(F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)))).otherwise(F.array(F.xxhash64("ws")))
-    own = told.where("NOT frequent").select("host", "content", "n_words", "limit", "h", F.size("ws").alias("k"), windows.alias("gs"))
-    own = scratch.keep(own) if scratch else own
-    shared = told.where("frequent").select("host", "h", windows.alias("gs")).distinct().select("host", F.explode("gs").alias("g"))
-    placed = own.select("host", "content", "limit", "h", "k", F.posexplode("gs").alias("i", "g"))
-    many = placed.groupBy("host", "g", "content").agg(F.max("limit").alias("limit")).groupBy("host", "g").agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("limit")).where("n > limit").select("host", "g")
-    common = shared.unionByName(many).distinct()
-    met = placed.alias("a").join(common.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.g") == F.col("b.g")), "left_semi").select("host", "content", "h", "k", "i")
-    # a line of the text found twice is counted once on either side
-    covered = met.select("host", "content", "h", F.explode(F.sequence("i", F.least(F.col("i") + 2, F.col("k") - 1))).alias("j")).distinct()
-    covered = covered.groupBy("host", "content").agg(F.count(F.lit(1)).alias("covered"))
-    words = own.select("host", "content", "n_words", "h", "k").distinct().groupBy("host", "content").agg(F.sum("k").alias("own"), F.max("n_words").alias("n_words"))
-    left = words.alias("a").join(covered.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.content") == F.col("b.content")), "left")
-    return left.where((F.col("own") - F.coalesce("covered", F.lit(0))) * 100 >= F.col("n_words") * MIN_OWN).select("a.host", "a.content")
+def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """Lines to remove: host, h, docs (the host's contents with the line)."""
+    held = measured.select(F.col("source").alias("host"), "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
+    often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
+    hosts = measured.select(F.col("source").alias("of"), "content").distinct().groupBy("of").agg((F.count(F.lit(1)) * max_share).alias("limit"))
+    return often.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("docs") > F.col("limit")).select("host", "h", "docs")
 
 
 def judge_contents(docs: DataFrame, min_docs: int, max_share: float, min_left: float) -> DataFrame:
     """The rows of judge(), with the host and the hash of the text that the verdict belongs to, and the hashes of the lines to remove."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
     measured = scratch.keep(measure(docs))
-    remove = scratch.keep(frequent_lines(measured, docs, min_docs, max_share, scratch))
+    remove = scratch.keep(frequent_lines(measured, min_docs, max_share))
     lost = (
         measured.select(F.col("source").alias("host"), "content", F.explode("lines").alias("l"))
         .alias("a")
@@ -205,10 +158,16 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     return judge_contents(docs, min_docs, max_share, min_left).drop("source", "content", "gone")
 
 
+def verdict_of(docs: DataFrame, judged: DataFrame, how: str) -> tuple[DataFrame, str, str]:
+    """docs joined with the verdicts on their contents, and the names that kept and gone have there."""
+    host, content, kept, gone = unused(docs, "host", "content", "kept", "gone")
+    marks = judged.select(F.col("source").alias(host), F.col("content").alias(content), F.col("kept").alias(kept), F.col("gone").alias(gone)).distinct()
+    return docs.join(marks, F.col("source").eqNullSafe(F.col(host)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(content)), how), kept, gone
+
+
 def keep(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    out = judge_contents(docs, min_docs, max_share, min_left).where(~F.col("kept")).select(F.col("source").alias("source__"), F.col("content").alias("content__")).distinct()
-    return docs.join(out, F.col("source").eqNullSafe(F.col("source__")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("content__")), "left_anti")
+    return verdict_of(docs, judge_contents(docs, min_docs, max_share, min_left).where(~F.col("kept")), "left_anti")[0]
 
 
 def without_lines(text: Column, gone: Column) -> Column:
@@ -219,8 +178,6 @@ def without_lines(text: Column, gone: Column) -> Column:
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows that keep() gives, with the frequent lines taken out of their texts; the words left are n_words_left."""
-    judged = judge_contents(docs, min_docs, max_share, min_left).where(~F.col("kept") | F.col("gone").isNotNull())
-    marks = judged.select(F.col("source").alias("source__"), F.col("content").alias("content__"), F.col("kept").alias("kept__"), F.col("gone").alias("gone__")).distinct()
-    found = docs.join(marks, F.col("source").eqNullSafe(F.col("source__")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("content__")), "left")
-    text = F.when(F.col("gone__").isNotNull(), without_lines(F.col("text"), F.col("gone__"))).otherwise(F.col("text"))
-    return found.where(F.coalesce("kept__", F.lit(True))).withColumn("text", text).select(*docs.columns)
+    found, kept, gone = verdict_of(docs, judge_contents(docs, min_docs, max_share, min_left).where(~F.col("kept") | F.col("gone").isNotNull()), "left")
+    text = F.when(F.col(gone).isNotNull(), without_lines(F.col("text"), F.col(gone))).otherwise(F.col("text"))
+    return found.where(F.coalesce(kept, F.lit(True))).withColumn("text", text).select(*docs.columns)
