@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -26,7 +27,7 @@ def test_base_spans_match_the_patterns():
     assert pii.base_spans("4" * 100000 + "@" + "a" * 100000 + "+1" * 1000) is not None
 
 
-def test_tagger_gradients_and_held_out_spans():
+def test_tagger_gradients():
     tagger = pii_model.Tagger(3)
     batch = pii_model.pad(pii_model.labelled_samples(3))
     _, grads = tagger.step_grads(*batch)
@@ -38,41 +39,126 @@ def test_tagger_gradients_and_held_out_spans():
         down = tagger.step_grads(*batch)[0]
         tagger.p[name][i] += 1e-5
         assert abs((up - down) / 2e-5 - g[i]) < 1e-3 * max(1, abs(g[i])), name
-    trained = pii_model.trained()
-    test = pii_model.labelled_samples(150, seed=99)
-    hit = total = found = 0
-    for (_, spans), got in zip(test, trained.decode([t for t, _ in test]), strict=True):
-        got = {(k, s, e) for k, s, e, p in got if p > pii.SURE}
-        hit, total, found = hit + len(got & set(spans)), total + len(spans), found + len(got)
-    assert hit / total > 0.75 and hit / found > 0.9
-
-
-def test_long_regions_are_reconciled():
-    text = " ".join(["ab cd"] * 10 + ["+1 (706) 555-3138"] + ["12"] * 90 + ["x.12@mail.example.com"])
-    spans = next(pii.all_spans([text], pii_model.trained()))[1]
-    assert any(k == 0 for k, _, _ in spans) and all(0 <= s < e <= len(text) for _, s, e in spans)
-
-
-def test_long_and_upper_case_addresses_are_whole():
-    names, hosts = ["an", "lamitionreastlomibeauverthentionque", "anna.lomi_thentionreastingverbledela.que"], ["lami.example.org", "mailreastinglamitionverblethentionlo.example.com", "post.thentionreastlomiverblelamiting.co.uk"]
-    for at in (" [at] ", "(at)", " [AT] ", "(AT)"):
-        for name in names:
-            for host in hosts:
-                address = name + at + host
-                text = f"the lami que {address} and en tion la"
-                spans = next(pii.all_spans([text], pii_model.trained()))[1]
-                assert (0, 13, 13 + len(address)) in spans and len(spans) == 1, (text, [text[a:b] for _, a, b in spans])
-    text = "ab " * 40 + "x" * 200 + "7" + "y" * 100 + "8" + "z" * 100 + " ab" * 40
-    assert [text[a:b].split()[-1] for a, b in pii.regions(text)] == ["x" * 200 + "7" + "y" * 100 + "8" + "z" * 100]
-    assert len(pii.regions(("a" * 90 + "1") * 20000)) == 1
-
-
-def test_find_and_mask(docs, none, spark):
+
+
+def toy_scores(seed, steps=5):
+    rng = np.random.default_rng(seed)
+    tagger = pii_model.Tagger(seed)
+    tagger.p["move"] = rng.normal(size=tagger.p["move"].shape)
+    return tagger, rng.normal(size=(steps, pii_model.TAGS)) * 2
+
+
+def paths(tagger, steps):
+    """All tag paths that a text may have."""
+    import itertools
+
+    ok = tagger.mask == 0
+    for path in itertools.product(range(pii_model.TAGS), repeat=steps):
+        if (path[0] % 2 == 1 or path[0] == 0) and all(ok[a, b] for a, b in zip(path[:-1], path[1:], strict=True)):
+            yield path
+
+
+def test_marginals_and_best_paths_match_enumeration():
+    for seed in range(3):
+        tagger, emit = toy_scores(seed, 4)
+        every = list(paths(tagger, 4))
+        score = np.array([emit[range(4), p].sum() + sum(tagger.p["move"][a, b] for a, b in zip(p[:-1], p[1:], strict=True)) for p in every])
+        share = np.exp(score - score.max())
+        share /= share.sum()
+        want = np.zeros((4, pii_model.TAGS))
+        for p, w in zip(every, share, strict=True):
+            want[range(4), p] += w
+        # beside it a shorter text
+        two, valid = np.stack([emit, emit], axis=1), np.array([[True, True]] * 2 + [[True, False]] * 2)
+        slow, fast = tagger.forward_backward(two, valid)[3], tagger.marginals(two.transpose(0, 2, 1), valid)
+        assert np.abs(slow[:, 0] - want).max() < 1e-9 and np.abs(fast[:, :, 0] - want).max() < 1e-9 and np.abs(slow[:, 1] - fast[:, :, 1]).max() < 1e-9
+        # the path by the product of the marginals
+        log = np.log(want + 1e-12)
+        best = max(every, key=lambda p: log[range(4), p].sum())
+        tags = [0] * 4
+        for kind, s, e, _ in pii_model.spans_of(want, tagger.mask):
+            tags[s:e] = [1 + 2 * kind] + [2 + 2 * kind] * (e - s - 1)
+        assert tuple(tags) == best
+        for shift in (-9, -3, -1, 0, 3):
+            moved = emit.copy()
+            moved[:, 0] -= shift
+            score = {p: moved[range(4), p].sum() + sum(tagger.p["move"][a, b] for a, b in zip(p[:-1], p[1:], strict=True)) for p in every}
+            quiet = max(score, key=score.get) == (0,) * 4
+            assert tagger.silent(moved[:, :, None].astype(np.float32), np.ones((4, 1), bool))[0] == quiet
+
+
+def test_decoding_reads_as_training_does():
+    tagger = pii_model.trained()
+    codes, _, valid = pii_model.pad(pii_model.labelled_samples(40, seed=8))
+    x = tagger.p["embed"][codes]
+    slow = np.concatenate([tagger._run("f", x, False)[0], tagger._run("b", x, False)[0]], axis=2) @ tagger.p["out"] + tagger.p["bias"]
+    whole = valid.all(axis=0)
+    fast = tagger.emissions(codes, valid).transpose(0, 2, 1)
+    assert np.abs(slow[:, whole] - fast[:, whole]).max() < 1e-2
+    long = pii_model.labelled_samples(1, seed=3)[0][0]
+    alone = tagger.emissions(pii_model.encode(long)[:, None], np.ones((len(long), 1), bool))[:, :, 0]
+    padded = np.full((len(long) + 40, 2), 129, np.uint8)
+    padded[: len(long), 0] = pii_model.encode(long)
+    assert np.abs(tagger.emissions(padded, np.arange(len(padded))[:, None] < [len(long), len(padded)])[: len(long), :, 0] - alone).max() < 1e-3
+
+
+def test_added_spans_in_prose():
+    """Forms that the patterns miss, in sentences that the training's rule does not make; and sentences with numbers that are nobody's."""
+    rng = random.Random(12)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    names, hosts = ["anna.keller", "tom", "m.ruiz", "office", "jan_de"], ["example.org", "mail.example.com", "kontakt-net.de", "uni.example.co.uk"]
+
+    def card(gap):
+        body = digits(15)
+        last = next(c for c in "0123456789" if pii.luhn(body + c))
+        return gap.join((body + last)[k : k + 4] for k in (0, 4, 8, 12))
+
+    forms = [
+        (0, lambda: rng.choice(names) + rng.choice([" [at] ", "(at)", " (AT) ", "[AT]"]) + rng.choice(hosts)),
+        (3, lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        (3, lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        (2, lambda: card(".")),
+        (2, lambda: card("/")),
+    ]
+    around = [("Please call ", " before noon, thank you."), ("You may reach our office under ", " until Friday."), ("Her note said ", " and nothing else was written on it."), ("Kontakt: ", " oder am Schalter"), ("The clerk copied ", "; then the line went dead.")]
+    hit = found = total = 0
+    for k in range(200):
+        (kind, make), (before, after) = forms[k % 5], rng.choice(around)
+        item = make()
+        both = k % 4 == 0
+        text = before + item + (" or " + make() if both else "") + after
+        want = {(kind, len(before), len(before) + len(item))} | ({(kind, len(before) + len(item) + 4, len(text) - len(after))} if both else set())
+        base, every = next(pii.all_spans([text], pii_model.trained()))
+        added = set(every) - set(base)
+        hit, found, total = hit + len(added & want), found + len(added), total + len(want)
+    assert hit / total > 0.8 and hit / found > 0.95, (hit, found, total)
+    plain = ["In 2024-05-17 the price rose from 1,200 to 1,350, see page 112.", "Version 3.11.2 of the parser took 12:30 minutes and 4096 MB.", "He paid $25,000 for lot 48213 on 12.05.2021.", "They met at noon (room 305) and read chapter 7."]
+    assert all(not e for _, e in pii.all_spans(plain, pii_model.trained()))
+
+
+def test_windows_of_long_texts_are_reconciled():
+    item = "call (706) 555-3138 or mail jan.de [at] mail.example.com please"
+    for before in range(0, 2 * pii_model.STRIDE, 13):
+        text = ("la mention " * 60)[:before] + " " + item + " la mention" * 40
+        spans = next(pii.all_spans([text], pii_model.trained()))[1]
+        assert {(3, before + 6, before + 20), (0, before + 29, before + 57)} >= {s for s in spans} and len(spans) >= 1, (before, spans)
+    text = "x" * 400_000 + " 12 " + "7" * 300_000
+    assert next(pii.all_spans([text], pii_model.trained())) is not None
+
+
+def test_find_and_mask(docs, rows, none, spark):
     got = pii.find(docs).collect()
-    assert len(got) == docs.count() and pii.find(none).count() == 0
-    d = spark.createDataFrame([(1, "mail a.1@x.org now", "k"), (2, None, "k"), (3, "no data", None)], "doc_id long, text string, z string")
-    assert {r.doc_id: r.text for r in pii.mask(d).collect()} == {1: "mail <EMAIL> now", 2: None, 3: "no data"}
+    assert len(got) == len(rows) and pii.find(none).count() == 0
+    for r in got:
+        text = [t for d, t, *_ in rows if d == r.doc_id]
+        base = {pii.written(pii.base_spans(t)) for t in text}
+        assert r.base_sha256 in {hashlib.sha256(b.encode()).hexdigest() for b in base}
+        assert r.added == 0 and (r.n_email, r.n_ip, r.n_card, r.n_phone) == (0, 0, 0, 0) and r.spans in base
+    d = spark.createDataFrame([(1, "mail a.1@x.org now", "k"), (2, None, "k"), (3, "no data", None), (None, "10.0.0.1, 10.0.0.1", "")], "doc_id long, text string, z string")
+    assert {r.doc_id: r.text for r in pii.mask(d).collect()} == {1: "mail <EMAIL> now", 2: None, 3: "no data", None: "<IP>, <IP>"}
     assert pii.mask(d).columns == d.columns
+    found = {r.doc_id: r for r in pii.find(d).collect()}
+    assert (found[1].n_email, found[1].spans, found[2].spans, found[None].n_ip) == (1, "email:5:14", "", 2)
 
 
 def test_language_id_on_held_out_rows(spark, none):

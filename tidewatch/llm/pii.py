@@ -1,10 +1,9 @@
 """Personal data: patterns with validity tests, and a character tagger that adds what they miss.
 
 Base spans come from four patterns, leftmost and non-overlapping for each kind, and must pass their test
-(Luhn, parts of at most 255, numbers of digits). The tagger (``pii_model``) reads the neighbourhood of every digit and
-``@`` and of bracketed ``at`` in any case, with the whole runs of address characters at its edges; all kinds hold one of these, so nothing else can hold a span. Its spans
-are added where they overlap no base span, are sure enough, and have the digits of their kind (a card
-must also pass Luhn). Offsets are code points, ends exclusive.
+(Luhn, parts of at most 255, numbers of digits). The tagger (``pii_model``) reads every text as a whole, in overlapping windows. Where it
+is sure enough of a span, what has the written form of the kind there (``_SHAPES``; wider than the patterns: no ``+``, other separators, ``[at]``) and the kind's digits
+(a card must also pass Luhn) is added, unless it overlaps a base span. Offsets are code points, ends exclusive.
 
 Defined cases: a null text has no spans; repeated rows are searched each; a null doc_id stays; empty tables give
 no rows; further columns are kept by ``mask`` and ignored by ``find``; long texts are read whole.
@@ -25,9 +24,7 @@ from tidewatch.llm.pii_model import KINDS
 
 Span = tuple[int, int, int]  # kind, start, end
 
-SURE = 0.8
-#: Characters around a trigger that the tagger reads, and the gap that still joins two triggers.
-AROUND, JOIN = 28, 24
+SURE = 0.7
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,10 +32,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]")
-_AT = re.compile(r"[(\[] ?[aA][tT] ?[)\]]")
-_TRIGGER = re.compile(rf"[0-9@]+|{_AT.pattern}")
-_RUN = re.compile(r"[A-Za-z0-9._%+-]*+")
-_HOST_REST = re.compile(r"(?:\.?[A-Za-z0-9-])*+")
+#: Written forms of the kinds that the tagger may add.
+_SHAPES = (
+    re.compile(r"[A-Za-z0-9._%+-]++ ?(?:@|[(\[] ?[aA][tT] ?[)\]]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}(?![0-9])"),
+    re.compile(r"(?<![0-9])[0-9](?:[\x20./-]?[0-9])+"),
+    re.compile(r"(?<![0-9.])(?:\+|\((?=[0-9]{1,5}\)))?[0-9](?:[\x20().-]{0,2}[0-9])+"),
+)
 
 
 def luhn(digits: str) -> bool:
@@ -82,77 +82,51 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
-def run_start(text: str, at: int, least: int = 0) -> int:
-    """Where the run of address characters that ends before ``at`` begins."""
-    while at > least and _LOCAL.match(text[at - 1]):
-        at -= 1
-    return at
-
-
-def regions(text: str) -> list[tuple[int, int]]:
-    """Neighbourhoods of triggers, joined where they meet; none splits a run of triggers or of address characters."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        if out and m.start() - AROUND - JOIN <= out[-1][1]:
-            out[-1][1] = m.end() + AROUND
-        else:
-            out.append([max(0, m.start() - AROUND), m.end() + AROUND])
-    whole: list[list[int]] = []
-    for a, b in out:
-        b = min(b, len(text))
-        done = whole[-1][1] if whole else 0
-        if whole and b <= done:
-            continue
-        start, end = run_start(text, a, done) if a > done else done, _RUN.match(text, b).end()
-        if whole and start <= done:
-            whole[-1][1] = end
-        else:
-            whole.append([start, end])
-    return [(a, b) for a, b in whole]
-
-
-def completed(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
-    """An address with the rest of its local part and host, where the tagger stopped inside them."""
-    return (run_start(text, start), _HOST_REST.match(text, end).end()) if kind == 0 else (start, end)
-
-
 def plausible(kind: int, value: str) -> bool:
     digits = "".join(_NUMBER.findall(value))
-    if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(@|[(\[] ?[aA][tT] ?[)\]]) ?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", value))
     if kind == 1:
-        parts = re.findall("[0-9]+", value)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return all(int(p) <= 255 for p in re.findall("[0-9]+", value))
     if kind == 2:
         return 14 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?[\x20().0-9/-]+", value)) and len(digits) < len(value)
+    return kind == 0 or 10 <= len(digits) <= 15 and len(digits) < len(value)
+
+
+def shaped(kind: int, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What has the form of the kind and overlaps the span; the tagger may have stopped inside it, or taken two in a row for one."""
+    at = start
+    while at > 0 and start - at < 320 and (_LOCAL.match(text[at - 1]) if kind == 0 else text[at - 1] in "+(0123456789"):
+        at -= 1
+    for m in _SHAPES[kind].finditer(text, at):
+        if m.start() >= end:
+            break
+        if m.end() > start and plausible(kind, m.group()):
+            yield m.span()
 
 
 def all_spans(texts: list[str | None], tagger: pii_model.Tagger) -> Iterator[tuple[list[Span], list[Span]]]:
     """For each text its base spans, and base and added spans together."""
-    base = [base_spans(t) for t in texts]
-    where = [(i, a, b) for i, t in enumerate(texts) if t for a, b in regions(t)]
-    added: dict[int, list[Span]] = {}
-    for k in range(0, len(where), 2048):
-        part = where[k : k + 2048]
-        read = [_AT.sub(lambda m: m.group().lower(), texts[i][a:b]) for i, a, b in part]
-        for (i, a, _), spans in zip(part, tagger.decode(read), strict=True):
-            for kind, s, e, sure in spans:
-                value = texts[i][a + s : a + e]
-                s, e = a + s + len(value) - len(value.lstrip()), a + e - len(value) + len(value.rstrip())
-                taken = base[i] + added.get(i, [])
-                for x, y in dict.fromkeys((completed(kind, texts[i], s, e), (s, e))):
-                    if sure >= SURE and plausible(kind, texts[i][x:y]) and not any(x < d and c < y for _, c, d in taken):
-                        added.setdefault(i, []).append((kind, x, y))
-                        break
-    for i, own in enumerate(base):
-        yield own, sorted(own + added.get(i, []), key=lambda s: (s[1], s[0], s[2]))
+    for text, tagged in zip(texts, tagger.decode([t or "" for t in texts]), strict=True):
+        base = base_spans(text)
+        every = list(base)
+        for kind, start, end, sure in tagged:
+            if sure >= SURE:
+                for x, y in shaped(kind, text, start, end):
+                    if not any(x < d and c < y for _, c, d in every):
+                        every.append((kind, x, y))
+        yield base, sorted(every, key=lambda s: (s[1], s[0], s[2]))
 
 
 def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of at most 2,000 rows, so that few windows are held at once."""
+    for batch in batches:
+        for k in range(0, len(batch), 2000):
+            yield batch.iloc[k : k + 2000]
+
+
 def find(docs: DataFrame, tagger: pii_model.Tagger | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all) and added (how many the tagger adds)."""
     held = docs.sparkSession.sparkContext.broadcast(tagger or pii_model.trained())
@@ -160,7 +134,7 @@ def find(docs: DataFrame, tagger: pii_model.Tagger | None = None, text: str = "t
     names = ["n_" + k for k in KINDS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for own, every in all_spans(batch[text].tolist(), held.value):
                 counts = np.bincount([k for k, _, _ in own], minlength=len(KINDS)).tolist()
@@ -193,7 +167,7 @@ def mask(docs: DataFrame, tagger: pii_model.Tagger | None = None, text: str = "t
     held = docs.sparkSession.sparkContext.broadcast(tagger or pii_model.trained())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch[text].tolist()
             new = [masked(t, every) if every else t for t, (_, every) in zip(texts, all_spans(texts, held.value), strict=True)]
             yield batch.assign(**{text: pd.Series(new, index=batch.index, dtype=object)})

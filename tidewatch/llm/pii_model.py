@@ -1,9 +1,11 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
+Gates are piecewise linear (``(z + 2) / 4`` and ``z``, clipped), which the training's gradients follow exactly.
 Training minimises the CRF's negative log likelihood of labelled spans by back-propagation through time
-(Adam). Decoding works on overlapping windows: each window's marginals come from the CRF's forward-backward
-pass, a character's marginals are the mean over its windows weighted by the distance to the
-nearer window edge, and one Viterbi pass over the whole region picks the tags.
+(Adam). Decoding reads whole texts in overlapping windows of ``WINDOW`` characters. A window whose best tag path is all outside
+needs no more; the others get marginals from the CRF's forward-backward
+pass. A character's marginals are the mean over its windows weighted by the distance to the
+nearer window edge, and a Viterbi pass over each stretch of characters that aren't clearly outside picks the tags.
 """
 
 from __future__ import annotations
@@ -16,14 +18,21 @@ import numpy as np
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # 0 outside, 1 + 2k begins kind k, 2 + 2k continues it
 SYMBOLS = 130  # ASCII, 128 any other letter, 129 anything else
-EMBED, HIDDEN = 10, 16
-WINDOW, STRIDE = 96, 48
+EMBED, HIDDEN = 8, 10
+WINDOW, STRIDE = 256, 208
+#: Windows worked on at once.
+AT_ONCE = 1024
+#: Characters with this share of the outside tag are outside, but for two at the edges of others.
+CLEAR = 0.98
 NEVER = -1e4
+_SYMBOL = np.arange(129, dtype=np.uint8)
+_SYMBOL[65:91] += 32
 
 
 def encode(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(points < 128, points, 128)
+    """Symbols of a text; upper case in A-Z reads as lower case."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _SYMBOL[np.minimum(points, 128)]
 
 
 def allowed() -> np.ndarray:
@@ -37,7 +46,11 @@ def allowed() -> np.ndarray:
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(z / 2))
+    return np.clip(0.25 * z + 0.5, 0, 1)
+
+
+def linear(z: np.ndarray) -> np.ndarray:
+    return np.clip(z, -1, 1)
 
 
 def lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -45,6 +58,12 @@ def lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
+_MAY_START = ((np.arange(TAGS) % 2 == 1) | (np.arange(TAGS) == 0)).astype(float)
+#: Folds the gates' slope and offset into weights and biases.
+_SCALE = np.repeat([0.25, 0.25, 0.25, 1.0], HIDDEN).astype(np.float32)[:, None]
+_SHIFT = np.repeat([0.5, 0.5, 0.5, 0.0], HIDDEN).astype(np.float32)[:, None]
+
+
 class Tagger:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -66,9 +85,9 @@ class Tagger:
             z = into[t] + h @ w[EMBED:]
             gates = sigmoid(z[:, : 3 * HIDDEN])
             i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
+            g = linear(z[:, 3 * HIDDEN :])
             before, c = c, f * c + i * g
-            tc = np.tanh(c)
+            tc = linear(c)
             if keep:
                 kept.append((t, h, before, i, f, o, g, tc))
             h = o * tc
@@ -80,19 +99,59 @@ class Tagger:
         d_h, d_c, d_x = np.zeros_like(d_out[0]), np.zeros_like(d_out[0]), np.zeros_like(x)
         for t, h, before, i, f, o, g, tc in reversed(kept):
             d_h = d_h + d_out[t]
-            d_c = d_c + d_h * o * (1 - tc * tc)
-            d_z = np.concatenate([d_c * g * i * (1 - i), d_c * before * f * (1 - f), d_h * tc * o * (1 - o), d_c * i * (1 - g * g)], axis=1)
+            d_c = d_c + d_h * o * (np.abs(tc) < 1)
+            inside = lambda x: 0.25 * ((x > 0) & (x < 1))
+            d_z = np.concatenate([d_c * g * inside(i), d_c * before * inside(f), d_h * tc * inside(o), d_c * i * (np.abs(g) < 1)], axis=1)
             grads["w" + side] += np.concatenate([x[t], h], axis=1).T @ d_z
             grads["b" + side] += d_z.sum(0)
             back = d_z @ w.T
             d_x[t], d_h, d_c = back[:, :EMBED], back[:, EMBED:], d_c * f
         return d_x
 
-    def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """(time, batch) symbols to (time, batch, TAGS) scores."""
-        x = self.p["embed"][codes]
-        both = np.concatenate([self._run("f", x, False)[0], self._run("b", x, False)[0]], axis=2)
-        return both @ self.p["out"] + self.p["bias"]
+    def emissions(self, codes: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """(time, batch) symbols to (time, TAGS, batch) scores, in single precision with the batch innermost. valid: a prefix of each column."""
+        steps, n = codes.shape
+        embed = np.ascontiguousarray(self.p["embed"].T, np.float32)
+        both = np.zeros((steps, 2 * HIDDEN, n), np.float32)
+        for k, side in enumerate("fb"):
+            w, b = np.ascontiguousarray(self.p["w" + side].T, np.float32), self.p["b" + side].astype(np.float32)[:, None]
+            w, b = w * _SCALE, b * _SCALE + _SHIFT
+            x = np.zeros((EMBED + HIDDEN, n), np.float32)
+            c, z, u = np.zeros((HIDDEN, n), np.float32), np.zeros((4 * HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
+            h, gates, g = x[EMBED:], z[: 3 * HIDDEN], z[3 * HIDDEN :]
+            for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+                np.take(embed, codes[t], axis=1, out=x[:EMBED], mode="clip")
+                np.matmul(w, x, out=z)
+                z += b
+                np.clip(gates, 0, 1, out=gates)
+                np.clip(g, -1, 1, out=g)
+                c *= z[HIDDEN : 2 * HIDDEN]
+                np.multiply(z[:HIDDEN], g, out=u)
+                c += u
+                np.clip(c, -1, 1, out=u)
+                np.multiply(u, z[2 * HIDDEN : 3 * HIDDEN], out=h)
+                if side == "b" and not valid[t].all():  # what lies behind the end has not been read
+                    h *= valid[t]
+                    c *= valid[t]
+                both[t, k * HIDDEN : (k + 1) * HIDDEN] = h
+        return np.matmul(np.ascontiguousarray(self.p["out"].T, np.float32), both) + self.p["bias"].astype(np.float32)[:, None]
+
+    def silent(self, emit: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """Which windows have the path of outside tags only as their best one; scores are taken relative to that path."""
+        move = (self.p["move"] - self.p["move"][0, 0]).astype(np.float32)[:, :, None]
+        free, begun, on = [0, *range(1, TAGS, 2)], slice(1, TAGS, 2), slice(2, TAGS, 2)
+        enter, stay, go = move[:, free], move[range(1, TAGS, 2), range(2, TAGS, 2)], move[range(2, TAGS, 2), range(2, TAGS, 2)]
+        best = np.full(emit.shape[1:], NEVER, np.float32)
+        best[0] = 0
+        best[begun] = emit[0, begun] - emit[0, 0]
+        for t in range(1, len(emit)):
+            ahead = emit[t] - emit[t, 0]
+            new = np.empty_like(best)
+            new[on] = np.maximum(best[begun] + stay, best[on] + go)
+            new[free] = (best[:, None] + enter).max(axis=0)
+            new += ahead
+            best = new if valid[t].all() else np.where(valid[t], new, best)
+        return best.max(axis=0) <= 0
 
     def forward_backward(self, emit: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Log alpha, log beta, log partition and the marginals; valid: (time, batch), a prefix of each column."""
@@ -154,28 +213,67 @@ class Tagger:
                 self.p[k] -= rate * (1 - 0.9 * n / steps) * (m[k] / (1 - 0.9**n)) / (np.sqrt(v2[k] / (1 - 0.999**n)) + 1e-8)
         return losses
 
-    def decode(self, regions: list[str]) -> Iterator[list[tuple[int, int, int, float]]]:
-        """For each region, its spans (kind, start, end, mean marginal), from overlapping windows."""
-        cut = []
-        for k, text in enumerate(regions):
-            codes = encode(text)
-            starts = list(range(0, max(1, len(codes) - WINDOW + STRIDE), STRIDE)) if len(codes) > WINDOW else [0]
-            cut += [(k, s, codes[s : s + WINDOW]) for s in starts]
-        total = [np.full((len(r), TAGS), 1e-9) for r in regions]
-        cut.sort(key=lambda x: len(x[2]))
-        for at in range(0, len(cut), 256):
-            part = cut[at : at + 256]
-            longest = max(1, max(len(c) for _, _, c in part))
-            codes, valid = np.full((longest, len(part)), 129), np.zeros((longest, len(part)), bool)
-            for j, (_, _, c) in enumerate(part):
-                codes[: len(c), j], valid[: len(c), j] = c, True
-            marginal = self.forward_backward(self.emissions(codes), valid)[3]
-            for j, (k, s, c) in enumerate(part):
-                place = np.arange(len(c))
-                weight = 1.0 + np.minimum(place, len(c) - 1 - place)
-                total[k][s : s + len(c)] += marginal[: len(c), j] * weight[:, None]
-        for share in total:
-            yield spans_of(share / share.sum(1, keepdims=True), self.mask)
+    def marginals(self, emit: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """What ``forward_backward`` gives, for (time, TAGS, batch) scores and in that shape, with numbers scaled at each step instead of logarithms."""
+        steps, _, n = emit.shape
+        move = np.exp(self.p["move"] + self.mask)
+        ahead = np.exp((emit - emit.max(axis=1, keepdims=True)).astype(np.float64))
+        back = np.ones((steps, TAGS, n))
+        for t in range(steps - 2, -1, -1):
+            b = move @ (ahead[t + 1] * back[t + 1])
+            back[t] = np.where(valid[t + 1], b / b.sum(axis=0), 1.0)
+        out, now = np.zeros((steps, TAGS, n)), np.zeros((TAGS, n))
+        for t in range(steps):
+            now = ahead[t] * (move.T @ now if t else _MAY_START[:, None])
+            now /= now.sum(axis=0)
+            both = now * back[t]
+            out[t] = both / both.sum(axis=0)
+        return out * valid[:, None, :]
+
+    def decode(self, texts: list[str]) -> Iterator[list[tuple[int, int, int, float]]]:
+        """For each text, its spans (kind, start, end, mean marginal), from overlapping windows over the whole of it."""
+        codes = [encode(t) for t in texts]
+        cut = [(k, s, min(WINDOW, len(c) - s)) for k, c in enumerate(codes) for s in range(0, max(1, len(c) - (WINDOW - STRIDE)), STRIDE) if len(c)]
+        cut.sort(key=lambda x: x[2])
+        loud: dict[int, dict[int, np.ndarray]] = {}
+        for at in range(0, len(cut), AT_ONCE):
+            part = cut[at : at + AT_ONCE]
+            batch, valid = np.full((max(n for _, _, n in part), len(part)), 129, np.uint8), np.zeros((max(n for _, _, n in part), len(part)), bool)
+            for j, (k, s, n) in enumerate(part):
+                batch[:n, j], valid[:n, j] = codes[k][s : s + n], True
+            emit = self.emissions(batch, valid)
+            asked = np.flatnonzero(~self.silent(emit, valid))
+            if len(asked):
+                marginal = self.marginals(emit[:, :, asked], valid[:, asked])
+                for i, j in enumerate(asked.tolist()):
+                    k, s, n = part[j]
+                    loud.setdefault(k, {})[s] = marginal[:n, :, i].copy()
+        for k, c in enumerate(codes):
+            yield self.reconciled(loud[k], len(c)) if k in loud else []
+
+    def reconciled(self, loud: dict[int, np.ndarray], size: int) -> list[tuple[int, int, int, float]]:
+        """The spans of a text of that size from its windows' marginals, by start; windows that aren't given are all outside."""
+        found, starts = [], sorted(loud)
+        while starts:
+            run = [starts.pop(0)]
+            while starts and starts[0] == run[-1] + STRIDE:
+                run.append(starts.pop(0))
+            begin, end = run[0], run[-1] + len(loud[run[-1]])
+            share = np.full((end - begin, TAGS), 1e-9)
+            for s in [run[0] - STRIDE, *run, run[-1] + STRIDE]:
+                n = min(WINDOW, size - s)
+                if s < 0 or n <= 0 or s >= end:
+                    continue
+                weight = 1.0 + np.minimum(np.arange(n), n - 1 - np.arange(n))
+                a, b = max(s, begin), min(s + n, end)
+                own = loud[s] if s in loud else np.eye(1, TAGS).repeat(n, 0)
+                share[a - begin : b - begin] += (own * weight[:, None])[a - s : b - s]
+            share /= share.sum(1, keepdims=True)
+            inside = np.flatnonzero(share[:, 0] < CLEAR)
+            for part in np.split(inside, np.flatnonzero(np.diff(inside) > 4) + 1) if len(inside) else []:
+                first = max(0, int(part[0]) - 2)
+                found += [(kind, x + begin + first, y + begin + first, sure) for kind, x, y, sure in spans_of(share[first : int(part[-1]) + 3], self.mask)]
+        return found
 
 
 def spans_of(share: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -215,61 +313,68 @@ def pad(samples: list[tuple[str, list[tuple[int, int, int]]]]) -> tuple[np.ndarr
     return codes, tags, valid
 
 
-def labelled_samples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Labelled snippets by rule: words of syllables around personal data, and numbers that are none."""
+def labelled_samples(n: int, seed: int = 5, length: int = 150) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Labelled snippets by rule: words around personal data in written forms of many kinds, several in a row, and numbers and signs that are none."""
     rng = np.random.default_rng(seed)
-    parts = "an er en tion la de que th re st ing lo mi be au é ä ó un ver ble".split()
+    vowels, rest = [*"aeiou", "é", "ä", "ou", "ie", "ó"], [*"bcdfghklmnprstvwz", "th", "st", "ch", "ñ", "ll"]
+    common = "the a to of and is on at in for or call write mail us me you your our new price order number version page by from until with und der die de la le et en que".split()
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    upto = lambda a, b: int(rng.integers(a, b + 1))
+    plain = lambda k: "".join(pick("bcdfghklmnprstvwz") + pick("aeiou") for _ in range(k))
 
     def word() -> str:
-        w = "".join(pick(parts) for _ in range(int(rng.integers(1, 4))))
-        w = pick([w, w, w, w.capitalize(), w.upper()])
-        return w + pick(["", "", "", "", ",", ".", "!!", "***", "$$$", " |"])
+        w = pick(common) if rng.random() < 0.4 else "".join(pick(rest) + pick(vowels) for _ in range(upto(1, 4))) + pick(["", "n", "r", "s"])
+        return pick([w, w, w, w.capitalize(), w.upper()])
 
     def email() -> str:
-        name = "".join(pick(parts) for _ in range(int(rng.integers(1, 3)))).encode("ascii", "ignore").decode() or "ab"
-        name += pick(["", "." + digits(2), digits(int(rng.integers(1, 4))), "_x", "+y"])
-        host = pick(["mail" + digits(1) + ".example.com", "example.org", pick(parts[:8]) + "-net.de", "post.co.uk"])
-        return pick(["{}@{}", "{}@{}", "{}@{}", "{} @ {}", "{} [at] {}", "{}(at){}"]).format(name, host)
+        name = pick([plain(upto(1, 4)), plain(1) + pick("._-+") + plain(upto(1, 3)), plain(2) + digits(upto(1, 4)), plain(1) + "." + digits(2)])
+        host = ".".join([plain(upto(1, 3)) + pick(["", digits(1), "-net"]), *[plain(2)] * upto(0, 1), pick(["com", "org", "de", "net", "co.uk", "es", "fr"])])
+        return name + pick(["@", "@", " @ ", " [at] ", "[at]", "(at)", " (at) "]) + host
 
     def ip() -> str:
-        return ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
+        return ".".join(str(upto(0, 255)) for _ in range(4))
 
     def card() -> str:
         d = [int(x) for x in digits(15)]
         last = (10 - sum(x if i % 2 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10) % 10
         s = "".join(map(str, d)) + str(last)
-        return pick([s, s, *[g.join(s[i : i + 4] for i in range(0, 16, 4)) for g in " -./"]])
+        gap = pick(["", "", " ", "-", ".", "/"])
+        return gap.join(s[i : i + 4] for i in range(0, 16, 4))
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1.{a}.{b}.{c}", f"+{digits(11)}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1.{a}.{b}.{c}", f"+{digits(11)}", f"0{a[:2]} {b} {c}", f"+{digits(2)}-{a}-{b}{c}"])
 
     def other() -> str:
-        hexes = "".join(pick("0123456789abcdef") for _ in range(40))
-        return pick([f'token = "{hexes}"', f'TOKEN = "{hexes.upper()}"', "4.0.", "version 3.", "2024-05-17", digits(4), digits(2) + "%", f"{digits(1)}.{digits(1)}.{digits(2)}", "$" + digits(5), f"{digits(3)},{digits(3)}", "12:30", digits(8), "@" + word(), "ISBN " + digits(6)])
+        hexes = "".join(pick("0123456789abcdef") for _ in range(pick([8, 32, 40])))
+        made = [f'token = "{hexes}"', hexes, f"{upto(0, 30)}.{upto(0, 30)}.{upto(0, 30)}", f"{upto(1990, 2030)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(2)}/{digits(2)}/{digits(4)}"]
+        made += [digits(upto(1, 13)), digits(2) + "%", "$" + digits(upto(2, 5)), f"{digits(3)},{digits(3)}", f"{digits(2)}:{digits(2)}", "@" + plain(2), f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(4)}-{digits(4)}", f"({digits(3)})", f"{digits(2)}-{digits(2)}", f"www.{plain(2)}.com", f"{plain(2)}.{pick(['py', 'com', 'org'])}", "[" + digits(2) + "]", f"+{digits(2)}", f"{plain(2)} at {plain(2)}.com", f"{digits(3)} {digits(3)}"]
+        return pick(made)
 
     kinds = (email, ip, card, phone, other)
+    marks = ["", "", "", "", "", ",", ".", ":", ";", "!!", "***", " |", "?", ")", "###"]
     samples = []
     for _ in range(n):
-        text, spans = "", []
-        for _ in range(int(rng.integers(1, 4))):
-            text += "".join(word() + pick([" ", " ", " ", "\n"]) for _ in range(int(rng.integers(0, 4))))
-            kind = int(rng.integers(5))
-            item = kinds[kind]()
+        text, spans, last = "", [], 0
+        while len(text) < length and rng.random() < 0.93:
+            if rng.random() < 0.55:
+                text += " ".join(word() + pick(marks) for _ in range(upto(1, 5))) + pick([" ", " ", " ", "\n"])
+                continue
+            kind = last if rng.random() < 0.3 else int(rng.integers(5))
+            item, before = kinds[kind](), pick(["", "", "", "", "(", "<", '"'])
+            text += before
             if kind < 4:
                 spans.append((kind, len(text), len(text) + len(item)))
-            text += item + pick([" ", " ", ". ", "\n", "!! ", "### "])
-        text += word()
-        spans = [s for s in spans if s[2] <= 120]
-        samples.append((text[:120] if not any(s[1] < 120 < s[2] for s in spans) else text[: max((s[1] for s in spans), default=120)] or "a", spans))
-        samples[-1] = (samples[-1][0], [s for s in spans if s[2] <= len(samples[-1][0])])
+            text += item + {"(": ")", "<": ">", '"': '"', "": ""}[before] + pick([" ", " ", " ", ". ", ", ", "\n", " or ", " and ", " / ", "; ", "!! ", "### ", " | "])
+            last = kind
+        text = (text + word())[: max([length, *[e for _, _, e in spans]])]
+        samples.append((text, spans))
     return samples
 
 
 @lru_cache(maxsize=2)
-def trained(steps: int = 220, samples: int = 3000, seed: int = 0) -> Tagger:
+def trained(steps: int = 400, samples: int = 6000, seed: int = 0) -> Tagger:
     """The tagger that the operator uses; trained once per driver process."""
     tagger = Tagger(seed)
     tagger.fit(labelled_samples(samples), steps)
