@@ -236,3 +236,32 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixed.columns == d.columns and abs(mixed.count() / 600 - 1) < 0.2
     assert mixing.rates(none, labels).count() == 0
     assert mixing.rates(docs, labels.where("false")).count() == docs.count()
+
+
+def test_mixing_rates_match_a_dense_solver(spark):
+    """The distributed rates against projected gradient descent on one dense array, run to the end."""
+    rng = random.Random(16)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon".split())
+    rows = [(k, " ".join((word().upper() + "!!") if k % 5 == 1 else word() for _ in range(rng.randint(10, 60)))) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k % 5 != 1), 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    targets = {"clean": 0.7, "low": 0.3, "toxic": 0.0}
+    got = mixing.rates(d, labels, targets, steps=80).toPandas().sort_values("doc_id")
+    p, n = np.array(got.posterior.tolist()), got.n_tokens.to_numpy(float)
+    share = n / n.sum()
+    metric = np.linalg.inv((p * share[:, None]).T @ p + 0.01 * np.eye(3))
+    goal = np.array([0.7, 0.3, 0.0])
+    cost = lambda r: 0.5 * (x := (share * r) @ p - goal) @ metric @ x + mixing.LAMBDA / 2 * (share * (r - 1) ** 2).sum()
+    r = np.ones(len(n))
+    for _ in range(4000):
+        r = np.maximum(0, r - 0.5 * (p @ (metric @ ((share * r) @ p - goal)) + mixing.LAMBDA * (r - 1)))
+    assert cost(got.rate.to_numpy()) <= cost(r) * 1.02 + 1e-6
+    assert np.abs((share * got.rate.to_numpy()) @ p - (share * r) @ p).max() < 2e-3
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["mark", "copies", "id__", "of", "own", "Many", "copy", "rate"]
+    d = spark.createDataFrame([(k, f"alpha beta {k}", *range(8)) for k in range(50)] + [(None, None, *range(8))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    mixed = mixing.mix(d, labels)
+    assert mixed.columns == d.columns and mixed.count() >= 1 and mixing.core("(né!!###") == ("né", "!!###") and mixing.core("###")[0] == ""

@@ -23,6 +23,7 @@ empty tables give no rows; further columns are kept by ``mix``.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch
+from tidewatch.llm.common import Scratch, unused
 from tidewatch.llm.text_features import WIDTH, measures
 
 DOMAINS = ("clean", "low", "toxic")
@@ -42,14 +43,22 @@ STEPS, REPLAY = 40, 8
 LAMBDA = 1e-3
 CLOSE = 2e-4
 
-_TAILS = ("", ".", ",", "!!", "###", "***", "$$$", "%%%", "&&&", ".###", ".***", ",!!", ".!!")
-_MARKS = ".,!?;:|*#$%&<>\"'()"
+#: Endings of tokens (marks behind the word) that the classifier reads a word with: the most frequent of its sample.
+TAILS = 24
+
+_CORE = re.compile(r"\w(?:.*\w)?", re.DOTALL)
 
 
 def tokens(text: str | None) -> set[str]:
     return set(text.lower().split()) if text else set()
 
 
+def core(token: str) -> tuple[str, str]:
+    """The word of a token, without marks around it, and the marks behind it."""
+    found = _CORE.search(token)
+    return (found.group(), token[found.end() :]) if found else ("", token)
+
+
 class Classifier:
     """Softmax regression on text measures and the words that tell the domains apart."""
 
@@ -57,8 +66,11 @@ class Classifier:
         y = np.eye(len(DOMAINS))[domains]
         seen = Counter()
         inside = [Counter() for _ in DOMAINS]
-        bags = [{w.strip(_MARKS) for w in tokens(t)} for t in texts]
-        for bag, d in zip(bags, domains, strict=True):
+        tails = Counter()
+        for t, d in zip(texts, domains, strict=True):
+            parts = [core(w) for w in tokens(t)]
+            tails.update(tail for word, tail in parts if word)
+            bag = {word for word, _ in parts}
             seen.update(bag)
             inside[d].update(bag)
         size = y.sum(0)
@@ -68,7 +80,7 @@ class Classifier:
                 share = n / len(texts)
                 told[w] = max(abs(inside[d][w] - size[d] * share) / np.sqrt(size[d] * share * (1 - share) + 1e-9) for d in range(len(DOMAINS)) if size[d])
         chosen = sorted(told, key=lambda w: (-told[w], w))[:WORDS]
-        self.column = {w + tail: WIDTH + k for k, w in enumerate(chosen) for tail in _TAILS}
+        self.column = {w + tail: WIDTH + k for k, w in enumerate(chosen) for tail in sorted(tails, key=lambda x: (-tails[x], x))[:TAILS]}
         self.width = WIDTH + WORDS + 1
         self.mean, self.dev = np.zeros(self.width), np.ones(self.width)
         x = self.features(texts)
@@ -81,7 +93,7 @@ class Classifier:
             g = x.T @ (softmax(x @ self.weights) - y) / len(x) + 1e-3 * self.weights
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             self.weights -= 0.05 * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-9)
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             shift = np.log(prior) - np.log(size / size.sum())
         self.weights[-1] += np.where(size > 0, shift, -50.0)
 
@@ -217,6 +229,7 @@ def copies(rated: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
     """docs with each row as often as its copies say; the same columns."""
     chosen = copies(rates(docs.select("doc_id", "text"), labels, targets, total)).groupBy("doc_id", "mark").agg(F.max("copies").alias("copies"))
-    marked = docs.withColumn("mark__", F.xxhash64("doc_id", "text"))
-    joined = marked.join(chosen.withColumnRenamed("doc_id", "id__"), F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("mark__") == F.col("mark")) & (F.col("copies") > 0))
-    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    of, mark, own, many, copy = unused(docs, "of", "mark", "own", "many", "copy")
+    told = chosen.where("copies > 0").select(F.col("doc_id").alias(of), F.col("mark").alias(mark), F.col("copies").alias(many))
+    joined = docs.withColumn(own, F.xxhash64("doc_id", "text")).join(told, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(mark)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
