@@ -81,6 +81,22 @@ def test_packing_is_complete(docs, rows, none):
     assert packing.pack(none, word_tokenizer_path()).count() == 0
 
 
+def test_sentences_are_cut_only_where_nothing_else_fits():
+    rng = np.random.default_rng(5)
+    ends = np.array([False, True, False])
+    docs = []
+    for k in range(60):
+        ids = np.zeros(int(rng.integers(1, 400)), np.uint32)
+        ids[rng.random(len(ids)) < 0.05] = 1
+        docs.append((k, ids))
+    docs[30] = (30, np.zeros(700, np.uint32))  # a sentence of more than five sequences
+    pieces = [p for part in packing.pack_stream(iter(docs), ends, size=128, buffer=2000) for p in part]
+    for doc, start, length, *_ in pieces:
+        ids = docs[doc][1]
+        assert doc == 30 or start + length == len(ids) or ends[ids[start + length - 1]] or max(np.diff(np.flatnonzero(np.concatenate([[True], ends[ids], [True]])))) > 128
+    assert [sum(p[2] for p in pieces if p[0] == k) for k in range(60)] == [len(x) for _, x in docs]
+
+
 def test_word_tokens_equal_the_tokenizer():
     tokens = packing.word_tokens(word_tokenizer_path())
     rng = random.Random(7)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +73,23 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def released(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], *caches: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """run for mapInPandas; when a task ends, its memory goes back to the system, as the worker process goes on to serve other operators."""
+
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id's text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch
+from tidewatch.llm.common import Scratch, released
 from tidewatch.llm.components import components
 
 SHINGLE = 5
@@ -71,7 +71,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return out
@@ -80,6 +80,10 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def forget_words() -> None:
+    _HASHES.clear()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     if not text:
@@ -144,8 +148,9 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "sig", "bands"])
             out.insert(0, key, batch[key].values)
             yield out
+        forget_words()
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
+    return docs.select(key, text).mapInPandas(released(run), f"{key} {kind}, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -195,10 +200,10 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int, differences: bool
 
     spread = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
     dealt = pairs.select("a", "b").join(spread, "b")
-    left = dealt.join(texts.withColumnRenamed("id", "a"), "a").mapInPandas(own, "a long, b long, parts int, hashes binary")
+    left = dealt.join(texts.withColumnRenamed("id", "a"), "a").mapInPandas(released(own), "a long, b long, parts int, hashes binary")
     left = left.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     copies = spread.join(texts.withColumnRenamed("id", "b"), "b").select("b", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return left.join(copies, ["b", "part"]).select("a", "b", "hashes", "text").mapInPandas(met, schema)
+    return left.join(copies, ["b", "part"]).select("a", "b", "hashes", "text").mapInPandas(released(met), schema)
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch, unused
+from tidewatch.llm.common import Scratch, released, unused
 from tidewatch.llm.text_features import WIDTH, measures
 
 DOMAINS = ("clean", "low", "toxic")
@@ -148,7 +148,7 @@ def with_posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"], "mark": part["mark"], "n_tokens": [len(t.split()) if t else 0 for t in texts], "posterior": list(p)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark")).mapInPandas(run, f"doc_id {kind}, mark long, n_tokens long, posterior array<double>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark")).mapInPandas(released(run), f"doc_id {kind}, mark long, n_tokens long, posterior array<double>")
 
 
 def momentum(steps: int) -> list[float]:

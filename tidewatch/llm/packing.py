@@ -1,8 +1,8 @@
 """Packing token streams into sequences by an order-preserving dynamic programme.
 
 Each input partition is a stream of documents in table order. A window of the stream that becomes
-one sequence may be cut at any document or sentence end, and, where those are further apart than
-``CUT_EVERY`` tokens, also at positions that far apart. With ``pad(n)`` = 0 where n is a power of
+one sequence may be cut at any document or sentence end; only where those are further apart than a whole
+sequence are there cuts between, every ``CUT_EVERY`` tokens. With ``pad(n)`` = 0 where n is a power of
 two (inside a stream: ``size`` or its half) and ``size - n`` else, the cuts minimise
 
     sum of pad(length) + sum of the penalty of each cut (0 document end, SENTENCE sentence end, INNER else).
@@ -29,13 +29,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidewatch.llm.common import released
+
 SIZE = 2048
 SENTENCE, INNER = 4, 48
 CUT_EVERY = 128
 BUFFER = 1 << 17
 END_ID = 1
 #: Chunks of text remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+\Z")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
@@ -195,10 +197,12 @@ def pack_stream(docs: Iterator[tuple[object, np.ndarray]], ends: np.ndarray, siz
         lengths = np.array([len(x[1]) - x[2] for x in held])
         stops = np.cumsum(lengths)
         worth = np.full(len(ids) + 1, np.inf)
-        worth[np.arange(0, len(ids), CUT_EVERY)] = INNER
         worth[1:][ends[ids]] = SENTENCE
         worth[stops] = 0
         worth[0] = 0
+        natural = np.flatnonzero(np.isfinite(worth))
+        for k in np.flatnonzero(np.diff(natural) > size).tolist():
+            worth[natural[k] + CUT_EVERY : natural[k + 1] : CUT_EVERY] = INNER
         where = np.flatnonzero(np.isfinite(worth))
         cuts = where[best_cuts(where, worth[where], size, 1 if last else size // 2)]
         if not last and len(cuts) > 3:
@@ -255,5 +259,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
             out = pd.DataFrame(pieces, columns=names)
             out["sequence_id"] += base
             yield out
+        tokens.clear()
+        tokens.pieces.clear()
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInPandas(released(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

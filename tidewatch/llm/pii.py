@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidewatch.llm import pii_model
+from tidewatch.llm.common import released
 from tidewatch.llm.pii_model import KINDS
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -121,10 +122,10 @@ def written(spans: list[Span]) -> str:
 
 
 def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of at most 2,000 rows, so that few windows are held at once."""
+    """Batches of at most 1,000 rows, so that few windows are held at once."""
     for batch in batches:
-        for k in range(0, len(batch), 2000):
-            yield batch.iloc[k : k + 2000]
+        for k in range(0, len(batch), 1000):
+            yield batch.iloc[k : k + 1000]
 
 
 def find(docs: DataFrame, tagger: pii_model.Tagger | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -143,7 +144,7 @@ def find(docs: DataFrame, tagger: pii_model.Tagger | None = None, text: str = "t
             out.insert(0, key, batch[key].values)
             yield out
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, {', '.join(n + ' long' for n in names)}, base_sha256 string, spans string, added long")
+    return docs.select(key, text).mapInPandas(released(run), f"{key} {kind}, {', '.join(n + ' long' for n in names)}, base_sha256 string, spans string, added long")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -172,4 +173,4 @@ def mask(docs: DataFrame, tagger: pii_model.Tagger | None = None, text: str = "t
             new = [masked(t, every) if every else t for t, (_, every) in zip(texts, all_spans(texts, held.value), strict=True)]
             yield batch.assign(**{text: pd.Series(new, index=batch.index, dtype=object)})
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(released(run), docs.schema)

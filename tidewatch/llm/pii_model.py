@@ -21,7 +21,7 @@ SYMBOLS = 130  # ASCII, 128 any other letter, 129 anything else
 EMBED, HIDDEN = 8, 10
 WINDOW, STRIDE = 256, 208
 #: Windows worked on at once.
-AT_ONCE = 1024
+AT_ONCE = 512
 #: Characters with this share of the outside tag are outside, but for two at the edges of others.
 CLEAR = 0.98
 NEVER = -1e4

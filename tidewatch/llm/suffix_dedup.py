@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch
+from tidewatch.llm.common import Scratch, released
 from tidewatch.llm.run_index import RunIndex
 
 WINDOW = 50
@@ -220,7 +220,7 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
 
 def repeats_removed(texts: DataFrame, scratch: Scratch, parts: int, with_text: bool) -> DataFrame:
     """The four steps over the table of texts (doc, text, part)."""
-    seen = texts.select("part", "doc", "text").mapInPandas(lambda batches: anchors_of(batches, parts), "shard long, blob binary")
+    seen = texts.select("part", "doc", "text").mapInPandas(released(lambda batches: anchors_of(batches, parts)), "shard long, blob binary")
     lists = scratch.keep(seen.groupBy("shard").applyInPandas(shared_anchors, "part long, n long, blob binary"))
     # a context takes about 70 bytes
     shards = max(parts, -(-70 * (lists.agg(F.sum("n")).first()[0] or 0) // SHARD))
