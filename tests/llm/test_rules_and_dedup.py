@@ -229,7 +229,8 @@ def test_a_large_family_is_settled_exactly(spark, monkeypatch):
     monkeypatch.setattr(minhash, "compare", lambda pairs, *a, **b: counted.append(pairs.count()) or compare(pairs, *a, **b))
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {rows[k][0]: rows[c][0] for k, c in enumerate(least.tolist())}
-    assert 100 < len(set(got.values())) < 1500 and sum(counted) < 20 * len(rows)
+    # of 1,000 pairs a row; groups of so few classes take several rounds
+    assert 100 < len(set(got.values())) < 1500 and sum(counted) < 30 * len(rows)
 
 
 def brute_repeats(rows, window=50):

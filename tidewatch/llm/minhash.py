@@ -52,7 +52,7 @@ SLACK = 0.2
 #: Classes in a group that are compared pair by pair.
 SMALL = 8
 #: Classes that may meet by one difference; more make a group of their own.
-HEAVY = 128
+HEAVY = 512
 #: Pairs with one leader in a task, at most about.
 SPLIT = 256
 _LANES = 64 // BITS
@@ -303,13 +303,19 @@ def settled(live: DataFrame, texts: DataFrame, tested: DataFrame, scratch: Scrat
         sized = scratch.keep(live.join(live.groupBy("gid").agg(F.count(F.lit(1)).alias("size")), "gid"))
         small, large = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
         home = scratch.keep(homes(large))
-        lead = large.groupBy("gid").agg(F.min_by("rep", F.struct(-F.col("meets"), F.col("rep"))).alias("b"))
-        asked = home.select(F.col("rep").alias("a"), F.col("home").alias("b")).unionByName(several_homes(large, home).join(lead, "gid").select(F.col("rep").alias("a"), "b"))
+        # a group's pairs meet under the home that most of its members have, but for pairs of the others
+        told = large.drop("size").join(home, "rep")
+        main = told.groupBy("gid", "home").agg(F.count(F.lit(1)).alias("k")).groupBy("gid").agg(F.max_by("home", F.struct("k", "home")).alias("main"))
+        others = scratch.keep(told.join(main, "gid").where("home <> main"))
+        crowd = others.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min_by("rep", F.struct(-F.col("meets"), F.col("rep"))).alias("b"))
+        lead = others.join(crowd.where(F.col("size") > SMALL), "gid")
+        asked = home.select(F.col("rep").alias("a"), F.col("home").alias("b")).unionByName(others.select(F.col("rep").alias("a"), F.col("main").alias("b"))).unionByName(lead.select(F.col("rep").alias("a"), "b"))
+        rest = others.join(crowd.where((F.col("size") > 1) & (F.col("size") <= SMALL)).select("gid"), "gid", "left_semi")
         described = scratch.keep(compare(asked.where("a <> b").distinct(), texts, percent, differences=True))
         met = scratch.keep(meeting(described, live.select("rep", "sig", "comp", "meets").dropDuplicates(["rep"]), percent))
         crowds = scratch.keep(met.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("size > 1 AND x <> y"))
         few, many = (met.join(crowds.where(c).select("gid"), "gid", "left_semi") for c in (F.col("size") <= HEAVY, F.col("size") > HEAVY))
-        pairs = ordered(small_pairs(several_homes(small, home), percent).unionByName(difference_pairs(few, percent)))
+        pairs = ordered(small_pairs(several_homes(small, home).select("gid", "rep", "n", "sig", "comp").unionByName(rest.select("gid", "rep", "n", "sig", "comp")), percent).unionByName(difference_pairs(few, percent)))
         pairs = pairs.join(ordered(tested.unionByName(described.select("a", "b", "linked"))), ["a", "b"], "left_anti")
         checked = compare(scratch.keep(pairs), texts, percent).select("a", "b", "linked")
         tested = scratch.keep(tested.unionByName(described.select("a", "b", "linked")).unionByName(checked))
