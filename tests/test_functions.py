@@ -153,6 +153,8 @@ def test_messages(spark):
     d = spark.createDataFrame([(1, "new", "high", None, ["svo", "zz"], "review", "rf", at, "http://x"), (2, "new", "odd", "t", [], None, None, at, "")], schema)
     got = {(r.recipient, r.place): r.text for r in reports.messages(d, [7, 8]).collect()}
     assert len(got) == 6 and got[7, 0].endswith("2 сигналов")
-    assert got[8, 2].split("\n")[:3] == ["🆔 <b>1</b> · 🔴 Высокий", "<b>(без названия)</b>", "ЖС: СВО, zz"]
-    assert "🔗" not in got[7, 3] and "Тип: —" in got[7, 3]
+    assert got[8, 1].split("\n")[:3] == ["🆔 <b>1</b> · 🔴 Высокий", "<b>(без названия)</b>", "ЖС: СВО, zz"]
+    assert "🔗" not in got[7, 2] and "Тип: —" in got[7, 2]
+    older = d.withColumn("id", -F.col("id")).withColumn("priority", F.lit("high")).withColumn("created_at", F.when(F.col("id") == -2, F.lit(at) - F.expr("INTERVAL 1 DAY")).otherwise(F.lit(at)))
+    assert [r.text.split("\n")[0] for r in reports.messages(older, [7]).where("place > 0").orderBy("place").collect()] == ["🆔 <b>-2</b> · 🔴 Высокий", "🆔 <b>-1</b> · 🔴 Высокий"]
     assert [r.text for r in reports.messages(d.where("false"), [7]).collect()] == ["Новых сигналов нет."]

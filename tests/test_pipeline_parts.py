@@ -156,13 +156,45 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_status_stream_equals_the_fold(spark, tmp_path):
     rng = random.Random(8)
-    asked = [(rng.randint(1, 5), rng.choice(catalog.STATUSES), NOW + dt.timedelta(seconds=k)) for k in range(60)]
-    schema = "signal_id long, to_status string, at timestamp"
+    asked = [(rng.randint(1, 5), rng.choice(catalog.STATUSES), NOW + dt.timedelta(seconds=k), rng.choice(["old", "", None])) for k in range(60)]
+    schema = "signal_id long, to_status string, at timestamp, reason string"
     for part in range(2):
         spark.createDataFrame(asked[part * 30 : part * 30 + 30], schema).coalesce(1).write.parquet(f"{tmp_path}/in/p={part}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in/p=*")
     jobs.run_available(jobs.status_stream(stream), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(180)
     got = spark.read.parquet(f"{tmp_path}/out")
     counts = {r.signal_id: r.n for r in got.where("accepted").groupBy("signal_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    want = lifecycle.fold(spark.createDataFrame(asked, schema), ["signal_id"], ["at", "to_status"])
+    want = lifecycle.fold(spark.createDataFrame(asked, schema), ["signal_id"], ["at", "to_status"], reason="reason")
     assert counts == {r.signal_id: r.accepted for r in want.collect() if r.accepted}
+
+
+def test_one_bad_page_fails_no_other(spark):
+    """A loopback server that answers, cuts an answer short and refuses; and an address that is none."""
+    import http.server
+    import threading
+
+    from tidewatch.sources import fetching
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/gone":
+                return self.send_error(404)
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.send_header("Content-Length", "500" if self.path == "/short" else "4")
+            self.end_headers()
+            self.wfile.write("да".encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        spark.dataSource.register(fetching.PageSource)
+        got = {r.url: r for r in spark.read.format("pages").option("urls", f"{at}/good {at}/short {at}/gone http://[bad unknown:x").load().collect()}
+    finally:
+        server.shutdown()
+    assert (got[f"{at}/good"].ok, got[f"{at}/good"].status, got[f"{at}/good"].html) == (True, 200, "да")
+    assert len(got) == 5 and all(not r.ok and r.html is None and r.error for u, r in got.items() if u != f"{at}/good")

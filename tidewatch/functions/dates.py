@@ -27,17 +27,22 @@ def russian_date(text: Column) -> Column:
     return _date(F.lower(text), LONG_DATE)
 
 
-def effective_date(text: Column, published_at: Column) -> Column:
-    """The date given after 'in force from', else the publication's date where the text says so."""
+def effective_date(text: Column, published_at: Column, zone: str = MOSCOW) -> Column:
+    """The date given after 'in force from', else the publication's date, in its source's zone, where the text says so."""
     lower = F.lower(text)
-    return F.coalesce(F.when(lower.rlike(EXPLICIT), _date(lower, EXPLICIT)), F.when(lower.rlike(FROM_PUBLICATION), F.to_date(published_at)))
+    return F.coalesce(F.when(lower.rlike(EXPLICIT), _date(lower, EXPLICIT)), F.when(lower.rlike(FROM_PUBLICATION), F.to_date(F.from_utc_timestamp(published_at, zone))))
+
+
+_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2}(?:[.,]\d{1,6})?))?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 
 
 def iso_moscow(text: Column) -> Column:
-    """An ISO time; without an offset it is Moscow's."""
-    aware = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & text.contains("T")
-    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
-    return F.when(aware, text.try_cast("timestamp")).when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.concat(dated, F.lit(MOSCOW)).try_cast("timestamp"))
+    """An ISO date, or date and time with ``T`` or a blank between; hours, minutes or seconds may end it; without an offset it is Moscow's."""
+    part = lambda k: F.regexp_extract(text, _ISO, k)
+    given = lambda k: F.when(part(k) == "", "00").otherwise(part(k))
+    offset = F.when(part(5) == "", MOSCOW).when(part(5) == "Z", "+00:00").when(F.length(part(5)) == 3, F.concat(part(5), F.lit(":00"))).otherwise(F.concat(F.substring(part(5), 1, 3), F.lit(":"), F.right(part(5), F.lit(2))))
+    whole = F.concat(part(1), F.lit("T"), given(2), F.lit(":"), given(3), F.lit(":"), F.replace(given(4), F.lit(","), F.lit(".")), offset)
+    return F.when(text.rlike(_ISO), whole.try_cast("timestamp"))
 
 
 def moscow_stamp(text: Column) -> Column:
@@ -53,9 +58,9 @@ def dotted_moscow(text: Column) -> Column:
 
 
 def feed_date(text: Column) -> Column:
-    """An RFC 822 date."""
+    """An RFC 822 date; seconds may be left out."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", ""), r"(GMT|UTC|UT|Z)\s*$", "+0000"))
-    return F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss xx"))
+    return F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy H:mm:ss xx")), F.try_to_timestamp(bare, F.lit("d MMM yyyy H:mm xx")))
 
 
 def seconds_until(now: Column, hour: int) -> Column:

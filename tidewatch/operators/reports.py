@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import CATEGORY_LABELS, EVENT_LABELS, PRIORITY_LABELS, REGION_LABELS, STATUS_LABELS
@@ -57,6 +57,20 @@ def digest(signals: DataFrame) -> DataFrame:
     return signals.where(F.col("status").isin(*ACTIVE)).orderBy(rank(F.col("priority")), "created_at", "id")
 
 
+def numbered(rows: DataFrame, first: Column, moment: str = "created_at", key: str = "id") -> DataFrame:
+    """rows with place, their number from 1 in the order of first, moment and key.
+
+    Each value of first and day is sorted apart and the counts of those before are added up, so no task takes all rows.
+    """
+    keyed = rows.withColumn("first__", first).withColumn("day__", F.to_date(moment))
+    before = keyed.groupBy("first__", "day__").agg(F.count(F.lit(1)).alias("n__"))
+    sums = before.select("first__", "day__", F.coalesce(F.sum("n__").over(Window.orderBy("first__", "day__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
+    sums = sums.withColumnsRenamed({"first__": "of__", "day__": "on__"})
+    joined = keyed.join(sums, F.col("first__").eqNullSafe(F.col("of__")) & F.col("day__").eqNullSafe(F.col("on__")))
+    place = F.row_number().over(Window.partitionBy("first__", "day__").orderBy(moment, key)) + F.col("before__")
+    return joined.withColumn("place", place.cast("bigint")).select(*rows.columns, "place")
+
+
 def stale(signals: DataFrame, now: Column) -> DataFrame:
     return signals.where((F.col("status") == "in_progress") & (F.col("updated_at") < now - F.expr("INTERVAL 3 DAYS")))
 
@@ -88,12 +102,12 @@ def card() -> Column:
 
 
 def messages(rows: DataFrame, recipients: list[int]) -> DataFrame:
-    """What a broadcast sends, as rows: a header with the count, then a card per row; or that there is none.
+    """What a broadcast sends, as rows: a header with the count, then a card per row by priority and age; or that there is none.
 
     recipient, place (0 is the header), text; the count is one aggregate, no row is collected.
     """
     counted = rows.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(0).cast("bigint").alias("place"), F.when(F.col("n") == 0, "Новых сигналов нет.").otherwise(F.concat(F.lit("📬 Утренняя сводка: "), F.col("n").cast("string"), F.lit(" сигналов"))).alias("text")
     )
-    cards = rows.select((F.col("id") + 1).alias("place"), card().alias("text"))
+    cards = numbered(rows, rank(F.col("priority"))).select("place", card().alias("text"))
     return addressed(counted.unionByName(cards), recipients).select("recipient", "place", "text")

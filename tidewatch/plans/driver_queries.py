@@ -206,6 +206,32 @@ def q16_formats(spark, sf_dir):
     return rows.select("id", urls.is_text(F.col("kind")).alias("is_text"), said(dates.iso_moscow(F.col("iso"))).alias("iso"), said(dates.moscow_stamp(F.col("stamp"))).alias("stamp"), said(dates.dotted_moscow(F.col("dotted"))).alias("dotted"), said(dates.feed_date(F.col("feed"))).alias("feed"))
 
 
+_ODD = [
+    ("2026-08-20T10:00", "Thu, 20 Aug 2026 10:00 +0300", "2026-08-19 21:00:00"),
+    ("2026-08-20 10:00:00+03:00", "20 Aug 2026 10:00 GMT", "2026-08-20 20:59:59"),
+    ("2026-08-20T10:00:00+03", "Thu, 20 Aug 2026 7:05 +0000", "2026-08-20 21:00:00"),
+    ("2026-08-20 10:00:00Z", "x", None),
+    ("2026-08-20T10", "", "2026-12-31 22:00:00"),
+    ("2026-08-20T10:00:00.250-0330", "Thu, 20 Aug 2026", "2026-01-01 00:00:00"),
+    ("2026-08-20T", "20 Aug 2026 25:00 GMT", None),
+]
+
+
+@query("""SELECT * FROM (VALUES
+  (0, '2026-08-20 07:00:00.000', '2026-08-20 07:00:00', '2026-08-20'),
+  (1, '2026-08-20 07:00:00.000', '2026-08-20 10:00:00', '2026-08-20'),
+  (2, '2026-08-20 07:00:00.000', '2026-08-20 07:05:00', '2026-08-21'),
+  (3, '2026-08-20 10:00:00.000', NULL, NULL),
+  (4, '2026-08-20 07:00:00.000', NULL, '2027-01-01'),
+  (5, '2026-08-20 13:30:00.250', NULL, '2026-01-01'),
+  (6, NULL, NULL, NULL)) v(id, iso, feed, effective)""")
+def q17_odd_dates(spark, sf_dir):
+    """Legal but rare forms of dates; days of publications in their source's zone."""
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(_ODD)], "id int, iso string, feed string, published string")
+    effective = dates.effective_date(F.lit("вступает в силу со дня официального опубликования"), F.col("published").cast("timestamp"))
+    return rows.select("id", F.date_format(dates.iso_moscow(F.col("iso")), "yyyy-MM-dd HH:mm:ss.SSS").alias("iso"), F.date_format(dates.feed_date(F.col("feed")), "yyyy-MM-dd HH:mm:ss").alias("feed"), effective.cast("string").alias("effective"))
+
+
 # --- ingest -------------------------------------------------------------------------------------
 
 
@@ -353,17 +379,10 @@ def q43_stats(spark, sf_dir):
     return reports.stats(rows, F.lit("2024-01-30").cast("timestamp_ntz"))
 
 
-@query(_SIGNALS + "SELECT id, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 9 END, moment, id) AS place FROM signals WHERE status IN ('new', 'postponed') AND moment >= TIMESTAMP '1998-01-01'")
+@query(_SIGNALS + "SELECT id, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 9 END, moment, id) AS place FROM signals WHERE status IN ('new', 'postponed')")
 def q44_digest(spark, sf_dir):
     rows = reports.digest(_signals(spark, sf_dir)).select("id", "priority", "created_at")
-    # places in a global order: ranges are sorted apart and their counts added up, so that no task takes all rows
-    from pyspark.sql import Window
-
-    keyed = rows.select("id", reports.rank(F.col("priority")).alias("r"), "created_at").withColumn("day", F.to_date("created_at"))
-    before = keyed.groupBy("r", "day").agg(F.count(F.lit(1)).alias("n"))
-    sums = before.select("r", "day", (F.sum("n").over(Window.orderBy("r", "day").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    w = Window.partitionBy("r", "day").orderBy("created_at", "id")
-    return keyed.join(sums, ["r", "day"]).select("id", (F.row_number().over(w) + F.coalesce("before", F.lit(0))).cast("bigint").alias("place"))
+    return reports.numbered(rows, reports.rank(F.col("priority"))).select("id", "place")
 
 
 @query(_SIGNALS + "SELECT id, recipient, '⏰ Сигнал ' || id || ' в работе больше 3 дней: ' || title AS message FROM signals, (VALUES (CAST(11 AS BIGINT)), (12)) r(recipient) WHERE status = 'in_progress' AND moment < TIMESTAMP '1995-06-20' - INTERVAL 3 DAY")

@@ -9,6 +9,7 @@ the others go on. Nothing is fetched unless a query asks for it.
 
 from __future__ import annotations
 
+import http.client
 import time
 import urllib.error
 import urllib.request
@@ -67,11 +68,11 @@ def routed(access: str, proxy: str | None) -> dict[str, str]:
 
 
 def with_retries(get: Callable[[], tuple], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> tuple:
-    """Retries transport errors and any HTTP error status, with exponential waits."""
+    """Retries transport errors (answers cut short as well) and any HTTP error status, with exponential waits."""
     for k in range(attempts):
         try:
             return get()
-        except (urllib.error.URLError, OSError) as error:
+        except (urllib.error.URLError, http.client.HTTPException, OSError) as error:
             if k == attempts - 1:
                 raise SourceUnavailable(str(error)) from error
             sleep(min(MOST_WAIT, LEAST_WAIT * 2**k))
@@ -117,5 +118,5 @@ class PageReader(DataSourceReader):
         try:
             status, kind, text = fetch(partition.value, self.access, self.proxy)
             yield partition.value, True, status, kind, text, None
-        except SourceUnavailable as error:
-            yield partition.value, False, None, None, None, str(error)
+        except Exception as error:  # whatever is wrong with one page, the others are read
+            yield partition.value, False, None, None, None, f"{type(error).__name__}: {error}"

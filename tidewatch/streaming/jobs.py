@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState
 from tidewatch.catalog import TRANSITIONS, Catalog
 from tidewatch.operators.classify import classify
 from tidewatch.operators.ingest import is_stale
+from tidewatch.operators.lifecycle import REASONED
 
 
 def new_publications(stream: DataFrame, catalog: Catalog, since: str | None = None, lateness: str = "0 seconds") -> DataFrame:
@@ -38,18 +39,21 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, then: Callable[
 
 
 def status_stream(requests: DataFrame) -> DataFrame:
-    """signal_id, to_status, at (in order per signal) to the accepted and refused requests with the status after each."""
+    """signal_id, to_status, at, reason (in order per signal) to the accepted and refused requests with the status before each.
+
+    As in ``lifecycle.fold``, a rejection needs a reason. A batch's requests of one signal come in parts, in order of time within the batch.
+    """
     allowed = frozenset(TRANSITIONS)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status = state.get[0] if state.exists else "new"
         rows = pd.concat(list(frames)).sort_values(["at", "to_status"])
         out = []
-        for to, at in zip(rows["to_status"], rows["at"], strict=True):
-            ok = (status, to) in allowed
-            out.append((key[0], status, to, at, ok))
+        for to, at, reason in zip(rows["to_status"], rows["at"], rows["reason"], strict=True):
+            ok = (status, to) in allowed and (to != REASONED or bool(reason))
+            out.append((key[0], status, to, at, reason, ok))
             status = to if ok else status
         state.update((status,))
-        yield pd.DataFrame(out, columns=["signal_id", "from_status", "to_status", "at", "accepted"])
+        yield pd.DataFrame(out, columns=["signal_id", "from_status", "to_status", "at", "reason", "accepted"])
 
-    return requests.groupBy("signal_id").applyInPandasWithState(step, "signal_id long, from_status string, to_status string, at timestamp, accepted boolean", "status string", "append", "NoTimeout")
+    return requests.groupBy("signal_id").applyInPandasWithState(step, "signal_id long, from_status string, to_status string, at timestamp, reason string, accepted boolean", "status string", "append", "NoTimeout")
