@@ -198,3 +198,29 @@ def test_one_bad_page_fails_no_other(spark):
         server.shutdown()
     assert (got[f"{at}/good"].ok, got[f"{at}/good"].status, got[f"{at}/good"].html) == (True, 200, "да")
     assert len(got) == 5 and all(not r.ok and r.html is None and r.error for u, r in got.items() if u != f"{at}/good")
+
+
+def test_a_rejection_needs_a_reason_and_keeps_its_comment(spark):
+    from tidewatch.operators import actions
+
+    schema = "request_id long, user_id long, at timestamp, signal_id long, to_status string, rejection_reason string, rejection_comment string, reason string, error string"
+    asked = [(1, 5, NOW, 1, "rejected", None, "c", None, None), (2, 5, NOW, 1, "rejected", "duplicate", "see 7", "note", None), (3, 5, NOW, 2, "rejected", "odd", None, None, None), (4, None, NOW, 2, "postponed", None, None, None, None)]
+    signals = spark.createDataFrame([(1, "new", None, None, None, NOW), (2, "new", None, None, None, None)], "id long, status string, npa_link string, rejection_reason string, rejection_comment string, updated_at timestamp")
+    decided = actions.decide(spark.createDataFrame(asked, schema), signals, [5])
+    assert {r.request_id: r.error for r in decided.collect()} == {1: "reason", 2: None, 3: "reason", 4: "access"}
+    assert {(r.id, r.status, r.rejection_reason, r.rejection_comment) for r in actions.applied(signals, decided).collect()} == {(1, "rejected", "duplicate", "see 7"), (2, "new", None, None)}
+    assert [(r.signal_id, r.from_status, r.to_status, r.changed_by, r.reason) for r in actions.history(decided).collect()] == [(1, "new", "rejected", "5", "note")]
+    assert [r.id for r in actions.find(signals, [2, 9]).collect()] == [2] and actions.find(signals, []).count() == 0
+    assert actions.decide(spark.createDataFrame([], schema), signals, [5]).count() == 0
+
+
+def test_a_failing_model_gives_null(spark):
+    from tidewatch.operators import actions
+
+    def ask(text):
+        if text == "bad":
+            raise RuntimeError("no answer")
+        return text.upper()
+
+    got = actions.asked_model(spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "")], "id long, t string"), "t", ask).collect()
+    assert {r.id: r.answer for r in got} == {1: "A", 2: None, 3: None, 4: None}

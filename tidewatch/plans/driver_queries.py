@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import EVENT_ORDER, STATUS_LABELS, SYNTHETIC
 from tidewatch.functions import dates, textmatch, urls
-from tidewatch.operators import classify, ingest, lifecycle, reports
+from tidewatch.operators import actions, classify, ingest, lifecycle, reports
 from tidewatch.session import table
 from tidewatch.sources import listings
 
@@ -439,3 +439,50 @@ _LINKS = ["https://x/1", "SKIP", "ftp://x", "12a", "77"]
 def q55_arguments(spark, sf_dir):
     s = F.col("s")
     return spark.createDataFrame(list(enumerate(_LINKS)), "id int, s string").select("id", urls.link_ok(s).alias("link_ok"), urls.id_ok(s).alias("id_ok"), F.array_join(urls.allow_list(F.lit("1, 2,,3")), ",").alias("allowed"))
+
+
+# --- experts' actions -------------------------------------------------------------------------------
+
+_SAID = [
+    (1, 11, 1, "sig:1:work"), (2, 11, 2, "sig:1:later"), (3, 11, 3, "rej:1:r_dup"), (4, 12, 4, "/reopen 1"), (5, 11, 5, "/complete 1"),
+    (6, 99, 6, "sig:2:work"), (7, 11, 7, "sig:2:work"), (8, 11, 8, "sig:7:work"), (9, 11, 9, "sig:2:dance"), (10, 11, 10, "/complete x"), (11, 12, 11, "/complete 3"), (12, 12, 12, "rej:4:r_other"),
+]
+_SENT = [(20, 11, 20, 2, "ftp://a.ru/x"), (21, 11, 21, 2, "http://bad.ru/x"), (22, 11, 22, 2, "http://w.a.ru/gone"), (23, 11, 23, 2, " http://w.a.ru/y "), (24, 11, 24, 1, "skip"), (25, 12, 25, 5, "SKIP")]
+_STORED = [(1, "new", None), (2, "new", None), (3, "sent_to_agent", "http://a.ru/old"), (4, "completed", None), (5, "in_progress", "http://a.ru/kept")]
+
+
+def _decided(spark):
+    moment = (F.lit("2026-08-20 06:00:00").cast("timestamp") + F.make_interval(secs=F.col("k"))).alias("at")
+    said = spark.createDataFrame(_SAID, "request_id long, user_id long, k int, data string").select("request_id", "user_id", moment, "data")
+    sent = spark.createDataFrame(_SENT, "request_id long, user_id long, k int, signal_id long, text string").select("request_id", "user_id", moment, "signal_id", "text")
+    stored = spark.createDataFrame(_STORED, "id long, status string, npa_link string")
+    signals = stored.select("id", "status", "npa_link", F.lit("m").alias("measure_id"), F.lit(None).cast("string").alias("rejection_reason"), F.lit(None).cast("string").alias("rejection_comment"), F.lit(None).cast("timestamp").alias("updated_at"))
+    pages = spark.createDataFrame([("http://w.a.ru/y", True), ("http://w.a.ru/gone", False)], "url string, ok boolean")
+    requests = actions.with_links(actions.read_requests(said), sent, pages, spark.createDataFrame([("a.ru",)], "domain string"))
+    return signals, actions.decide(requests, signals, [11, 12])
+
+
+@query("""SELECT * FROM (VALUES
+  (1, true, 'new', 'in_progress', NULL), (2, true, 'in_progress', 'postponed', NULL), (3, true, 'postponed', 'rejected', NULL), (4, true, 'rejected', 'new', NULL), (5, false, 'new', 'completed', 'transition'),
+  (6, false, NULL, 'in_progress', 'access'), (7, true, 'new', 'in_progress', NULL), (8, false, NULL, 'in_progress', 'missing'), (9, false, NULL, NULL, 'format'), (10, false, NULL, NULL, 'format'), (11, true, 'sent_to_agent', 'completed', NULL), (12, false, 'completed', 'rejected', 'transition'),
+  (20, false, NULL, 'sent_to_agent', 'link'), (21, false, NULL, 'sent_to_agent', 'domain'), (22, false, NULL, 'sent_to_agent', 'unreachable'), (23, true, 'in_progress', 'sent_to_agent', NULL), (24, false, 'new', 'sent_to_agent', 'transition'), (25, true, 'in_progress', 'sent_to_agent', NULL))
+  v(request_id, accepted, from_status, to_status, error)""")
+def q56_actions(spark, sf_dir):
+    """Buttons, commands and links of experts, each with its verdict."""
+    return _decided(spark)[1].select("request_id", "accepted", "from_status", "to_status", "error")
+
+
+@query("""SELECT * FROM (VALUES (1, 'new', NULL, NULL, 4), (2, 'sent_to_agent', 'http://w.a.ru/y', NULL, 2), (3, 'completed', 'http://a.ru/old', NULL, 1), (4, 'completed', NULL, NULL, 0), (5, 'sent_to_agent', 'http://a.ru/kept', NULL, 1))
+  v(id, status, npa_link, rejection_reason, audited)""")
+def q57_applied(spark, sf_dir):
+    """Signals after the actions, with the number of their audit rows."""
+    signals, decided = _decided(spark)
+    audited = actions.history(decided).groupBy(F.col("signal_id").alias("id")).agg(F.count(F.lit(1)).alias("audited"))
+    return actions.applied(signals, decided).join(audited, "id", "left").select("id", "status", "npa_link", "rejection_reason", F.coalesce("audited", F.lit(0)).cast("int").alias("audited"))
+
+
+@query("SELECT * FROM (VALUES (2, 'm', 'http://w.a.ru/y'), (5, 'm', 'http://a.ru/kept')) v(signal_id, measure_id, npa_link)")
+def q58_outbox(spark, sf_dir):
+    """What is handed to the next agent after the actions."""
+    signals, decided = _decided(spark)
+    return actions.handed_on(actions.applied(signals, decided), decided)
