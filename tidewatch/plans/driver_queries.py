@@ -393,7 +393,7 @@ def q45_reminder(spark, sf_dir):
 
 @query(_SIGNALS + f"""SELECT id, concat_ws(chr(10), '🆔 <b>' || id || '</b> · ' || CASE priority WHEN 'high' THEN '🔴 Высокий' WHEN 'medium' THEN '🟡 Средний' WHEN 'low' THEN '🟢 Низкий' ELSE priority END, '<b>' || title || '</b>',
   'ЖС: ' || CASE WHEN id % 3 = 0 THEN '—' WHEN id % 3 = 1 THEN 'ВБД' ELSE 'Инвалиды, x' END, 'Тип: ' || CASE WHEN id % 2 = 0 THEN 'Обзор' ELSE '—' END, 'Регион: ' || CASE WHEN id % 2 = 0 THEN 'РФ' ELSE 'zz' END,
-  'Статус: ' || {_LABEL}, 'Дата: ' || strftime(moment, '%d.%m.%Y %H:%M'), CASE WHEN id % 5 = 0 THEN '🔗 http://x/' || id END) AS card FROM signals WHERE id % 10 < 4""")
+  'Статус: ' || {_LABEL}, 'Дата: ' || strftime(moment, '%d.%m.%Y %H:%M'), CASE WHEN id % 5 = 0 THEN '🔗 http://x/' || id END) AS card FROM signals""")
 def q46_cards(spark, sf_dir):
     i = F.col("id")
     cats = F.when(i % 3 == 0, F.array().cast("array<string>")).when(i % 3 == 1, F.array(F.lit("veterans"))).otherwise(F.array(F.lit("disabled"), F.lit("x")))
@@ -426,7 +426,7 @@ def q53_next_digest(spark, sf_dir):
     return rows.select("event_id", big(dates.seconds_until(F.col("ts"), 8)).alias("wait"))
 
 
-@query("SELECT page_id, CASE WHEN length(trim(left(html, page_id % 40))) < 20 THEN 'OCR ' || page_id ELSE trim(left(html, page_id % 40)) END AS body FROM pages")
+@query("SELECT page_id, CASE WHEN length(trim(html)) < 20 THEN 'OCR ' || page_id ELSE trim(html) END AS body FROM pages")
 def q54_text_layer(spark, sf_dir):
     i = F.col("page_id")
     return table(spark, sf_dir, "pages").select("page_id", urls.page_text(F.col("html"), F.concat(F.lit("OCR "), i.cast("string"))).alias("body"))
