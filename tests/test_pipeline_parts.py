@@ -132,7 +132,7 @@ def test_listings(spark):
 
 
 def test_register_and_feeds(spark):
-    page = '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"initialState":{"documentsList":{"data":[{"id":7,"title":" A ","date_published":"2026-08-20 10:00:00"},{"id":8,"title":"B","date_published":null},{"id":null,"title":"C"},{"id":9,"title":"  "}]}}}}}</script>'
+    page = '<script type="text/x"></script><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"initialState":{"documentsList":{"data":[{"id":7,"title":" A ","date_published":"2026-08-20 10:00:00"},{"id":8,"title":"B","date_published":null},{"id":null,"title":"C"},{"id":9,"title":"  "}]}}}}}</script>'
     rows = spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, '<script id="__NEXT_DATA__">{"props":{}}</script>')], "page int, html string")
     got = listings.read_register(rows).orderBy("ord").collect()
     assert [(r.title, r.url, r.published_at) for r in got] == [("A", listings.REGISTER_URL + "doc/7/", dt.datetime(2026, 8, 20, 7)), ("B", listings.REGISTER_URL + "doc/8/", None)]
@@ -140,7 +140,7 @@ def test_register_and_feeds(spark):
     pages = spark.createDataFrame([("tass.ru", True, feed), ("ria.ru", False, None)], "domain string, ok boolean, xml string")
     got = listings.read_all_feeds(pages).collect()
     assert [(r.source_key, r.title, r.published_at, r.summary) for r in got] == [("tass.ru", "T", dt.datetime(2026, 8, 20, 7), None)]
-    assert len(listings.registry()) == 12
+    assert [bool(x.pages) for x in listings.registry()] == [True] * 7 + [False] * 5
 
 
 def test_streams_equal_batches(spark, tmp_path):

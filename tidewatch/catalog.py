@@ -38,7 +38,7 @@ class Source:
 
 @dataclass(frozen=True)
 class Catalog:
-    """Everything that classification needs; keyword groups keep their order."""
+    """Everything that classification needs; keyword groups keep their order. ``further`` sources are known domains only."""
 
     situations: dict[str, tuple[str, ...]]
     topic: tuple[str, ...]
@@ -47,13 +47,14 @@ class Catalog:
     events: dict[str, tuple[str, ...]]
     federal: tuple[Source, ...] = ()
     other: tuple[Source, ...] = ()
+    further: tuple[Source, ...] = ()
     regions: tuple[tuple[str, tuple[Source, ...]], ...] = ()
     names: dict[str, str] = field(default_factory=dict)
 
     def domains(self) -> list[str]:
         """All known domains, whatever their access; sorted."""
         regional = [s for _, sources in self.regions for s in sources]
-        return sorted({s.domain for s in (*self.federal, *self.other, *regional)})
+        return sorted({s.domain for s in (*self.federal, *self.other, *self.further, *regional)})
 
 
 def _read(path: Path):
@@ -86,6 +87,7 @@ def load(folder: str | Path) -> Catalog:
         events={_checked(k, EVENT_TYPES, "keywords.yaml"): tuple(v) for k, v in (words.get("event_type_markers") or {}).items()},
         federal=made(sources.get("federal")),
         other=made(sources.get("other")),
+        further=tuple(s for group, entries in sources.items() if group not in ("federal", "other") for s in made(entries)),
         regions=tuple((_checked(x["code"], REGIONS, "regions.yaml"), made(x.get("sources"))) for x in regions),
         names={x["id"]: x["name"] for x in situations},
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,28 +66,29 @@ def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def ingest(listed: DataFrame, sources: DataFrame, state: DataFrame, seen: DataFrame, domains: DataFrame, catalog: Catalog, now: Column) -> dict[str, DataFrame]:
+def ingest(listed: DataFrame, sources: DataFrame, state: DataFrame, seen: DataFrame, domains: DataFrame, catalog: Catalog, now: Column, keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows) -> dict[str, DataFrame]:
     """One run over listed publications (source_key, source_ord, page, ord, title, url, published_at, summary).
 
-    sources: source_key, ok (whether the listing could be read). Returns signals, seen (new), counters and state.
+    sources: source_key, ok (whether the listing could be read), and error if there is one. Returns signals, seen (new), counters and state.
+    keep(name, rows) may store the two results that all of these are made of.
     """
     known = window_start(sources, state, now)
     rows = contiguous_pages(listed).join(known.select("source_key", "since", "ok"), "source_key")
     place = F.struct("page", "ord")
     live = prefix_stop_by_bound(rows, "source_key", place, is_stale(F.col("published_at"), F.col("since")))
-    good = allowed(live, domains).drop("host")
+    good = keep("allowed", allowed(live, domains).drop("host", "since", "ok"))
     order = F.struct("source_ord", "page", "ord")
     first = first_wins(good, ["url"], order)
     fresh = unseen(first, seen.withColumnRenamed("doc_url", "url"), ["url"])
-    marked = classify(fresh, catalog)
+    marked = keep("marked", classify(fresh, catalog))
     signals = marked.where("is_relevant").select("source_key", "title", F.col("url").alias("source_url"), "categories", "event_type", "region", "priority", F.lit("new").alias("status"), now.alias("created_at"))
-    new_seen = fresh.select("source_key", F.col("url").alias("doc_url"), now.alias("first_seen_at"))
+    new_seen = marked.select("source_key", F.col("url").alias("doc_url"), now.alias("first_seen_at"))
     by_source = good.groupBy("source_key").agg(F.count(F.lit(1)).alias("rows"))
     told = marked.groupBy("source_key").agg(F.count_if("is_relevant").alias("new_signals"), F.count_if(~F.col("is_relevant")).alias("irrelevant"))
     counters = (
         sources.join(by_source, "source_key", "left")
         .join(told, "source_key", "left")
-        .select("source_key", "ok", *[F.when(F.col("ok"), F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(n) for n, c in (("new_signals", F.col("new_signals")), ("duplicates", F.col("rows") - F.coalesce("new_signals", F.lit(0)) - F.coalesce("irrelevant", F.lit(0))), ("irrelevant", F.col("irrelevant")))])
+        .select("source_key", "ok", *[c for c in sources.columns if c == "error"], *[F.when(F.col("ok"), F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(n) for n, c in (("new_signals", F.col("new_signals")), ("duplicates", F.col("rows") - F.coalesce("new_signals", F.lit(0)) - F.coalesce("irrelevant", F.lit(0))), ("irrelevant", F.col("irrelevant")))])
     )
     new_state = sources.where("ok").select("source_key", now.alias("last_success_at"), F.lit(None).cast("date").alias("last_seen_publication_date"))
     return {"signals": signals, "seen": new_seen, "counters": counters, "state": merge_state(state, new_state)}

@@ -26,12 +26,13 @@ class Store:
         done = [(name,) for name in sorted(tables)]
         self.spark.createDataFrame(done, "name string").coalesce(1).write.mode("overwrite").parquet(self.path("commits", batch))
 
-    def batches(self, table: str) -> list[int]:
-        """Committed batches that hold a table; one small row per run and table."""
+    def batches(self, table: str, before: int | None = None) -> list[int]:
+        """Committed batches (those before one, if it is given) that hold a table; one small row per run and table."""
         commits = self._files("commits")
         if commits is None:
             return []
-        return [r.batch for r in commits.where(F.col("name") == table).select("batch").distinct().orderBy("batch").collect()]
+        good = [r.batch for r in commits.where(F.col("name") == table).select("batch").distinct().orderBy("batch").collect()]
+        return [b for b in good if before is None or b < before]
 
     def _files(self, table: str, schema: str = "name string") -> DataFrame | None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
@@ -39,16 +40,16 @@ class Store:
             return None
         return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.root}/{table}")
 
-    def read(self, table: str) -> DataFrame:
-        """A table's committed rows; empty if there are none."""
-        rows, good = self._files(table, TABLES[table]), self.batches(table)
+    def read(self, table: str, before: int | None = None) -> DataFrame:
+        """A table's committed rows; empty if there are none. A batch that may be repeated reads those before it only."""
+        rows, good = self._files(table, TABLES[table]), self.batches(table, before)
         if rows is None or not good:
             return self.spark.createDataFrame([], TABLES[table])
         return rows.where(F.col("batch").isin(good)).drop("batch")
 
-    def state(self) -> DataFrame:
+    def state(self, before: int | None = None) -> DataFrame:
         """The latest snapshot of the sources' state."""
-        good = self.batches("sources_state")
+        good = self.batches("sources_state", before)
         return self.spark.read.schema(TABLES["sources_state"]).parquet(self.path("sources_state", good[-1])) if good else self.spark.createDataFrame([], TABLES["sources_state"])
 
     def save_run(self, batch: int, run: dict[str, DataFrame]) -> None:

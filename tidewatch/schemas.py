@@ -10,14 +10,17 @@ TABLES = {
     "signal_categories": "signal_id bigint, category string",
     "status_history": "id bigint, signal_id bigint, from_status string, to_status string, changed_at timestamp, changed_by string, reason string",
     "documents_seen": "id bigint, source_key string, doc_url string, first_seen_at timestamp, signal_id bigint",
-    "run_counters": "source_key string, ok boolean, new_signals bigint, duplicates bigint, irrelevant bigint",
+    "run_counters": "source_key string, ok boolean, new_signals bigint, duplicates bigint, irrelevant bigint, error string",
     "sources_state": "source_key string, last_success_at timestamp, last_seen_publication_date date",
     "outbox": "signal_id bigint, measure_id string, npa_link string",
 }
 
 
 def shaped(table: str, df):
-    """df with exactly the table's columns; missing ones are null."""
+    """df with exactly the table's columns; missing ones are null. A moment without a zone is an error."""
+    zoneless = [n for n, kind in df.dtypes if kind == "timestamp_ntz" and f"{n} timestamp" in TABLES[table].split(", ")]
+    if zoneless:
+        raise ValueError(f"{table}: no zone in {', '.join(zoneless)}")
     out = []
     for part in TABLES[table].split(", "):
         name, kind = part.split(" ")

@@ -3,8 +3,8 @@
     spark.dataSource.register(fetching.PageSource)
     spark.read.format("pages").option("urls", "https://a/1 https://a/2").option("access", "direct").load()
 
-Each address is one input partition. A source that stays unavailable gives a row with ok = false, so
-the others go on. Nothing is fetched unless a query asks for it.
+Each address is one input partition. A source that stays unavailable, or whose access can't be used, gives a row with
+ok = false, so the others go on. Nothing is fetched unless a query asks for it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -107,7 +107,6 @@ class PageReader(DataSourceReader):
     def __init__(self, options):
         self.urls = (options.get("urls") or "").split()
         self.access, self.proxy = options.get("access", "direct"), options.get("proxy")
-        routed(self.access, self.proxy)
 
     def partitions(self):
         return [InputPartition(u) for u in self.urls]
@@ -120,3 +119,14 @@ class PageReader(DataSourceReader):
             yield partition.value, True, status, kind, text, None
         except Exception as error:  # whatever is wrong with one page, the others are read
             yield partition.value, False, None, None, None, f"{type(error).__name__}: {error}"
+
+
+def fetched(spark: SparkSession, wanted: list[tuple[str, str]], proxy: str | None = None) -> DataFrame:
+    """url, ok, html, error of (address, access) pairs; each address once."""
+    spark.dataSource.register(PageSource)
+    out = None
+    for access in sorted({a for _, a in wanted}) or ["direct"]:
+        reader = spark.read.format("pages").option("urls", " ".join(sorted({u for u, a in wanted if a == access}))).option("access", access)
+        rows = (reader.option("proxy", proxy) if proxy else reader).load()
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("url", "ok", "html", "error")

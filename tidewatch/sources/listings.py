@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html.parser
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,18 +22,20 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def walk(self) -> Iterator["Node"]:
-        for x in self.children:
+    def parts(self) -> Iterator["Node | str"]:
+        """All that lies below, in document order; without recursion, as pages may nest elements thousands deep."""
+        left = self.children[::-1]
+        while left:
+            x = left.pop()
+            yield x
             if isinstance(x, Node):
-                yield x
-                yield from x.walk()
+                left.extend(reversed(x.children))
+
+    def walk(self) -> Iterator["Node"]:
+        return (x for x in self.parts() if isinstance(x, Node))
 
     def strings(self) -> Iterator[str]:
-        for x in self.children:
-            if isinstance(x, Node):
-                yield from x.strings()
-            else:
-                yield x
+        return (x for x in self.parts() if not isinstance(x, Node))
 
     def text(self, joint: str = "") -> str:
         return joint.join(s for s in (p.strip() for p in self.strings()) if s)
@@ -186,7 +188,7 @@ def read_listing(pages: DataFrame, site: Site) -> DataFrame:
 # The document register keeps its listing as JSON inside the page.
 REGISTER = "mos.ru/authority/documents"
 REGISTER_URL = "https://www.mos.ru/authority/documents/"
-_ISLAND = r"""(?s)<script[^>]*\bid=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""
+_ISLAND = r"""(?s)<script(?=[^>]*\bid=["']__NEXT_DATA__["'])(?=[^>]*\btype=["']application/json["'])[^>]*>(.*?)</script>"""
 _SHAPE = "struct<props:struct<pageProps:struct<initialState:struct<documentsList:struct<data:array<struct<id:string,title:string,date_published:string>>>>>>>"
 
 
@@ -200,6 +202,12 @@ def read_register(pages: DataFrame) -> DataFrame:
     )
 
 
+def broken_register(html: Column) -> Column:
+    """Whether a page has the block, but not as JSON: such a page is a failure, not an empty one."""
+    island = F.regexp_extract(html, _ISLAND, 1)
+    return (F.trim(island) != "") & F.try_parse_json(island).isNull()
+
+
 # Feeds of the context sources.
 FEEDS = {
     "garant.ru": "https://rss.garant.ru/news/",
@@ -231,10 +239,35 @@ def read_all_feeds(pages: DataFrame) -> DataFrame:
     return out
 
 
-def registry() -> list[tuple[str, bool]]:
-    """All sources in order, and whether they have pages."""
-    order = ["sfr.gov.ru/press_center/news", "mintrud.gov.ru/docs", REGISTER, "msupport.dszn.ru/news", "publication.pravo.gov.ru", "kremlin.ru/acts/news", "government.ru/docs"]
-    return [(key, True) for key in order] + [(domain, False) for domain in FEEDS]
+@dataclass(frozen=True)
+class Listing:
+    """A source of a run: where its pages are, how they are reached, and what reads them.
+
+    ``pages`` is the pattern of the pages after the first, empty for a source of one page. ``read`` takes (page, html) and gives
+    publications; ``broken`` tells of a page that was fetched whether it is none of the source's pages.
+    """
+
+    key: str
+    first: str
+    pages: str
+    access: str
+    read: Callable[[DataFrame], DataFrame]
+    broken: Callable[[Column], Column] = lambda html: F.lit(False)
+
+
+def registry() -> list[Listing]:
+    """All sources in the order of a run."""
+
+    def site(key: str) -> Listing:
+        s = SITES[key]
+        return Listing(key, s.first, s.pages, s.access, lambda pages: read_listing(pages, s))
+
+    def feed(domain: str) -> Listing:
+        return Listing(domain, FEEDS[domain], "", "direct", lambda pages: read_feed(pages.select(F.col("html").alias("xml")), domain))
+
+    register = Listing(REGISTER, REGISTER_URL, REGISTER_URL + "?page={page}", "direct", read_register, broken_register)
+    federal, other = ["sfr.gov.ru/press_center/news", "mintrud.gov.ru/docs"], ["msupport.dszn.ru/news", "publication.pravo.gov.ru", "kremlin.ru/acts/news", "government.ru/docs"]
+    return [*map(site, federal), register, *map(site, other), *map(feed, FEEDS)]
 
 
 def title_of(html: Column) -> Column:
