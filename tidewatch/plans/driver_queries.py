@@ -288,6 +288,31 @@ def q26_state_upsert(spark, sf_dir):
     return ingest.merge_state(old, new).withColumns({"last_success_at": F.date_format("last_success_at", "yyyy-MM-dd HH:mm:ss"), "last_seen_publication_date": F.date_format("last_seen_publication_date", "yyyy-MM-dd")})
 
 
+@query(_CLASSIFIED + """, l AS (SELECT doc_id, source AS source_key, coalesce(is_relevant, false) AS relevant, doc_id % 9 AS h, 'https://src' || (doc_id % 9) || '/' || (doc_id // 27) AS url,
+  CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 173 = 172 THEN 30 ELSE doc_id % 7 END AS age FROM c WHERE source IS NOT NULL),
+p AS (SELECT *, max(CASE WHEN age > (CASE WHEN source_key = 'src1' THEN 60 ELSE 7 END) THEN 1 ELSE 0 END) OVER (PARTITION BY source_key ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM l),
+g AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY CAST(substr(source_key, 4) AS INTEGER), doc_id) AS k FROM p WHERE stop = 0 AND h < 7),
+m AS (SELECT source_key, count(*) AS live, count(*) FILTER (k = 1 AND NOT known AND relevant) AS good, count(*) FILTER (k = 1 AND NOT known) AS fresh FROM (SELECT *, url IN ('https://src3/1', 'https://src4/2') AS known FROM g) GROUP BY 1),
+z AS (SELECT s.source_key, s.source_key <> 'src6' AS ok, coalesce(live, 0) AS live, coalesce(good, 0) AS stored_signals, coalesce(fresh, 0) AS stored_seen FROM (SELECT DISTINCT source_key FROM l) s LEFT JOIN m ON m.source_key = s.source_key)
+SELECT source_key, ok, stored_signals, stored_seen, CASE WHEN ok THEN stored_signals ELSE 0 END AS new_signals, CASE WHEN ok THEN live - stored_seen ELSE 0 END AS duplicates, CASE WHEN ok THEN stored_seen - stored_signals ELSE 0 END AS irrelevant,
+  CASE WHEN ok THEN '2026-08-20' WHEN source_key = 'src1' THEN '2026-06-21' END AS last_success FROM z""")
+def q27_ingest_run(spark, sf_dir):
+    """A whole run over documents as publications: stop, allow-list, first wins, seen ones, classes, counters, state."""
+    now, k = F.lit("2026-08-20 06:00:00").cast("timestamp"), F.col("doc_id")
+    age = F.when(k % 10 == 0, F.lit(None)).when(k % 173 == 172, 30).otherwise(k % 7).cast("int")
+    listed = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(
+        F.col("source").alias("source_key"), F.substring("source", 4, 9).cast("int").alias("source_ord"), F.lit(1).alias("page"), k.alias("ord"), F.col("text").alias("title"),
+        F.concat(F.lit("https://src"), (k % 9).cast("string"), F.lit("/"), F.floor(k / 27).cast("string")).alias("url"), (now - F.make_interval(days=age)).alias("published_at"), F.lit(None).cast("string").alias("summary"),
+    )
+    sources = listed.select("source_key").distinct().withColumn("ok", F.col("source_key") != "src6")
+    state = spark.createDataFrame([("src1",)], "source_key string").select("source_key", (now - F.make_interval(days=F.lit(60))).alias("last_success_at"), F.lit(None).cast("date").alias("last_seen_publication_date"))
+    seen = spark.createDataFrame([("https://src3/1",), ("https://src4/2",)], "doc_url string")
+    got = ingest.ingest(listed, sources, state, seen, spark.createDataFrame([(d,) for d in C.domains()], "domain string"), C, now)
+    stored = lambda name: got[name].groupBy("source_key").agg(F.count(F.lit(1)).alias(f"stored_{name}"))
+    told = got["counters"].join(stored("signals"), "source_key", "left").join(stored("seen"), "source_key", "left").join(got["state"], "source_key", "left")
+    return told.select("source_key", "ok", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("stored_signals", "stored_seen")], "new_signals", "duplicates", "irrelevant", F.date_format("last_success_at", "yyyy-MM-dd").alias("last_success"))
+
+
 # --- lifecycle ------------------------------------------------------------------------------------
 
 _REQUESTED = {"view": "in_progress", "click": "postponed", "error": "rejected", "purchase": "sent_to_agent", "signup": "completed"}
