@@ -363,6 +363,14 @@ def q33_history_string(spark, sf_dir):
     return grouped.select("user_id", F.array_join(F.transform("h", lambda x: x["event_type"]), ">").alias("history"))
 
 
+@query("SELECT o_orderkey AS id, coalesce(h, '') AS history FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_returnflag || '>' || l_linestatus, ',' ORDER BY l_shipdate, l_linenumber, l_returnflag, l_linestatus) AS h FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def q34_nested_history(spark, sf_dir):
+    """Line items read as the audit rows of their orders."""
+    audit = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("signal_id"), F.col("l_shipdate").alias("changed_at"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("from_status"), F.col("l_linestatus").alias("to_status"))
+    told = reports.with_history(_signals(spark, sf_dir).select("id"), audit)
+    return told.select("id", F.coalesce(F.array_join(F.transform("history", lambda x: F.concat(x["from_status"], F.lit(">"), x["to_status"])), ","), F.lit("")).alias("history"))
+
+
 # --- reports ----------------------------------------------------------------------------------------
 
 
@@ -426,6 +434,34 @@ def q46_cards(spark, sf_dir):
     return rows.select("id", reports.card().alias("card"))
 
 
+_DAY = "1996-07-20"
+_DAILY = _SIGNALS + f""", cats AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1), cards AS (
+  SELECT id, CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 9 END AS first, moment, concat_ws(chr(10), '🆔 <b>' || id || '</b> · ' || CASE priority WHEN 'high' THEN '🔴 Высокий' WHEN 'medium' THEN '🟡 Средний' WHEN 'low' THEN '🟢 Низкий' ELSE priority END,
+  '<b>' || title || '</b>', 'ЖС: ' || coalesce(flags, '—'), 'Тип: —', 'Регион: —', 'Статус: Новый', 'Дата: ' || strftime(moment, '%d.%m.%Y %H:%M')) AS card
+  FROM signals LEFT JOIN cats ON l_orderkey = id WHERE status = 'new' AND moment >= TIMESTAMP '{_DAY}' AND moment < TIMESTAMP '{_DAY}' + INTERVAL 1 DAY)
+"""
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's signals with their categories, as a report renders them."""
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("signal_id"), F.col("l_returnflag").alias("category"))
+    rows = reports.today(_signals(spark, sf_dir), F.lit(_DAY).cast("timestamp_ntz"))
+    return reports.with_categories(rows, links).withColumns({c: F.lit(None).cast("string") for c in ("event_type", "region", "source_url")})
+
+
+@query(_DAILY + "SELECT id, card FROM cards")
+def q47_daily_cards(spark, sf_dir):
+    return _daily(spark, sf_dir).select("id", reports.card().alias("card"))
+
+
+@query(_DAILY + """, told AS (SELECT 0 AS place, CASE WHEN count(*) = 0 THEN 'Новых сигналов нет.' ELSE '📬 Утренняя сводка: ' || count(*) || ' сигналов' END AS text FROM cards
+  UNION ALL SELECT row_number() OVER (ORDER BY first, moment, id), card FROM cards)
+SELECT recipient, place, text FROM told, (VALUES (CAST(11 AS BIGINT)), (12)) r(recipient)""")
+def q48_broadcast(spark, sf_dir):
+    """The morning broadcast to two recipients: a header, then a card for each of the day's signals by priority and age."""
+    return reports.messages(_daily(spark, sf_dir), [11, 12])
+
+
 @query(f"SELECT host FROM (SELECT {_HOST} AS host FROM pages UNION SELECT 'example.com' UNION SELECT 'mos.ru')")
 def q50_domain_union(spark, sf_dir):
     known = spark.createDataFrame([("example.com",), ("mos.ru",)], "host string")
