@@ -42,3 +42,62 @@ cut AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS kept FROM piece GROUP
 total AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM span GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN total USING (doc_id) LEFT JOIN cut USING (doc_id)"""
+
+#: Bits 0, 20 and 40; times three bits, the factor has each of them at the foot of its counter.
+_SPREAD_BITS = "(((d[1 + w // 20] >> (3 * (w % 20))) & 7) * 274878431233) & 1099512676353"
+_FULL = "1152921504606846975"
+_DIGITS = "array_to_string([lpad(lower(hex(x)), 15, '0') FOR x IN {}], '')"
+_LIKE = "CASE WHEN {a} = {b} THEN 1.0 WHEN list_sum([x * x FOR x IN {s}]) * list_sum([x * x FOR x IN {t}]) > 0 THEN least(1.0, greatest(0.0, list_inner_product({s}, {t}) / sqrt(list_sum([x * x FOR x IN {s}]) * list_sum([x * x FOR x IN {t}])))) ELSE 0.0 END"
+
+MULTISET = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC) AS k, count(*) OVER () AS rows_ FROM documents),
+e AS (SELECT a.doc_id, a.k, a.t, a.t[1:length(a.t) - length(a.t) // 3] || b.t[1:length(a.t) // 3] AS x, b.k AS next_k FROM d a JOIN d b ON b.k = a.k % a.rows_ + 1),
+both_ AS (SELECT k, 0 AS kind, t FROM e UNION ALL SELECT k, 1, x FROM e),
+u AS (SELECT k, kind, unnest(regexp_extract_all(t, '[^.!?\n]+[.!?]*|[.!?]+') || [chr(10) || p FOR p IN string_split(t, chr(10))]) AS unit FROM both_),
+h AS (SELECT k, kind, [CAST('0x' || substr(sha256(unit), 15 * i + 1, 15) AS BIGINT) FOR i IN range(3)] AS d FROM u),
+s AS (SELECT k, kind, w, count(*) AS n, CAST(sum({_SPREAD_BITS}) % 1152921504606846976 AS BIGINT) AS c FROM h, range(60) r(w) GROUP BY k, kind, w),
+v AS (SELECT k, kind, [any_value(n)] || list(c ORDER BY w) AS v, list_transform(flatten(list([c & 1048575, (c >> 20) & 1048575, (c >> 40) & 1048575] ORDER BY w)), lambda x: CAST(2 * x - any_value_n AS DOUBLE)) AS g
+  FROM (SELECT *, n AS any_value_n FROM s) GROUP BY k, kind, any_value_n)
+SELECT e.doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(x) AS edited_sha256, {_DIGITS.format("p.v")} AS fingerprint, {_DIGITS.format("q.v")} AS edited_fingerprint,
+  {_LIKE.format(a="p.v", b="q.v", s="p.g", t="q.g")} AS near_edited, {_LIKE.format(a="p.v", b="r.v", s="p.g", t="r.g")} AS near_next
+FROM e JOIN v p ON p.k = e.k AND p.kind = 0 JOIN v q ON q.k = e.k AND q.kind = 1 JOIN v r ON r.k = e.next_k AND r.kind = 0"""
+
+
+def _codes() -> str:
+    """Lloyd rounds in full: all entries are compared in each."""
+    gap = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v)"
+    steps = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "x AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM kept, range(4) t(p))",
+        "b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM x WHERE r <= 256)",
+    ]
+    for k in range(5):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, x.p, min((d, e)) AS best FROM (SELECT x.r, x.p, b.e, {gap} AS d FROM x JOIN b{k} b ON b.p = x.p) x GROUP BY r, x.p)")
+        if k < 4:
+            steps.append(
+                f"""b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS v FROM (
+  SELECT x.p, a.best[2] AS e, i, floor(sum(x.v[i]) / count(*)) AS m FROM x JOIN a{k} a ON a.r = x.r AND a.p = x.p, unnest(range(1, len(x.v) + 1)) t(i) GROUP BY x.p, a.best[2], i) GROUP BY p, e) n USING (p, e))"""
+            )
+    return f"""WITH {", ".join(steps)},
+code AS (SELECT r, string_agg(lpad(lower(hex(best[2])), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a4 GROUP BY r),
+label AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN code USING (r) GROUP BY label),
+book AS (SELECT sha256(string_agg(array_to_string([CAST(i AS BIGINT) FOR i IN v], ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM kept JOIN code USING (r) JOIN label ON label.label IS NOT DISTINCT FROM kept.label, book"""
+
+
+CODES = _codes()
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+size_ AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size_),
+m AS (SELECT doc_id, 100 - 25 + (25 * CAST(n AS BIGINT) * docs) // terms AS m FROM size_, total),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""

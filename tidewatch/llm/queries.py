@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, cover_tree, language_id, minhash, mixing, oracle, packing, pii, pu_quality, quality_rules, suffix_dedup
+from tidewatch.llm import chat_format, cover_tree, language_id, minhash, mixing, multiset_hash, oracle, packing, pii, pu_quality, quality_rules, suffix_dedup, tiered_search, vector_codes
 from tidewatch.llm.common import held_out, table
 
 #: Conversation -7: both turns hold the template's own marks.
@@ -122,7 +122,34 @@ def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings, and the errors that they make."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    made = multiset_hash.edited(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        multiset_hash.to_hex(F.col("vector")).alias("fingerprint"),
+        multiset_hash.to_hex(F.col("edited_vector")).alias("edited_fingerprint"),
+        multiset_hash.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        multiset_hash.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+    )
+
+
+def op13_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 20 of all documents for each benchmark item."""
+    return tiered_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op11_hamerly_codes": op11_hamerly_codes,
+    "op12_multiset_fingerprints": op12_multiset_fingerprints,
+    "op13_tiered_search": op13_tiered_search,
     "op6_run_index": op6_run_index,
     "op2_mixing": op2_mixing,
     "op5_cover_tree": op5_cover_tree,
@@ -138,6 +165,9 @@ QUERIES = {
 _TEMPLATE = "'### ' || replace(replace(replace(replace(role, chr(92), chr(92) || 'b'), '#', chr(92) || 'h'), '<', chr(92) || 'l'), ':', chr(92) || 'c') || ': ' || replace(replace(replace(text, chr(92), chr(92) || 'b'), '#', chr(92) || 'h'), '<', chr(92) || 'l') || '</turn>' || chr(10)"
 
 ORACLE_SQL = {
+    "op11_hamerly_codes": oracle.CODES,
+    "op12_multiset_fingerprints": oracle.MULTISET,
+    "op13_tiered_search": oracle.RANKED,
     "op3_quality_rules": oracle.QUALITY_RULES,
     "op6_run_index": oracle.REPEATS,
     "op10_minhash": oracle.NEAR_DUPLICATES,
