@@ -51,17 +51,22 @@ def _with_sign(sign: int, unit: Column) -> Column:
     return F.struct(F.lit(sign).alias("sign"), unit.alias("unit"))
 
 
-def vectors(texts: DataFrame, *signed: tuple[int, str]) -> DataFrame:
-    """KEY, vector: the sum of the vectors of the text columns, each with a sign; texts has a row for each KEY and is dealt by it."""
+def vectors(texts: DataFrame, *signed: tuple[int, str], long: bool = True) -> DataFrame:
+    """KEY, vector: the sum of the vectors of the text columns, each with a sign; texts has a row for each KEY. Tasks add up the units of their own rows first.
+
+    long: whether a text may have CHUNK units or more; these are reduced modulo 2^60 by chunks.
+    """
     parts = [F.transform(units(F.col(c)), partial(_with_sign, sign)) for sign, c in signed]
     each = texts.select(*KEY, F.posexplode(F.concat(*parts)).alias("at", "u"))
+    key = [*KEY, "chunk"] if long else KEY
     hashed = each.select(*KEY, F.floor(F.col("at") / CHUNK).alias("chunk"), F.col("u.sign").cast("bigint").alias("sign"), F.sha2("u.unit", 256).alias("digest"))
-    cut = hashed.select(*KEY, "chunk", "sign", *[F.expr(f"cast(conv(substring(digest, {15 * k + 1}, 15), 16, 10) as bigint)").alias(f"d{k}") for k in range(3)])
+    cut = hashed.select(*key, "sign", *[F.expr(f"cast(conv(substring(digest, {15 * k + 1}, 15), 16, 10) as bigint)").alias(f"d{k}") for k in range(3)])
     per = WORDS // 3
     names = ["n", *[f"w{w}" for w in range(WORDS)]]
     told = ["sign", *[f"sign * (((shiftright(d{w // per}, {3 * (w % per)}) & 7) * {SPREAD}L) & {ONES}L)" for w in range(WORDS)]]
-    by_chunk = cut.groupBy(*KEY, "chunk").agg(*[F.expr(f"sum({x}) & {FULL}L").alias(n) for n, x in zip(names, told, strict=True)])
-    whole = by_chunk.groupBy(*KEY).agg(*[F.expr(f"sum({n}) & {FULL}L").alias(n) for n in names])
+    whole = cut.groupBy(*key).agg(*[F.expr(f"sum({x}) & {FULL}L").alias(n) for n, x in zip(names, told, strict=True)])
+    if long:
+        whole = whole.groupBy(*KEY).agg(*[F.expr(f"sum({n}) & {FULL}L").alias(n) for n in names])
     return whole.select(*KEY, F.array(*names).alias("vector"))
 
 
@@ -130,7 +135,7 @@ def following(keys: DataFrame, scratch: Scratch) -> DataFrame:
     follow = spark.createDataFrame(after, "part int, first_id bigint, first_hash bigint")
     last = F.col("next_hash").isNull()
     joined = told.join(F.broadcast(follow), "part", "left")  # one row for each partition
-    return joined.select(*KEY, "n", "copies", F.when(last, F.col("first_id")).otherwise(F.col("next_id")).alias("next_id"), F.when(last, F.col("first_hash")).otherwise(F.col("next_hash")).alias("next_hash"))
+    return joined.select("doc_id", *KEY, "n", "copies", F.when(last, F.col("first_id")).otherwise(F.col("next_id")).alias("next_id"), F.when(last, F.col("first_hash")).otherwise(F.col("next_hash")).alias("next_hash"))
 
 
 def edited(docs: DataFrame, share: int = 3) -> DataFrame:
@@ -143,18 +148,19 @@ def edited(docs: DataFrame, share: int = 3) -> DataFrame:
     rows = keyed(docs)
     keys = rows.groupBy("doc_id", *KEY, F.length("text").cast("bigint").alias("n")).agg(F.count(F.lit(1)).alias("copies"))
     links = following(keys, scratch)
-    repeats = links.where("copies > 1").limit(1).count() > 0
-    dealt = (rows.dropDuplicates(KEY) if repeats else rows).repartition(*KEY)
-    known = scratch.keep(vectors(dealt, (1, "text")))
-    gives = dealt.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("text").alias("from"))
+    repeats, long = links.agg(F.coalesce(F.max("copies") > 1, F.lit(False)), F.coalesce(F.max("n") * 4 + 2 >= 4 * CHUNK, F.lit(False))).first()
+    texts = rows.select(*KEY, "text")  # only these, so that both uses of the dealt texts are one shuffle
+    texts = texts.dropDuplicates(KEY) if repeats else texts
+    known = scratch.keep(vectors(texts, (1, "text"), long=long))
+    dealt = texts.repartition(*KEY)
+    gives = dealt.join(known, KEY).select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("text").alias("from"), F.col("vector").alias("next_vector"))
     cut = F.floor(F.col("n") / share).cast("int")
-    given = links.join(gives, ["next_id", "next_hash"]).select(*KEY, "n", "copies", "next_id", "next_hash", F.left("from", cut).alias("new"))
+    given = links.join(gives, ["next_id", "next_hash"]).select("doc_id", *KEY, "n", "copies", F.left("from", cut).alias("new"), "next_vector")
     both = dealt.join(given, KEY)
     kept = F.left("text", (F.col("n") - cut).cast("int"))
     line = F.substring_index(kept, "\n", -1)  # the unfinished paragraph before the cut
     changed = both.select(*KEY, F.concat(line, F.right("text", cut)).alias("old"), F.concat(line, F.col("new")).alias("new"))
-    moved = vectors(changed, (1, "new"), (-1, "old")).withColumnRenamed("vector", "change")
-    nexts = known.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("vector").alias("next_vector"))
-    made = both.select("doc_id", *KEY, "n", "copies", "next_id", "next_hash", F.concat(kept, "new").alias("edited")).join(known, KEY).join(moved, KEY).join(nexts, ["next_id", "next_hash"])
+    moved = vectors(changed, (1, "new"), (-1, "old"), long=long).withColumnRenamed("vector", "change")
+    made = both.select("doc_id", *KEY, "n", "copies", F.concat(kept, "new").alias("edited"), "next_vector").join(known, KEY).join(moved, KEY)
     out = made.select("doc_id", F.col("n").alias("n_chars"), "edited", "vector", add(F.col("vector"), F.col("change")).alias("edited_vector"), "next_vector", "copies")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy") if repeats else out.drop("copies")
