@@ -129,3 +129,24 @@ def test_moments_without_a_zone_are_refused(spark):
     rows = spark.createDataFrame([("a", NOW)], "source_key string, last_success_at timestamp_ntz")
     with pytest.raises(ValueError):
         schemas.shaped("sources_state", rows)
+
+
+@pytest.mark.parametrize("bad", ["<![foo[bar]]>", "<![\n"])
+def test_a_page_that_the_parser_rejects_costs_its_source_only(spark, tmp_path, bad):
+    store = Store(spark, str(tmp_path))
+    pages = Web({at("tass.ru", 1): rss(("https://tass.ru/1", GOOD)), at(SFR, 1): bad, at(MINTRUD, 1): mintrud(("/docs/1", GOOD, "19 августа 2026")), at(MINTRUD, 2): mintrud(("/docs/2", GOOD, "18 августа 2026")) + bad})
+    crawl.run(store, 1, [SOURCES[k] for k in ("tass.ru", SFR, MINTRUD)], catalog.RUSSIAN, F.lit(NOW), pages)
+    signals, _, counters, state = results(store)
+    assert signals == {"https://tass.ru/1", "https://mintrud.gov.ru/docs/1"}
+    assert counters["tass.ru"] == (True, 1, 0, 0, None) and state == {"tass.ru": NOW}
+    for key in (SFR, MINTRUD):
+        ok, new, _, _, error = counters[key]
+        assert not ok and new == 0 and error.startswith("broken page: ")
+
+
+def test_feeds_that_are_not_well_formed_are_read_as_far_as_they_go(spark):
+    item = "<item><title>A &amp; <![CDATA[b]]></title><link>https://tass.ru/1</link></item>"
+    broken = ["<rss><channel><item><title>x", f"<rss><channel>{item}<item><title><![CDATA[<c> & d]]></title><link> https://tass.ru/2 </link><pubDate>20 Aug 2026 10:00:00 GMT</pubDate>", "no feed at all", None]
+    rows = [listings.read_feed(spark.createDataFrame([(x,)], "xml string"), "tass.ru").collect() for x in broken]
+    assert [[(r.ord, r.title, r.url) for r in x] for x in rows] == [[], [(0, "A & b", "https://tass.ru/1"), (1, "<c> & d", "https://tass.ru/2")], [], []]
+    assert rows[1][1].published_at == dt.datetime(2026, 8, 20, 10)

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
-from tidewatch.operators.lifecycle import REASONED, may_move
+from tidewatch.operators.lifecycle import REASONED, judge
+from tidewatch.operators.store import Store
 from tidewatch.schemas import shaped
+from tidewatch.session import kept
 
 # What buttons and commands ask for, and the reasons behind the rejection buttons.
 BUTTONS = {"work": "in_progress", "later": "postponed"}
@@ -28,21 +30,19 @@ def _meaning(names: dict[str, str], name: Column) -> Column:
 def read_requests(said: DataFrame) -> DataFrame:
     """said (request_id, user_id, at, data) with signal_id, to_status, rejection_reason, reason; error ``format`` where data is no button or command.
 
-    A button is ``sig:<id>:<action>`` or ``rej:<id>:<code>``, a command ``/reopen <id>`` or ``/complete <id>``.
+    A button is ``sig:<id>:<action>`` or ``rej:<id>:<code>``, a command ``/reopen <id>`` or ``/complete <id>``. What said holds as ``comment`` goes
+    with a rejection.
     """
     press = lambda k: F.regexp_extract("data", _PRESS, k)
     command = lambda k: F.regexp_extract("data", _COMMAND, k)
     why = F.when(press(1) == "rej", _meaning(REJECTIONS, press(3)))
     to = F.when(press(1) == "sig", _meaning(BUTTONS, press(3))).when(why.isNotNull(), F.lit(REASONED)).otherwise(_meaning(COMMANDS, command(1)))
     read = said.withColumns({"signal_id": F.coalesce(press(2).try_cast("bigint"), command(2).try_cast("bigint")), "to_status": to, "rejection_reason": why, "reason": F.when(command(1) == "/reopen", "reopen")})
+    comment = F.nullif(F.trim("comment"), F.lit("")) if "comment" in said.columns else F.lit(None).cast("string")
+    read = read.withColumn("rejection_comment", F.when(F.col("to_status") == REASONED, comment))
     return read.withColumn("error", F.when(F.col("signal_id").isNull() | F.col("to_status").isNull(), "format"))
 
 
-def find(signals: DataFrame, ids: list[int]) -> DataFrame:
-    """The signals with these ids; the list reaches the scan."""
-    return signals.where(F.col("id").isin(*ids)) if ids else signals.where("false")
-
-
 def with_links(requests: DataFrame, sent: DataFrame, pages: DataFrame, domains: DataFrame) -> DataFrame:
     """Requests to hand signals on, from sent (request_id, user_id, at, signal_id, text): the link is checked before anything moves.
 
@@ -63,7 +63,7 @@ def decide(requests: DataFrame, signals: DataFrame, users: list[int]) -> DataFra
     """requests with from_status, accepted and error: ``format``, ``link``, ``domain`` or ``unreachable`` as told, else ``access``, ``missing``, ``reason`` or ``transition``.
 
     Requests of a signal apply in order of at and request_id, each from the status that the one before left; a refused one changes nothing.
-    One signal's requests of a run are gathered as one array.
+    They are judged in parts of bounded size, however many one signal has.
     """
     found = requests.join(signals.select(F.col("id").alias("signal_id"), F.col("status").alias("stored")), "signal_id", "left")
     barred = F.coalesce(
@@ -73,18 +73,9 @@ def decide(requests: DataFrame, signals: DataFrame, users: list[int]) -> DataFra
         F.when((F.col("to_status") == REASONED) & ~F.coalesce(F.col("rejection_reason").isin(*REJECTIONS.values()), F.lit(False)), "reason"),
     )
     found = found.withColumn("error", barred)
-    item = F.struct("at", "request_id", "to_status")
-    asked = found.where("error IS NULL").groupBy("signal_id", "stored").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.col("stored").alias("status"), F.expr("cast(array() as array<struct<request_id:bigint,from_status:string,accepted:boolean>>)").alias("log"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = F.coalesce(may_move(acc["status"], x["to_status"]), F.lit(False))
-        entry = F.struct(x["request_id"].alias("request_id"), acc["status"].alias("from_status"), ok.alias("accepted"))
-        return F.struct(F.when(ok, x["to_status"]).otherwise(acc["status"]).alias("status"), F.concat(acc["log"], F.array(entry)).alias("log"))
-
-    told = asked.select(F.explode(F.aggregate("items", start, step)["log"]).alias("e")).select("e.request_id", F.col("e.from_status").alias("from_status"), F.col("e.accepted").alias("accepted"))
-    out = found.drop("stored").join(told, "request_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-    return out.withColumn("error", F.when(~F.col("accepted"), F.coalesce("error", F.lit("transition"))))
+    judged = judge(found, ["signal_id"], ["at", "request_id"], start=F.col("stored"), able=F.col("error").isNull())
+    told = judged.withColumn("error", F.when(~F.col("accepted"), F.coalesce("error", F.lit("transition"))))
+    return told.withColumn("from_status", F.when(F.col("accepted") | (F.col("error") == "transition"), F.col("from_status"))).drop("stored")
 
 
 def history(decided: DataFrame) -> DataFrame:
@@ -116,6 +107,19 @@ def handed_on(signals: DataFrame, decided: DataFrame) -> DataFrame:
     return shaped("outbox", signals.join(sent, "id", "left_semi").withColumnRenamed("id", "signal_id"))
 
 
+def run(store: Store, batch: int, said: DataFrame, sent: DataFrame, pages: DataFrame, domains: DataFrame, users: list[int]) -> None:
+    """One batch of experts' requests on the stored signals, stored with one commit: new versions of the changed signals, audit rows, what is handed on, verdicts.
+
+    It reads the signals as the batches before left them, so a batch that is repeated replaces itself. said and sent are as in ``read_requests`` and ``with_links``.
+    """
+    requests = with_links(read_requests(said), sent, pages, domains)
+    signals = store.read("signals", batch)
+    decided = kept(decide(requests, signals, users), "decided")
+    touched = signals.join(decided.where("accepted").select(F.col("signal_id").alias("id")).distinct(), "id", "left_semi")
+    changed = kept(applied(touched, decided), "changed")
+    store.write(batch, {"signals": changed, "status_history": history(decided), "outbox": handed_on(changed, decided), "verdicts": decided})
+
+
 def asked_model(rows: DataFrame, text: str, ask: Callable[[str], str], into: str = "answer") -> DataFrame:
     """rows with a model client's answers about a text; where the client fails or there is no text, null."""
     schema = rows.withColumn(into, F.lit(None).cast("string")).schema

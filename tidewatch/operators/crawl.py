@@ -26,6 +26,7 @@ Fetch = Callable[..., DataFrame]
 
 PAGES = "source_key string, source_ord int, page int, url string, ok boolean, html string, error string"
 LISTED = "source_key string, source_ord int, page int, ord int, title string, url string, published_at timestamp, summary string"
+_READ = LISTED + ", error string"
 
 
 def address(source: Listing, page: int) -> str:
@@ -45,11 +46,12 @@ def one_round(store: Store, folder: str, page: int, live: list[tuple[int, Listin
     rows = None
     for k, s in live:
         part = s.read(pages.where((F.col("source_key") == s.key) & F.col("ok")).select("page", "html"))
+        error = F.col("error") if "error" in part.columns else F.lit(None).cast("string").alias("error")
         # a reader may number its only page itself; it is this round's
-        part = part.select("source_key", F.lit(k).alias("source_ord"), F.lit(page).alias("page"), "ord", "title", "url", "published_at", "summary")
+        part = part.select("source_key", F.lit(k).alias("source_ord"), F.lit(page).alias("page"), "ord", "title", "url", "published_at", "summary", error)
         rows = part if rows is None else rows.unionByName(part)
     rows.write.mode("overwrite").parquet(f"{folder}/listed/round={page}")
-    return pages, spark.read.schema(LISTED).parquet(f"{folder}/listed/round={page}")
+    return pages, spark.read.schema(_READ).parquet(f"{folder}/listed/round={page}")
 
 
 def crawl(store: Store, batch: int, sources: list[Listing], now: Column, fetch: Fetch = fetched, proxy: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -65,10 +67,13 @@ def crawl(store: Store, batch: int, sources: list[Listing], now: Column, fetch:
         rounds.append(page)
         # one row for each source: bounded by the registry
         errors |= {r.source_key: r.error for r in pages.where(~F.col("ok")).select("source_key", F.coalesce("error", F.lit("not fetched")).alias("error")).collect()}
+        errors |= {r.source_key: f"broken page: {r.error}" for r in rows.where("error IS NOT NULL").select("source_key", "error").collect()}
+        rows = rows.where("error IS NULL")
         told = rows.join(since, "source_key").groupBy("source_key").agg(F.max(is_stale(F.col("published_at"), F.col("since"))).alias("stale"))
         on = {r.source_key for r in told.where(~F.col("stale")).collect()}
         live = [(k, s) for k, s in live if s.pages and s.key in on and s.key not in errors]
-    listed = spark.read.schema(LISTED).parquet(*[f"{folder}/listed/round={p}" for p in rounds]) if rounds else spark.createDataFrame([], LISTED)
+    listed = spark.read.schema(_READ).parquet(*[f"{folder}/listed/round={p}" for p in rounds]) if rounds else spark.createDataFrame([], _READ)
+    listed = listed.where("error IS NULL").drop("error")
     met = spark.createDataFrame([(s.key, s.key not in errors, errors.get(s.key)) for s in sources], "source_key string, ok boolean, error string")
     return listed, met
 

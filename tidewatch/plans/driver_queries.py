@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import EVENT_ORDER, STATUS_LABELS, SYNTHETIC
 from tidewatch.functions import dates, textmatch, urls
 from tidewatch.operators import actions, classify, ingest, lifecycle, reports
-from tidewatch.session import table
+from tidewatch.operators.store import Store
+from tidewatch.session import new_folder, table
 from tidewatch.sources import listings
 
 QUERIES: dict = {}
@@ -504,46 +505,87 @@ def q55_arguments(spark, sf_dir):
 
 # --- experts' actions -------------------------------------------------------------------------------
 
-_SAID = [
-    (1, 11, 1, "sig:1:work"), (2, 11, 2, "sig:1:later"), (3, 11, 3, "rej:1:r_dup"), (4, 12, 4, "/reopen 1"), (5, 11, 5, "/complete 1"),
-    (6, 99, 6, "sig:2:work"), (7, 11, 7, "sig:2:work"), (8, 11, 8, "sig:7:work"), (9, 11, 9, "sig:2:dance"), (10, 11, 10, "/complete x"), (11, 12, 11, "/complete 3"), (12, 12, 12, "rej:4:r_other"),
-]
-_SENT = [(20, 11, 20, 2, "ftp://a.ru/x"), (21, 11, 21, 2, "http://bad.ru/x"), (22, 11, 22, 2, "http://w.a.ru/gone"), (23, 11, 23, 2, " http://w.a.ru/y "), (24, 11, 24, 1, "skip"), (25, 12, 25, 5, "SKIP")]
-_STORED = [(1, "new", None), (2, "new", None), (3, "sent_to_agent", "http://a.ru/old"), (4, "completed", None), (5, "in_progress", "http://a.ru/kept")]
+_EXPERTS = [10, 11, 12, 13, 14, 15]
+_ACTED: dict[tuple[str, str], Store] = {}
 
 
-def _decided(spark):
-    moment = (F.lit("2026-08-20 06:00:00").cast("timestamp") + F.make_interval(secs=F.col("k"))).alias("at")
-    said = spark.createDataFrame(_SAID, "request_id long, user_id long, k int, data string").select("request_id", "user_id", moment, "data")
-    sent = spark.createDataFrame(_SENT, "request_id long, user_id long, k int, signal_id long, text string").select("request_id", "user_id", moment, "signal_id", "text")
-    stored = spark.createDataFrame(_STORED, "id long, status string, npa_link string")
-    signals = stored.select("id", "status", "npa_link", F.lit("m").alias("measure_id"), F.lit(None).cast("string").alias("rejection_reason"), F.lit(None).cast("string").alias("rejection_comment"), F.lit(None).cast("timestamp").alias("updated_at"))
-    pages = spark.createDataFrame([("http://w.a.ru/y", True), ("http://w.a.ru/gone", False)], "url string, ok boolean")
-    requests = actions.with_links(actions.read_requests(said), sent, pages, spark.createDataFrame([("a.ru",)], "domain string"))
-    return signals, actions.decide(requests, signals, [11, 12])
+def _acts(spark, sf_dir):
+    """Orders as stored signals, and events as what experts said and sent about them, in three batches.
 
+    The third batch is run twice, and the versions are compacted before it: neither changes anything.
+    """
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known in _ACTED and _ACTED[known].batches("verdicts"):
+        return _ACTED[known]
+    stamp = lambda c: F.to_utc_timestamp(F.col(c).cast("timestamp_ntz").cast("timestamp"), "UTC")
+    status = F.create_map(*[F.lit(x) for x in ("O", "new", "P", "in_progress", "F", "sent_to_agent")])[F.col("o_orderstatus")]
+    signals = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderpriority").alias("measure_id"), stamp("o_orderdate").alias("created_at"), stamp("o_orderdate").alias("updated_at"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("http://old.a.ru/"), F.col("o_orderkey"))).alias("npa_link"),
+    )
+    k = F.get_json_object("props", "$.k").cast("int")
+    about = F.when(k == 0, F.col("event_id") + 100_000_000).otherwise(F.col("user_id") * 8 + k % 8)
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 7 + 10).alias("user_id"), stamp("ts").alias("at"), "event_type", k.alias("k"), about.alias("signal_id"))
+    id_ = F.col("signal_id").cast("string")
+    data = (
+        F.when(F.col("event_type") == "view", F.format_string("sig:%s:work", id_))
+        .when(F.col("event_type") == "click", F.format_string("sig:%s:later", id_))
+        .when(F.col("event_type") == "error", F.format_string("rej:%s:%s", id_, F.element_at(F.array(F.lit("r_dup"), F.lit("r_other"), F.lit("r_bad")), F.col("k") % 3 + 1)))
+        .when(F.col("k") % 2 == 0, F.format_string("/complete %s", id_))
+        .otherwise(F.format_string("/reopen %s", id_))
+    )
+    link = F.element_at(F.array(F.lit("skip"), F.lit("ftp://a.ru/x"), F.lit("http://bad.ru/x"), F.lit("http://w.a.ru/gone"), F.format_string(" http://w.a.ru/%d ", F.col("k"))), F.col("k") % 5 + 1)
+    said = events.where("event_type <> 'purchase'").select("request_id", "user_id", "at", data.alias("data"), F.when(F.col("k") % 3 == 1, F.format_string(" c%d ", F.col("k"))).alias("comment"))
+    sent = events.where("event_type = 'purchase'").select("request_id", "user_id", "at", "signal_id", link.alias("text"))
+    pages = events.select(F.format_string("http://w.a.ru/%d", F.col("k")).alias("url")).distinct().withColumn("ok", F.lit(True)).unionByName(spark.range(1).select(F.lit("http://w.a.ru/gone").alias("url"), F.lit(False).alias("ok")))
+    domains = spark.createDataFrame([("a.ru",)], "domain string")
+    store = Store(spark, new_folder(spark, "acts"))
+    store.write(1, {"signals": signals})
+    days = ["2024-01-01", "2024-01-11", "2024-01-21", "2100-01-01"]
+    for batch, (begin, end) in enumerate(zip(days, days[1:], strict=False), 2):
+        part = (F.col("at") >= F.lit(begin).cast("timestamp")) & (F.col("at") < F.lit(end).cast("timestamp"))
+        for _ in range(2 if batch == 4 else 1):
+            actions.run(store, batch, said.where(part), sent.where(part), pages, domains, _EXPERTS)
+        if batch == 3:
+            store.compact("signals", batch)
+    _ACTED[known] = store
+    return store
+
+
+_ACTS = f"""WITH RECURSIVE e AS (SELECT event_id AS request_id, 10 + user_id % 7 AS who, ts, event_type AS t, k, CASE WHEN k = 0 THEN event_id + 100000000 ELSE user_id * 8 + k % 8 END AS sid FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
+o AS (SELECT o_orderkey AS sid, CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'P' THEN 'in_progress' WHEN 'F' THEN 'sent_to_agent' END AS status, o_orderpriority AS measure_id, o_orderdate AS moment, CASE WHEN o_orderkey % 3 = 0 THEN 'http://old.a.ru/' || o_orderkey END AS link FROM orders),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY e.sid ORDER BY ts, request_id) AS n,
+  CASE t WHEN 'view' THEN 'in_progress' WHEN 'click' THEN 'postponed' WHEN 'purchase' THEN 'sent_to_agent' WHEN 'error' THEN CASE WHEN k % 3 < 2 THEN 'rejected' END ELSE CASE WHEN k % 2 = 0 THEN 'completed' ELSE 'new' END END AS wanted,
+  CASE WHEN who = 16 THEN 'access' WHEN t = 'error' AND k % 3 = 2 THEN 'format' WHEN t = 'purchase' AND k % 5 = 1 THEN 'link' WHEN t = 'purchase' AND k % 5 = 2 THEN 'domain' WHEN t = 'purchase' AND k % 5 = 3 THEN 'unreachable' WHEN o.sid IS NULL THEN 'missing' END AS err
+  FROM e LEFT JOIN o USING (sid)),
+m(a, b) AS (VALUES {_MOVES}),
+s AS (SELECT sid, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS wanted, CAST(NULL AS VARCHAR) AS err, CAST(NULL AS VARCHAR) AS before, false AS good, status, link, CAST(NULL AS VARCHAR) AS why, CAST(NULL AS VARCHAR) AS said, moment, 0 AS audited FROM o
+  UNION ALL SELECT s.sid, r.n, r.request_id, r.wanted, r.err, s.status, m.a IS NOT NULL, CASE WHEN m.a IS NULL THEN s.status ELSE r.wanted END,
+    CASE WHEN m.a IS NOT NULL AND r.t = 'purchase' AND r.k % 5 = 4 THEN 'http://w.a.ru/' || r.k ELSE s.link END,
+    CASE WHEN m.a IS NULL OR r.wanted NOT IN ('rejected', 'new') THEN s.why WHEN r.wanted = 'rejected' THEN CASE WHEN r.k % 3 = 0 THEN 'duplicate' ELSE 'other' END END,
+    CASE WHEN m.a IS NULL OR r.wanted NOT IN ('rejected', 'new') THEN s.said WHEN r.wanted = 'rejected' AND r.k % 3 = 1 THEN 'c' || r.k END,
+    CASE WHEN m.a IS NULL THEN s.moment ELSE r.ts END, s.audited + CASE WHEN m.a IS NULL THEN 0 ELSE 1 END
+  FROM s JOIN r ON r.sid = s.sid AND r.n = s.n + 1 LEFT JOIN m ON m.a = s.status AND m.b = r.wanted AND r.err IS NULL)
+"""
 
-@query("""SELECT * FROM (VALUES
-  (1, true, 'new', 'in_progress', NULL), (2, true, 'in_progress', 'postponed', NULL), (3, true, 'postponed', 'rejected', NULL), (4, true, 'rejected', 'new', NULL), (5, false, 'new', 'completed', 'transition'),
-  (6, false, NULL, 'in_progress', 'access'), (7, true, 'new', 'in_progress', NULL), (8, false, NULL, 'in_progress', 'missing'), (9, false, NULL, NULL, 'format'), (10, false, NULL, NULL, 'format'), (11, true, 'sent_to_agent', 'completed', NULL), (12, false, 'completed', 'rejected', 'transition'),
-  (20, false, NULL, 'sent_to_agent', 'link'), (21, false, NULL, 'sent_to_agent', 'domain'), (22, false, NULL, 'sent_to_agent', 'unreachable'), (23, true, 'in_progress', 'sent_to_agent', NULL), (24, false, 'new', 'sent_to_agent', 'transition'), (25, true, 'in_progress', 'sent_to_agent', NULL))
-  v(request_id, accepted, from_status, to_status, error)""")
+
+@query(_ACTS + """SELECT request_id, good AS accepted, CASE WHEN err IS NULL THEN before END AS from_status, wanted AS to_status, coalesce(err, CASE WHEN NOT good THEN 'transition' END) AS error FROM s WHERE n > 0
+UNION ALL SELECT request_id, false, NULL, wanted, err FROM r WHERE sid NOT IN (SELECT sid FROM o)""")
 def q56_actions(spark, sf_dir):
-    """Buttons, commands and links of experts, each with its verdict."""
-    return _decided(spark)[1].select("request_id", "accepted", "from_status", "to_status", "error")
+    """Buttons, commands and links of experts about stored signals, each with its stored verdict."""
+    return _acts(spark, sf_dir).read("verdicts").select("request_id", "accepted", "from_status", "to_status", "error")
 
 
-@query("""SELECT * FROM (VALUES (1, 'new', NULL, NULL, 4), (2, 'sent_to_agent', 'http://w.a.ru/y', NULL, 2), (3, 'completed', 'http://a.ru/old', NULL, 1), (4, 'completed', NULL, NULL, 0), (5, 'sent_to_agent', 'http://a.ru/kept', NULL, 1))
-  v(id, status, npa_link, rejection_reason, audited)""")
+@query(_ACTS + "SELECT sid AS id, status, link AS npa_link, why AS rejection_reason, said AS rejection_comment, strftime(moment, '%Y-%m-%d %H:%M:%S') AS updated_at, CAST(audited AS BIGINT) AS audited FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY n DESC) AS z FROM s) WHERE z = 1")
 def q57_applied(spark, sf_dir):
-    """Signals after the actions, with the number of their audit rows."""
-    signals, decided = _decided(spark)
-    audited = actions.history(decided).groupBy(F.col("signal_id").alias("id")).agg(F.count(F.lit(1)).alias("audited"))
-    return actions.applied(signals, decided).join(audited, "id", "left").select("id", "status", "npa_link", "rejection_reason", F.coalesce("audited", F.lit(0)).cast("int").alias("audited"))
+    """The stored signals after all batches, with the number of their audit rows."""
+    store = _acts(spark, sf_dir)
+    audited = store.read("status_history").groupBy(F.col("signal_id").alias("id")).agg(F.count(F.lit(1)).alias("audited"))
+    rows = store.read("signals").join(audited, "id", "left")
+    return rows.select("id", "status", "npa_link", "rejection_reason", "rejection_comment", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), F.coalesce("audited", F.lit(0)).alias("audited"))
 
 
-@query("SELECT * FROM (VALUES (2, 'm', 'http://w.a.ru/y'), (5, 'm', 'http://a.ru/kept')) v(signal_id, measure_id, npa_link)")
+@query(_ACTS + "SELECT s.sid AS signal_id, measure_id, s.link AS npa_link FROM s JOIN o ON o.sid = s.sid WHERE good AND wanted = 'sent_to_agent'")
 def q58_outbox(spark, sf_dir):
-    """What is handed to the next agent after the actions."""
-    signals, decided = _decided(spark)
-    return actions.handed_on(actions.applied(signals, decided), decided)
+    """What the batches handed to the next agent."""
+    return _acts(spark, sf_dir).read("outbox")

@@ -172,17 +172,30 @@ def published(site: Site, raw: Column) -> Column:
     return dates.russian_date(raw).cast("timestamp")
 
 
-def read_listing(pages: DataFrame, site: Site) -> DataFrame:
-    """Publications of captured pages (page, html): source_key, page, ord, title, url, published_at, summary."""
+def read_pages(pages: DataFrame, site: Site) -> DataFrame:
+    """Publications of captured pages (page, html): source_key, page, ord, title, url, published_at, summary, error.
+
+    A page that the reader rejects is one row with an error and nothing else; the other pages are read.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = [(page, *card) for page, text in zip(batch["page"].tolist(), batch["html"].tolist(), strict=True) for card in cards(site, text)]
-            yield pd.DataFrame(rows, columns=["page", "ord", "href", "title", "raw_date", "summary"])
-
-    found = pages.select(F.col("page").cast("int"), "html").mapInPandas(run, "page int, ord int, href string, title string, raw_date string, summary string")
+            rows: list[tuple] = []
+            for page, text in zip(batch["page"].tolist(), batch["html"].tolist(), strict=True):
+                try:
+                    rows += [(page, *card, None) for card in cards(site, text)]
+                except Exception as failed:  # the parser's own errors: bad markup, too deep nesting
+                    rows.append((page, None, None, None, None, None, f"{type(failed).__name__}: {failed}"))
+            yield pd.DataFrame(rows, columns=["page", "ord", "href", "title", "raw_date", "summary", "error"]).astype({"ord": "Int32"})
+
+    found = pages.select(F.col("page").cast("int"), "html").mapInPandas(run, "page int, ord int, href string, title string, raw_date string, summary string, error string")
     url = F.col("href") if site.link == "" else resolve(site.base, F.col("href"))
-    return found.select(F.lit(site.key).alias("source_key"), "page", "ord", "title", url.alias("url"), published(site, F.col("raw_date")).alias("published_at"), "summary")
+    return found.select(F.lit(site.key).alias("source_key"), "page", "ord", "title", url.alias("url"), published(site, F.col("raw_date")).alias("published_at"), "summary", "error")
+
+
+def read_listing(pages: DataFrame, site: Site) -> DataFrame:
+    """The publications of the pages that can be read."""
+    return read_pages(pages, site).where("error IS NULL").drop("error")
 
 
 # The document register keeps its listing as JSON inside the page.
@@ -219,11 +232,32 @@ FEEDS = {
 _RSS = "channel struct<item: array<struct<title: string, link: string, pubDate: string, description: string>>>"
 
 
+_ITEM = r"(?is)<item\b[^>]*>((?:(?!<item\b).)*?)(?:</item\s*>|(?=<item\b)|$)"
+
+
+def _field(item: Column, name: str) -> Column:
+    """An element's text: whole CDATA as it stands, else with the five named entities read, and without tags unless a part is CDATA."""
+    inner = F.regexp_extract(item, rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>", 1)
+    data = F.regexp_extract(inner, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", 1)
+    plain = F.when(inner.contains("<![CDATA["), F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")).otherwise(F.regexp_replace(inner, r"<[^>]*>", ""))
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(mark))
+    return F.nullif(F.trim(F.when(data != "", data).otherwise(plain)), F.lit(""))
+
+
+def loose_items(xml: Column) -> Column:
+    """The items of a feed that isn't well-formed, as far as they can be found."""
+    return F.transform(F.regexp_extract_all(xml, F.lit(_ITEM), F.lit(1)), lambda i: F.struct(*[_field(i, n).alias(n) for n in ("title", "link", "pubDate", "description")]))
+
+
 def read_feed(pages: DataFrame, domain: str) -> DataFrame:
-    """Publications of a captured feed (column xml); one page, in feed order."""
+    """Publications of a captured feed (column xml); one page, in feed order.
+
+    A feed that isn't well-formed is read as far as its items can be found: it counts as read, as feed readers do.
+    """
     if domain not in FEEDS:
         raise ValueError(f"no feed for {domain!r}; there are {', '.join(sorted(FEEDS))}")
-    items = pages.select(F.from_xml("xml", _RSS).alias("x")).select(F.posexplode("x.channel.item").alias("ord", "i"))
+    items = pages.select("xml", F.from_xml("xml", _RSS).alias("x")).select(F.posexplode(F.coalesce("x.channel.item", loose_items(F.col("xml")))).alias("ord", "i"))
     return items.where((F.coalesce("i.link", F.lit("")) != "") & (F.coalesce("i.title", F.lit("")) != "")).select(
         F.lit(domain).alias("source_key"), F.lit(1).alias("page"), "ord", F.col("i.title").alias("title"), F.col("i.link").alias("url"), dates.feed_date(F.col("i.pubDate")).alias("published_at"), F.when(F.col("i.description") != "", F.col("i.description")).alias("summary")
     )
@@ -244,7 +278,7 @@ class Listing:
     """A source of a run: where its pages are, how they are reached, and what reads them.
 
     ``pages`` is the pattern of the pages after the first, empty for a source of one page. ``read`` takes (page, html) and gives
-    publications; ``broken`` tells of a page that was fetched whether it is none of the source's pages.
+    publications, and where it has a column ``error``, rows of pages that it rejects; ``broken`` tells of a page that was fetched whether it is none of the source's pages.
     """
 
     key: str
@@ -260,7 +294,7 @@ def registry() -> list[Listing]:
 
     def site(key: str) -> Listing:
         s = SITES[key]
-        return Listing(key, s.first, s.pages, s.access, lambda pages: read_listing(pages, s))
+        return Listing(key, s.first, s.pages, s.access, lambda pages: read_pages(pages, s))
 
     def feed(domain: str) -> Listing:
         return Listing(domain, FEEDS[domain], "", "direct", lambda pages: read_feed(pages.select(F.col("html").alias("xml")), domain))
