@@ -52,14 +52,6 @@ def test_reopening_clears_the_reason(spark):
     assert got == {1: ("new", None, [("new", "rejected"), ("rejected", "new")]), 2: ("rejected", "not_npa", [("new", "rejected")])}
 
 
-def test_links_and_outbox(spark):
-    events = spark.createDataFrame([(1, 1, "http://a"), (1, 2, "http://b"), (1, 3, "SKIP"), (2, 1, "skip")], "signal_id long, at int, npa_link string")
-    links = lifecycle.last_links(events)
-    assert {tuple(r) for r in links.collect()} == {(1, "http://b")}
-    moved = spark.createDataFrame([(1, "sent_to_agent", None), (2, "sent_to_agent", "m"), (3, "new", None)], "signal_id long, status string, measure_id string")
-    assert {tuple(r) for r in lifecycle.outbox(moved, links).collect()} == {(1, None, "http://b"), (2, "m", None)}
-
-
 LISTED = "source_key string, source_ord int, page int, ord int, title string, url string, published_at timestamp, summary string"
 
 
@@ -210,7 +202,6 @@ def test_a_rejection_needs_a_reason_and_keeps_its_comment(spark):
     assert {r.request_id: r.error for r in decided.collect()} == {1: "reason", 2: None, 3: "reason", 4: "access"}
     assert {(r.id, r.status, r.rejection_reason, r.rejection_comment) for r in actions.applied(signals, decided).collect()} == {(1, "rejected", "duplicate", "see 7"), (2, "new", None, None)}
     assert [(r.signal_id, r.from_status, r.to_status, r.changed_by, r.reason) for r in actions.history(decided).collect()] == [(1, "new", "rejected", "5", "note")]
-    assert [r.id for r in actions.find(signals, [2, 9]).collect()] == [2] and actions.find(signals, []).count() == 0
     assert actions.decide(spark.createDataFrame([], schema), signals, [5]).count() == 0
 
 

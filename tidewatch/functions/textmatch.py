@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEFT = r"(?:^|[^\p{L}\p{N}_])"
@@ -30,21 +30,23 @@ def keyword_pattern(keyword: str) -> str:
     return out + (END if parts and parts[-1] in EXACT else "")
 
 
-def group_pattern(keywords: tuple[str, ...]) -> str:
-    """One alternation for a whole group, where only a yes or no is wanted."""
-    return "|".join(f"(?:{keyword_pattern(k)})" for k in keywords)
+def matches(lower: Column, keyword: str) -> Column:
+    """Whether a lower-cased text holds a keyword: its stems are looked for as plain text, and the pattern is tried only where all of them are there."""
+    words = keyword.lower().split()
+    stems = dict.fromkeys(w if w in EXACT else stem(w) for w in words)
+    return reduce(lambda a, b: a & b, [lower.contains(s) for s in stems if s], F.lit(True)) & lower.rlike(keyword_pattern(keyword))
 
 
 def contains_any(lower: Column, keywords: tuple[str, ...]) -> Column:
     """Whether a lower-cased text holds any of the keywords; false for null and for an empty group."""
-    return F.coalesce(lower.rlike(group_pattern(keywords)), F.lit(False)) if keywords else F.lit(False)
+    return F.coalesce(reduce(lambda a, b: a | b, [matches(lower, k) for k in keywords]), F.lit(False)) if keywords else F.lit(False)
 
 
 def find_matches(lower: Column, keywords: tuple[str, ...]) -> Column:
     """The keywords that a lower-cased text holds, in catalog order."""
     if not keywords:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(lower.rlike(keyword_pattern(k)), F.lit(k)) for k in keywords]))
+    return F.array_compact(F.array(*[F.when(matches(lower, k), F.lit(k)) for k in keywords]))
 
 
 def publication_text(title: Column, summary: Column) -> Column:
@@ -55,3 +57,52 @@ def publication_text(title: Column, summary: Column) -> Column:
 def first_match(lower: Column, groups: list[tuple[str, tuple[str, ...]]], default: str) -> Column:
     """The first group with a match."""
     return reduce(lambda rest, g: F.when(contains_any(lower, g[1]), F.lit(g[0])).otherwise(rest), reversed(groups), F.lit(default))
+
+
+WORD = r"[\p{L}\p{N}_]+"
+_PIECE = r"([^\p{L}\p{N}_]*)(" + WORD + ")"
+
+
+def tokens(lower: Column) -> Column:
+    """The words of a text with what stands before each: array of (before, token)."""
+    return F.arrays_zip(F.regexp_extract_all(lower, F.lit(_PIECE), F.lit(1)).alias("before"), F.regexp_extract_all(lower, F.lit(_PIECE), F.lit(2)).alias("token"))
+
+
+def keyword_steps(keywords: DataFrame) -> DataFrame:
+    """keywords (grp, keyword) as steps: grp, keyword, step, steps, token, whole, before.
+
+    A step wants a word that begins with token (is token where ``whole``), right after the step before, with ``before`` between them; null stands
+    for white space. A hyphenated word is several steps. Keywords that are no such sequence, as stems that begin or end with
+    other marks, have no steps.
+    """
+    word = lambda w: F.when(w.isin(*EXACT), w).when(F.length(w) > 5, F.left(w, F.length(w) - 2)).when(F.length(w) > 3, F.left(w, F.length(w) - 1)).otherwise(w)
+
+    def parts(w: Column, i: Column) -> Column:
+        found = tokens(word(w))
+        return F.transform(found, lambda p, k: F.struct(p["token"].alias("token"), ((k < F.size(found) - 1) | w.isin(*EXACT)).alias("whole"), F.when(k > 0, p["before"]).when(i == 0, F.lit("")).alias("before")))
+
+    words = F.filter(F.split(F.lower("keyword"), r"[\s\p{Z}]+"), lambda w: w != "")
+    plain = F.forall(words, lambda w: word(w).rlike(rf"^{WORD}(?:[^\p{{L}}\p{{N}}_]+{WORD})*$")) & (F.size(words) > 0)
+    steps = keywords.where(plain).select("grp", "keyword", F.flatten(F.transform(words, parts)).alias("all"))
+    return steps.select("grp", "keyword", F.size("all").alias("steps"), F.posexplode("all").alias("step", "s")).select("grp", "keyword", "steps", "step", "s.token", "s.whole", "s.before")
+
+
+def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, grp, keyword of the keywords (grp, keyword) that each row's text holds, for a table of keywords of any size.
+
+    The texts' words are exploded once. Distinct words meet the steps' stems by equality of prefixes (one key for each length of a stem that there is), and
+    only words that some step wants are joined back to their places; the steps of a keyword that stand in order at one place are counted.
+    Keywords without steps (see ``keyword_steps``) are not looked for.
+    """
+    lower = rows.select(F.col(key).alias("key"), F.lower(text).alias("lower"))
+    placed = lower.select("key", F.posexplode(tokens(F.col("lower"))).alias("place", "t")).select("key", "place", "t.before", "t.token")
+    steps = keyword_steps(keywords)
+    lengths = [r.n for r in steps.select(F.length("token").alias("n")).distinct().collect()]  # at most the length of a word
+    vocabulary = placed.select("token").distinct()
+    prefixes = vocabulary.select("token", F.explode(F.array(*[F.when(F.length("token") >= n, F.left("token", F.lit(n))) for n in lengths] or [F.lit(None).cast("string")])).alias("prefix")).where("prefix IS NOT NULL")
+    wanted = prefixes.join(steps.withColumnRenamed("token", "prefix"), "prefix").where("NOT whole OR token = prefix")
+    met = placed.join(wanted.withColumnRenamed("before", "needs").drop("prefix", "whole"), "token")
+    space = F.col("before").rlike(r"^[\s\p{Z}]+$")
+    fits = met.where((F.col("step") == 0) | F.when(F.col("needs").isNull(), space).otherwise(F.col("before") == F.col("needs")))
+    at_one = fits.groupBy("key", "grp", "keyword", "steps", (F.col("place") - F.col("step")).alias("start")).agg(F.count_distinct("step").alias("met"))
+    return at_one.where("met = steps").select("key", "grp", "keyword").distinct().withColumnRenamed("key", key)

@@ -55,11 +55,6 @@ def resolve(base: str, href: Column) -> Column:
     return F.when(href.rlike("^https?://"), href).when(href.startswith("/") & ~href.startswith("//"), F.concat(F.lit(origin), href)).otherwise(general(href))
 
 
-def page_url(template: str, first: str, page: Column) -> Column:
-    """The address of a listing page; the first has its own."""
-    return F.when(page == 1, F.lit(first)).otherwise(F.replace(F.lit(template), F.lit("{page}"), page.cast("string")))
-
-
 def source_domain(source_key: Column) -> Column:
     return F.split_part(source_key, F.lit("/"), F.lit(1))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import EVENT_ORDER, Catalog
-from tidewatch.functions.textmatch import contains_any, find_matches, first_match, publication_text
+from tidewatch.functions.textmatch import contains_any, find_matches, first_match, keyword_hits, matches, publication_text
 from tidewatch.functions.urls import source_domain
 
 
@@ -92,7 +94,17 @@ def explain(rows: DataFrame, catalog: Catalog, title: str = "title", summary: st
             ).alias("events"),
         ),
     )
-    done = classify(found.drop("lower__"), catalog, title, summary, source_key)
+    some = lambda words: F.size(words) > 0
+    t = F.col("trace")
+    first = reduce(lambda rest, name: F.when(F.map_contains_key(t["events"], F.lit(name)), F.lit(name)).otherwise(rest), reversed(EVENT_ORDER), F.lit("review"))
+    done = (
+        found.drop("lower__")
+        .withColumn("categories", F.map_keys(t["categories"]))
+        .withColumn("is_relevant", some(F.col("categories")) & some(t["topic"]))
+        .withColumn("event_type", first)
+        .withColumn("region", region(F.col(source_key), catalog))
+        .withColumn("priority", F.when(~some(t["markers"]), "low").when(F.col("region") == "undefined", "medium").when(some(t["high"]), "high").otherwise("medium"))
+    )
     return done.withColumn("trace_line", trace_line(F.col("trace"), F.col("is_relevant"), F.col("event_type"), F.col("region"), F.col("priority")))
 
 
@@ -114,7 +126,20 @@ def trace_line(trace: Column, relevant: Column, event: Column, where: Column, ra
     )
 
 
-def keyword_counts(rows: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that match each pattern of a small table (grp, pattern), by a broadcast theta join."""
-    lower = rows.select(F.lower(text).alias("lower"))
-    return patterns.hint("broadcast").join(lower, F.regexp_like("lower", F.col("pattern")), "left").groupBy("grp", "pattern").agg(F.count("lower").alias("n"))
+#: Keywords up to which a table of them becomes part of the plan.
+FOLDED = 256
+
+
+def keyword_counts(rows: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """grp, keyword, n: the rows (with a unique key) whose text holds each keyword of a table (grp, keyword).
+
+    A small table becomes conditions on the scan, a larger one is joined by its stems; neither compares every text with every keyword's pattern.
+    """
+    few = keywords.select("grp", "keyword").distinct().limit(FOLDED + 1).collect()
+    if len(few) <= FOLDED:
+        lower = rows.select(F.lower(text).alias("lower"))
+        counts = lower.agg(F.array(*[F.count_if(matches(F.col("lower"), k.keyword)) for k in few] or [F.lit(0).cast("bigint")]).alias("all"))
+        names = F.array(*[F.struct(F.lit(k.grp).alias("grp"), F.lit(k.keyword).alias("keyword")) for k in few]) if few else F.expr("cast(array() as array<struct<grp:string,keyword:string>>)")
+        return counts.select(F.posexplode(names).alias("i", "k"), "all").select("k.grp", "k.keyword", F.col("all")[F.col("i")].alias("n"))
+    counts = keyword_hits(rows, keywords, key, text).groupBy("grp", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    return keywords.select("grp", "keyword").distinct().join(counts, ["grp", "keyword"], "left").select("grp", "keyword", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
