@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import Catalog
+from tidewatch.operators import seen
 from tidewatch.operators.ingest import PAGE_CAP, ingest, is_stale, window_start
 from tidewatch.operators.store import Store
 from tidewatch.sources.fetching import fetched
@@ -92,8 +93,10 @@ def run(store: Store, batch: int, sources: list[Listing], catalog: Catalog, now:
         rows.write.mode("overwrite").parquet(path)
         return spark.read.schema(rows.schema).parquet(path)
 
-    seen = store.read("documents_seen", batch).select("doc_url")
-    store.save_run(batch, ingest(listed, met, store.state(batch), seen, domains, catalog, now, keep))
+    # of what was ever seen, only the batches that may hold a listed address are read
+    known = seen.seen_with(store, listed, "url", batch)
+    made = ingest(listed, met, store.state(batch), known, domains, catalog, now, keep)
+    store.save_run(batch, made | {"seen_filters": seen.bloom_rows(made["seen"], "doc_url", made["seen"].count())})
 
 
 def run_each(store: Store, batch: int, sources: list[Listing], catalog: Catalog, now: Column, fetch: Fetch = fetched, proxy: str | None = None) -> None:

@@ -59,10 +59,14 @@ class Store:
         """A table's committed rows; empty if there are none. A batch that may be repeated reads those before it only."""
         if table in KEYS:
             return self.merged(table, before)
+        return self.with_batch(table, before).drop("batch")
+
+    def with_batch(self, table: str, before: int | None = None) -> DataFrame:
+        """The rows of the committed batches, with their batch."""
         rows, good = self._files(table, TABLES[table]), self.batches(table, before)
         if rows is None or not good:
-            return self.spark.createDataFrame([], TABLES[table])
-        return rows.where(F.col("batch").isin(good)).drop("batch")
+            return self.spark.createDataFrame([], f"{TABLES[table]}, batch bigint")
+        return rows.where(F.col("batch").isin(good))
 
     def merged(self, table: str, before: int | None = None) -> DataFrame:
         """The latest version of each key, from the latest base and the batches after it."""
@@ -98,19 +102,17 @@ class Store:
         return self.spark.read.schema(TABLES["sources_state"]).parquet(self.path("sources_state", good[-1])) if good else self.spark.createDataFrame([], TABLES["sources_state"])
 
     def save_run(self, batch: int, run: dict[str, DataFrame]) -> None:
-        """What operators.ingest.ingest returns: cards with their categories and first history rows, seen addresses, counters, state."""
+        """What operators.ingest.ingest returns, and the filter of its seen addresses if there is one: cards with their categories and first history rows, seen addresses, counters, state."""
         cards = run["signals"].withColumn("id", url_id(F.col("source_url"))).withColumn("updated_at", F.col("created_at"))
-        self.write(
-            batch,
-            {
-                "signals": cards,
-                "signal_categories": cards.select(F.col("id").alias("signal_id"), F.explode("categories").alias("category")),
-                "status_history": cards.select(F.xxhash64("id", F.lit(0)).alias("id"), F.col("id").alias("signal_id"), F.lit("new").alias("to_status"), F.col("created_at").alias("changed_at")),
-                "documents_seen": run["seen"].withColumn("id", url_id(F.col("doc_url"))),
-                "run_counters": run["counters"],
-                "sources_state": run["state"],
-            },
-        )
+        tables = {
+            "signals": cards,
+            "signal_categories": cards.select(F.col("id").alias("signal_id"), F.explode("categories").alias("category")),
+            "status_history": cards.select(F.xxhash64("id", F.lit(0)).alias("id"), F.col("id").alias("signal_id"), F.lit("new").alias("to_status"), F.col("created_at").alias("changed_at")),
+            "documents_seen": run["seen"].withColumn("id", url_id(F.col("doc_url"))),
+            "run_counters": run["counters"],
+            "sources_state": run["state"],
+        }
+        self.write(batch, tables | {"seen_filters": run[n] for n in ("seen_filters",) if n in run})
 
     def totals(self) -> DataFrame:
         """How many source runs went well, and the signals they made."""

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import EVENT_ORDER, STATUS_LABELS, SYNTHETIC
 from tidewatch.functions import dates, textmatch, urls
-from tidewatch.operators import actions, classify, ingest, lifecycle, reports
+from tidewatch.operators import actions, classify, ingest, lifecycle, reports, seen
 from tidewatch.operators.store import Store
 from tidewatch.session import new_folder, spread, table
-from tidewatch.sources import listings
+from tidewatch.schemas import TABLES
+from tidewatch.sources import hooks, listings, outbox
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,13 +39,23 @@ def big(column) -> F.Column:
 # --- pieces of SQL ------------------------------------------------------------------------
 
 
+def _stem_sql(word: str) -> str:
+    """The rule of stems written out for RE2, apart from the engine's own patterns."""
+    cut = 2 if len(word) > 5 else 1 if len(word) > 3 else 0
+    return word[: len(word) - cut] + r"[\p{L}\p{N}_]*"
+
+
+def _pattern_sql(keyword: str) -> str:
+    return r"(^|[^\p{L}\p{N}_])" + r"[\s\p{Z}]+".join(map(_stem_sql, keyword.split()))
+
+
 def sql_any(words, text: str = "low") -> str:
-    """Whether a lower-cased text holds any keyword; the patterns are the engine's, read by another engine."""
-    return "(" + " OR ".join(f"regexp_matches({text}, '{textmatch.keyword_pattern(w)}')" for w in words) + ")" if words else "false"
+    """Whether a lower-cased text holds any keyword."""
+    return "(" + " OR ".join(f"regexp_matches({text}, '{_pattern_sql(w)}')" for w in words) + ")" if words else "false"
 
 
 def sql_found(words, text: str = "low") -> str:
-    return "concat_ws(', ', " + ", ".join(f"CASE WHEN regexp_matches({text}, '{textmatch.keyword_pattern(w)}') THEN '{w}' END" for w in words) + ")"
+    return "concat_ws(', ', " + ", ".join(f"CASE WHEN regexp_matches({text}, '{_pattern_sql(w)}') THEN '{w}' END" for w in words) + ")"
 
 
 _EVENT = "CASE " + " ".join(f"WHEN {sql_any(C.events[e])} THEN '{e}'" for e in EVENT_ORDER) + " ELSE 'review' END"
@@ -135,13 +148,7 @@ def q08_category_priority(spark, sf_dir):
 _KEYWORDS = [(g, w) for g, words in (*C.situations.items(), ("topic", C.topic), ("markers", C.markers), ("high", C.high), *C.events.items()) for w in words]
 
 
-def _stem_sql(word: str) -> str:
-    """The rule of stems written out for RE2, apart from the engine's own patterns."""
-    cut = 2 if len(word) > 5 else 1 if len(word) > 3 else 0
-    return word[: len(word) - cut] + r"[\p{L}\p{N}_]*"
-
-
-_KEYWORDS_SQL = "(VALUES " + ", ".join(f"('{g}', '{w}', '" + r"(^|[^\p{L}\p{N}_])" + r"[\s\p{Z}]+".join(map(_stem_sql, w.split())) + "')" for g, w in _KEYWORDS) + ") p(grp, keyword, pattern)"
+_KEYWORDS_SQL = "(VALUES " + ", ".join(f"('{g}', '{w}', '{_pattern_sql(w)}')" for g, w in _KEYWORDS) + ") p(grp, keyword, pattern)"
 
 
 @query(f"SELECT grp, keyword, count(low) AS n FROM {_KEYWORDS_SQL} LEFT JOIN (SELECT lower(text) AS low FROM documents) d ON regexp_matches(low, pattern) GROUP BY grp, keyword")
@@ -621,3 +628,38 @@ def q57_applied(spark, sf_dir):
 def q58_outbox(spark, sf_dir):
     """What the batches handed to the next agent."""
     return _acts(spark, sf_dir).read("outbox")
+
+
+@query(_ACTS + "SELECT s.sid AS signal_id, measure_id, s.link AS npa_link FROM s JOIN o ON o.sid = s.sid WHERE good AND wanted = 'sent_to_agent'")
+def q61_delivered(spark, sf_dir):
+    """The outbox of all batches as the next agent finds it: delivered by the sink, one batch twice."""
+    store, folder = _acts(spark, sf_dir), new_folder(spark, "delivered")
+    for batch in (*store.batches("outbox"), 4):
+        outbox.deliver(spark.read.schema(TABLES["outbox"]).parquet(store.path("outbox", batch)), folder, batch)
+    return outbox.delivered(spark, folder, TABLES["outbox"])
+
+
+def _anchors(html: str) -> list[tuple[str, str]]:
+    return re.findall(r'<a href="([^"]*)">([^<]*)</a>', html)
+
+
+@query("""SELECT page_id, CAST(k - 1 AS INTEGER) AS ord, l.href, l.said FROM (SELECT page_id, unnest(a) AS l, generate_subscripts(a, 1) AS k FROM
+  (SELECT page_id, list_transform(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), lambda x: regexp_extract(x, '<a href="([^"]*)">([^<]*)</a>', ['href', 'said'])) AS a FROM pages))""")
+def q60_page_links(spark, sf_dir):
+    """The links of all pages, by a reader of one's own as a table function."""
+    hooks.register_reader(spark, "page_links", _anchors, "href string, said string")
+    return hooks.read_with(spark, "page_links", spread(table(spark, sf_dir, "pages").select("page_id", "html"))).select("page_id", "ord", "href", "said")
+
+
+@query("""SELECT DISTINCT user_id || '/' || k AS doc_url FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, ts FROM events) e WHERE ts >= TIMESTAMP '2024-01-05'
+  AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-05' AND s.user_id = e.user_id AND CAST(json_extract_string(s.props, '$.k') AS INTEGER) = e.k)""")
+def q62_unseen_by_filters(spark, sf_dir):
+    """Addresses that none of the stored days before has, told by the days' filters first."""
+    url = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.get_json_object("props", "$.k"))
+    rows = table(spark, sf_dir, "events").select(url.alias("doc_url"), F.to_utc_timestamp(F.col("ts").cast("timestamp_ntz").cast("timestamp"), "UTC").alias("at"))
+    store = Store(spark, new_folder(spark, "seen"))
+    day = lambda k: F.lit(f"2024-01-{k:02}").cast("timestamp")
+    for batch in range(1, 5):
+        part = rows.where((F.col("at") < day(batch + 1)) & (F.col("at") >= day(batch) if batch > 1 else F.lit(True))).select("doc_url").distinct()
+        store.write(batch, {"documents_seen": part, "seen_filters": seen.bloom_rows(part, "doc_url", part.count())})
+    return seen.unseen(store, rows.where(F.col("at") >= day(5)).select("doc_url").distinct(), "doc_url")

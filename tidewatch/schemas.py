@@ -10,6 +10,7 @@ TABLES = {
     "signal_categories": "signal_id bigint, category string",
     "status_history": "id bigint, signal_id bigint, from_status string, to_status string, changed_at timestamp, changed_by string, reason string",
     "documents_seen": "id bigint, source_key string, doc_url string, first_seen_at timestamp, signal_id bigint",
+    "seen_filters": "bits bigint, bucket bigint, bitmap binary",
     "run_counters": "source_key string, ok boolean, new_signals bigint, duplicates bigint, irrelevant bigint, error string",
     "sources_state": "source_key string, last_success_at timestamp, last_seen_publication_date date",
     "outbox": "signal_id bigint, measure_id string, npa_link string",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from tidewatch.catalog import TRANSITIONS, Catalog
@@ -57,3 +58,51 @@ def status_stream(requests: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["signal_id", "from_status", "to_status", "at", "reason", "accepted"])
 
     return requests.groupBy("signal_id").applyInPandasWithState(step, "signal_id long, from_status string, to_status string, at timestamp, reason string, accepted boolean", "status string", "append", "NoTimeout")
+
+
+class Overdue(StatefulProcessor):
+    """For each signal its latest status, and a timer at which it has been in progress for too long."""
+
+    def __init__(self, wait: dt.timedelta):
+        self.wait = wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "status string, at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.latest.get() if self.latest.exists() else None
+        newest = before
+        for part in rows:
+            row = part.sort_values(["at", "status"]).iloc[-1]
+            if newest is None or (row["at"], row["status"]) >= (pd.Timestamp(newest[1]), newest[0]):
+                newest = (row["status"], row["at"].to_pydatetime())
+        if newest != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.latest.update(newest)
+            if newest[0] == "in_progress":
+                self.handle.registerTimer(_millis(newest[1] + self.wait))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, at = self.latest.get()
+        if status == "in_progress":
+            yield pd.DataFrame({"signal_id": [key[0]], "since": [pd.Timestamp(at)]})
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(moment: dt.datetime) -> int:
+    return int((moment.replace(tzinfo=dt.timezone.utc) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) / dt.timedelta(milliseconds=1))
+
+
+def reminders(changes: DataFrame, wait: dt.timedelta = dt.timedelta(days=3), lateness: str = "0 seconds") -> DataFrame:
+    """signal_id, since: one reminder for each stay in progress that lasts longer than ``wait`` by the stream's own time, from status changes (signal_id, status, at).
+
+    Timers fire when the watermark passes them, so the result depends on the rows alone, not on when the job runs. State is one row for each signal; it
+    needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    timed = changes.withWatermark("at", lateness)
+    return timed.groupBy("signal_id").transformWithStateInPandas(Overdue(wait), "signal_id long, since timestamp", "append", "EventTime")
