@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import seen
+from tests.test_pipeline_parts import GOOD, LISTED, RU
+from tidewatch.operators import ingest, seen
 from tidewatch.operators.store import Store
 from tidewatch.sources import hooks, outbox
 from tidewatch.streaming import jobs
@@ -87,3 +89,41 @@ def test_the_sink_delivers_each_batch_once(spark, tmp_path):
     with pytest.raises(Exception):
         outbox.deliver(broken, folder, 9)
     assert read() == want and not (tmp_path / "out" / "batches" / "9.json").exists()
+
+
+def test_a_streamed_run_equals_a_run(spark, tmp_path):
+    """Pages in micro-batches, with stale rows, gaps, copies across sources, and a restart in the middle."""
+    rng = random.Random(4)
+    names = ["tass.ru", "ria.ru", "rg.ru", "garant.ru"]
+    files, rows = [], []
+    for k, name in enumerate(names):
+        for page in range(1, 8):
+            if (name, page) == ("rg.ru", 3):
+                continue  # an empty page: what comes after it counts no more
+            age = lambda: rng.choice([None, 1, 2, 3] + ([30] if name == "ria.ru" and page == 2 else []))  # noqa: E731,B023
+            part = [(name, k, page, o, rng.choice([GOOD, "О погоде"]), f"https://tass.ru/{rng.randint(0, 60)}", None if (a := age()) is None else NOW - dt.timedelta(days=a), None) for o in range(6)]
+            files.append(part)
+            rows += part
+    sources = spark.createDataFrame([(n, n != "garant.ru") for n in names], "source_key string, ok boolean")
+    old = spark.createDataFrame([("https://tass.ru/1",), ("https://tass.ru/2",)], "doc_url string")
+    domains = spark.createDataFrame([(d,) for d in RU.domains()], "domain string")
+    stores = [Store(spark, f"{tmp_path}/{n}") for n in "ab"]
+    for store in stores:
+        store.write(1, {"documents_seen": old})
+    whole, streamed = stores
+    whole.save_run(2, ingest.ingest(spark.createDataFrame(rows, LISTED), sources, whole.state(2), old, domains, RU, F.lit(NOW)))
+    half = len(files) // 2
+    for part in (files[:half], files[half:]):
+        for f in part:
+            spark.createDataFrame(f, LISTED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(LISTED).option("maxFilesPerTrigger", 9).parquet(f"{tmp_path}/in")
+        query = jobs.ingest_stream(stream, streamed, 2, sources, RU, F.lit(NOW), f"{tmp_path}/check")
+        query.awaitTermination(200)
+        assert query.exception() is None
+    told = lambda s: {r.source_key: (r.n, r.d, r.i) for r in s.read("run_counters").groupBy("source_key").agg(F.sum("new_signals").alias("n"), F.sum("duplicates").alias("d"), F.sum("irrelevant").alias("i")).collect()}
+    urls = lambda s, t, c: sorted(r[0] for r in s.read(t).select(c).collect())
+    assert told(streamed) == told(whole)
+    assert urls(streamed, "signals", "source_url") == urls(whole, "signals", "source_url") and urls(streamed, "documents_seen", "doc_url") == urls(whole, "documents_seen", "doc_url")
+    assert {r.source_key: r.last_success_at for r in streamed.state().collect()} == {n: NOW for n in names if n != "garant.ru"}
+    ended = {r.source_key for r in streamed.read("progress").where("ended").collect()}
+    assert {"ria.ru", "rg.ru"} <= ended

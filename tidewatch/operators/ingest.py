@@ -35,11 +35,13 @@ def prefix_stop_by_bound(rows: DataFrame, key: str, order: Column, stale: Column
     return rows.join(bound, key, "left").where(F.col("bound__").isNull() | (order < F.col("bound__"))).drop("bound__")
 
 
-def contiguous_pages(rows: DataFrame, cap: int = PAGE_CAP) -> DataFrame:
-    """Pages 1 .. cap without a gap: an empty page ends the listing."""
+def contiguous_pages(rows: DataFrame, cap: int = PAGE_CAP, after: DataFrame | None = None) -> DataFrame:
+    """Pages 1 .. cap without a gap: an empty page ends the listing. after (source_key, last_page): pages that were taken before."""
     w = Window.partitionBy("source_key").orderBy("page")
-    pages = rows.where(F.col("page").between(1, cap)).select("source_key", "page").distinct().withColumn("rank__", F.row_number().over(w))
-    return rows.join(pages.where("rank__ = page").drop("rank__"), ["source_key", "page"], "left_semi")
+    pages = rows.where(F.col("page").between(1, cap)).select("source_key", "page").distinct()
+    pages = pages.withColumn("last_page", F.lit(0)) if after is None else pages.join(after.select("source_key", "last_page"), "source_key", "left").withColumn("last_page", F.coalesce("last_page", F.lit(0)))
+    ranked = pages.where("page > last_page").withColumn("rank__", F.row_number().over(w))
+    return rows.join(ranked.where("rank__ + last_page = page").select("source_key", "page"), ["source_key", "page"], "left_semi")
 
 
 def first_wins(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
@@ -66,14 +68,14 @@ def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def ingest(listed: DataFrame, sources: DataFrame, state: DataFrame, seen: DataFrame, domains: DataFrame, catalog: Catalog, now: Column, keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows) -> dict[str, DataFrame]:
+def ingest(listed: DataFrame, sources: DataFrame, state: DataFrame, seen: DataFrame, domains: DataFrame, catalog: Catalog, now: Column, keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows, after: DataFrame | None = None) -> dict[str, DataFrame]:
     """One run over listed publications (source_key, source_ord, page, ord, title, url, published_at, summary).
 
     sources: source_key, ok (whether the listing could be read), and error if there is one. Returns signals, seen (new), counters and state.
-    keep(name, rows) may store the two results that all of these are made of.
+    keep(name, rows) may store the two results that all of these are made of. after: as in ``contiguous_pages``, for listings that come in parts.
     """
     known = window_start(sources, state, now)
-    rows = contiguous_pages(listed).join(known.select("source_key", "since", "ok"), "source_key")
+    rows = contiguous_pages(listed, after=after).join(known.select("source_key", "since", "ok"), "source_key")
     place = F.struct("page", "ord")
     live = prefix_stop_by_bound(rows, "source_key", place, is_stale(F.col("published_at"), F.col("since")))
     good = keep("allowed", allowed(live, domains).drop("host", "since", "ok"))

@@ -112,7 +112,7 @@ class Store:
             "run_counters": run["counters"],
             "sources_state": run["state"],
         }
-        self.write(batch, tables | {"seen_filters": run[n] for n in ("seen_filters",) if n in run})
+        self.write(batch, tables | {n: run[n] for n in ("seen_filters", "progress") if n in run})
 
     def totals(self) -> DataFrame:
         """How many source runs went well, and the signals they made."""

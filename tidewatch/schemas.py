@@ -13,6 +13,7 @@ TABLES = {
     "seen_filters": "bits bigint, bucket bigint, bitmap binary",
     "run_counters": "source_key string, ok boolean, new_signals bigint, duplicates bigint, irrelevant bigint, error string",
     "sources_state": "source_key string, last_success_at timestamp, last_seen_publication_date date",
+    "progress": "source_key string, last_page int, ended boolean",
     "outbox": "signal_id bigint, measure_id string, npa_link string",
     "verdicts": "request_id bigint, user_id bigint, signal_id bigint, to_status string, at timestamp, accepted boolean, from_status string, error string",
 }

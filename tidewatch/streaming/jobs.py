@@ -6,15 +6,17 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from tidewatch.catalog import TRANSITIONS, Catalog
 from tidewatch.operators.classify import classify
-from tidewatch.operators.ingest import is_stale
+from tidewatch.operators.ingest import contiguous_pages, ingest, is_stale, window_start
 from tidewatch.operators.lifecycle import REASONED
+from tidewatch.operators.seen import bloom_rows, seen_with
+from tidewatch.operators.store import Store
 
 
 def new_publications(stream: DataFrame, catalog: Catalog, since: str | None = None, lateness: str = "0 seconds") -> DataFrame:
@@ -39,6 +41,38 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, then: Callable[
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_stream(listed: DataFrame, store: Store, first: int, sources: DataFrame, catalog: Catalog, now: Column, checkpoint: str) -> StreamingQuery:
+    """One run over a stream of publications that come page after page (in the shape of ``ingest``), as the batches ``first`` and on.
+
+    What a run has to remember of each source is stored with each micro-batch: its last page, and whether it met its first stale row or a gap; later rows of an ended
+    source are dropped. Windows are those before the run. A micro-batch reads what the batches before it stored and replaces its own,
+    so a restart from the checkpoint repeats nothing. The first of equal addresses is the first to come.
+    """
+    spark = store.spark
+
+    def step(rows: DataFrame, number: int) -> None:
+        batch = first + number
+        path = f"{store.root}/captured/batch={batch}"
+
+        def keep(name: str, part: DataFrame) -> DataFrame:
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.schema(part.schema).parquet(f"{path}/{name}")
+
+        told = store.with_batch("progress", batch).where(F.col("batch") >= first)
+        before = told.groupBy("source_key").agg(F.max("last_page").alias("last_page"), F.max("ended").alias("ended"))
+        live = keep("listed", rows.join(before.where("ended"), "source_key", "left_anti"))
+        taken = contiguous_pages(live, after=before)
+        since = window_start(sources, store.state(first), now).select("source_key", "since")
+        reached = taken.join(since, "source_key").groupBy("source_key").agg(F.max("page").alias("last_page"), F.max(is_stale(F.col("published_at"), F.col("since"))).alias("stale"))
+        gaps = live.groupBy("source_key").agg(F.max("page").alias("seen_page"))
+        progress = gaps.join(reached, "source_key", "left").select("source_key", "last_page", (F.coalesce("stale", F.lit(False)) | (F.col("seen_page") > F.coalesce("last_page", F.lit(0)))).alias("ended"))
+        domains = spark.createDataFrame([(d,) for d in catalog.domains()], "domain string")
+        made = ingest(live, sources, store.state(first), seen_with(store, live, "url", batch), domains, catalog, now, keep, before)
+        store.save_run(batch, made | {"seen_filters": bloom_rows(made["seen"], "doc_url", made["seen"].count()), "progress": progress})
+
+    return listed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def status_stream(requests: DataFrame) -> DataFrame:
     """signal_id, to_status, at, reason (in order per signal) to the accepted and refused requests with the status before each.
 
