@@ -98,7 +98,7 @@ def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str, text: str = "te
     placed = lower.select("key", F.posexplode(tokens(F.col("lower"))).alias("place", "t")).select("key", "place", "t.before", "t.token")
     steps = keyword_steps(keywords)
     lengths = [r.n for r in steps.select(F.length("token").alias("n")).distinct().collect()]  # at most the length of a word
-    vocabulary = placed.select("token").distinct()
+    vocabulary = lower.select(F.explode(F.regexp_extract_all("lower", F.lit(WORD), F.lit(0))).alias("token")).distinct()
     prefixes = vocabulary.select("token", F.explode(F.array(*[F.when(F.length("token") >= n, F.left("token", F.lit(n))) for n in lengths] or [F.lit(None).cast("string")])).alias("prefix")).where("prefix IS NOT NULL")
     wanted = prefixes.join(steps.withColumnRenamed("token", "prefix"), "prefix").where("NOT whole OR token = prefix")
     met = placed.join(wanted.withColumnRenamed("before", "needs").drop("prefix", "whole"), "token")
