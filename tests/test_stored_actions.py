@@ -126,7 +126,7 @@ def test_actions_are_stored_and_repeatable(spark, tmp_path):
 KEYWORDS = [("a", "ветеран боевых действий"), ("a", "сво"), ("b", "доброволец"), ("b", "Указ"), ("c", "ветеран-афганец"), ("c", "новый"), ("c", "закон о выплатах"), ("d", "the"), ("d", "inval")]
 
 
-def test_the_keyword_index_equals_the_patterns(spark):
+def test_the_keyword_index_equals_the_patterns(spark, monkeypatch):
     rng = random.Random(9)
     pool = "ветеранам ветеран боевых действий действия сво своих доброволец добровольцы указан указ ветеран-афганцам афганец ветеран - новая новых закон законы о выплатах выплата the then inval инвалид _указ 2указ".split()
     texts = [rng.choice(["", " "]) + "".join(rng.choice(pool) + rng.choice([" ", "  ", " ", "\n", ", ", "-", "."]) for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None, ""]
@@ -135,6 +135,8 @@ def test_the_keyword_index_equals_the_patterns(spark):
     pattern = lambda k: textmatch.keyword_pattern(k).replace(r"[^\p{L}\p{N}_]", r"[^\w]").replace(r"[\p{L}\p{N}_]*", r"\w*").replace(r"[\s\p{Z}]+", r"\s+")
     want = {(i, g, k) for i, t in enumerate(texts) if t for g, k in KEYWORDS if re.search(pattern(k), t.lower())}
     assert {tuple(r) for r in textmatch.keyword_hits(d, words, "id").collect()} == want and len(want) > 300
+    monkeypatch.setattr(textmatch, "FEW_WORDS", 0)  # the other join
+    assert {tuple(r) for r in textmatch.keyword_hits(d, words, "id").collect()} == want
     counts = {(g, k): sum((g, k) == x[1:] for x in want) for g, k in KEYWORDS}
     assert {(r.grp, r.keyword): r.n for r in classify.keyword_counts(d, words, "id").collect()} == counts
 

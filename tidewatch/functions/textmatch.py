@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import kept
+
 LEFT = r"(?:^|[^\p{L}\p{N}_])"
 TAIL = r"[\p{L}\p{N}_]*"
 GAP = r"[\s\p{Z}]+"
@@ -87,6 +89,10 @@ def keyword_steps(keywords: DataFrame) -> DataFrame:
     return steps.select("grp", "keyword", F.size("all").alias("steps"), F.posexplode("all").alias("step", "s")).select("grp", "keyword", "steps", "step", "s.token", "s.whole", "s.before")
 
 
+#: Rows of wanted words (a word, a keyword and a step each) that are sent to all executors; some 100 bytes each.
+FEW_WORDS = 200_000
+
+
 def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, grp, keyword of the keywords (grp, keyword) that each row's text holds, for a table of keywords of any size.
 
@@ -101,7 +107,9 @@ def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str, text: str = "te
     vocabulary = lower.select(F.explode(F.regexp_extract_all("lower", F.lit(WORD), F.lit(0))).alias("token")).distinct()
     prefixes = vocabulary.select("token", F.explode(F.array(*[F.when(F.length("token") >= n, F.left("token", F.lit(n))) for n in lengths] or [F.lit(None).cast("string")])).alias("prefix")).where("prefix IS NOT NULL")
     wanted = prefixes.join(steps.withColumnRenamed("token", "prefix"), "prefix").where("NOT whole OR token = prefix")
-    met = placed.join(wanted.withColumnRenamed("before", "needs").drop("prefix", "whole"), "token")
+    wanted = kept(wanted.withColumnRenamed("before", "needs").drop("prefix", "whole"), "wanted")
+    # few distinct words begin with the stems of a usual table: they go to the texts; else the words of the texts are shuffled to them
+    met = placed.join(F.broadcast(wanted) if wanted.count() <= FEW_WORDS else wanted, "token")
     space = F.col("before").rlike(r"^[\s\p{Z}]+$")
     fits = met.where((F.col("step") == 0) | F.when(F.col("needs").isNull(), space).otherwise(F.col("before") == F.col("needs")))
     at_one = fits.groupBy("key", "grp", "keyword", "steps", (F.col("place") - F.col("step")).alias("start")).agg(F.count_distinct("step").alias("met"))
