@@ -285,6 +285,91 @@ def test_small_pieces_and_buckets(spark, monkeypatch):
     assert got == sorted([(len(twice[0][1]), len(base[2])), (len(base[3]), 0), (len(base[2]), 0), (len(twice[3][1]), len(twice[3][1]))])
 
 
+def brute_owners(strings, owner):
+    best = {}
+    for x, o in zip(strings, owner, strict=True):
+        for k in range(len(x) - 49):
+            best[x[k : k + 50]] = min(o, best.get(x[k : k + 50], o))
+    return [best[x[k : k + 50]] for x in strings for k in range(len(x) - 49)]
+
+
+def shard_of_contexts(texts):
+    """Distinct contexts of texts (owner, bytes) as a shard has them: string, smallest owner, anchor, its place."""
+    held = {}
+    for o, raw in texts:
+        for a, f, n, lead in zip(*suffix_dedup.contexts(np.frombuffer(raw, np.uint8)), strict=True):
+            x = raw[f : f + n + 49]
+            held[x] = (min(o, held[x][0]) if x in held else o, a >> np.uint64(16), lead)
+    strings = list(held)
+    owner, anchor, lead = (np.array([held[x][k] for x in strings]) for k in range(3))
+    offset = np.concatenate([[0], np.cumsum([len(x) - 49 for x in strings])])
+    return strings, owner.astype(np.int64), anchor.astype(np.uint64), lead.astype(np.int64), offset
+
+
+@pytest.mark.parametrize("seed,piece", [(1, 1 << 20), (2, 400), (3, 150), (4, 2000)])
+def test_least_owners(seed, piece, monkeypatch):
+    """Later contexts streamed through indexes of earlier ones, with ties of owners, split anchors and portions."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = random.Random(seed)
+    base = bytes(rng.choice(b"abcdef ") for _ in range(160))
+    texts = []
+    for _ in range(80):
+        x = bytearray(base[rng.randint(0, 60) : rng.randint(115, 160)])
+        for _ in range(rng.randint(0, 3)):
+            x[rng.randrange(len(x))] = rng.choice(b"xyz")
+        texts.append((rng.randint(0, 40), bytes(x)))
+    strings, owner, anchor, lead, offset = shard_of_contexts(texts)
+    flat = suffix_dedup.least_owners(suffix_dedup.units(anchor, lead, strings, owner), strings, owner, offset)
+    assert flat.tolist() == brute_owners(strings, owner)
+
+
+def test_statistics_decide(monkeypatch):
+    """Streamed contexts aren't in the index: most windows fall short of a full match, and without the statistics the answer is another."""
+    rng = np.random.default_rng(6)
+    middle = bytes(rng.integers(97, 123, 30, dtype=np.uint8))
+    texts = [(k, bytes(rng.integers(97, 123, 40, dtype=np.uint8)) + middle + bytes(rng.integers(97, 123, 40, dtype=np.uint8))) for k in range(60)]
+    strings, owner, anchor, lead, offset = shard_of_contexts(texts + [(100, texts[7][1][5:]), (101, texts[9][1])])
+    want = brute_owners(strings, owner)
+    lengths = []
+    statistics = RunIndex.statistics
+
+    def told(self, patterns):
+        out = statistics(self, patterns)
+        lengths.extend(out[0].tolist())
+        return out
+
+    groups = suffix_dedup.units(anchor, lead, strings, owner)
+    monkeypatch.setattr(RunIndex, "statistics", told)
+    assert suffix_dedup.least_owners(groups, strings, owner, offset).tolist() == want
+    assert min(lengths) < 16 and sum(n == 50 for n in lengths) < len(lengths) / 2
+
+    def blind(self, patterns):
+        length, *rest = statistics(self, patterns)
+        return np.full_like(length, 50), *rest
+
+    monkeypatch.setattr(RunIndex, "statistics", blind)
+    assert suffix_dedup.least_owners(groups, strings, owner, offset).tolist() != want
+
+
+def test_hot_anchor(monkeypatch):
+    """One string of 16 bytes in 20,000 different contexts of as many documents: it is split, and no index outgrows its bound by much."""
+    rng = np.random.default_rng(8)
+    low = min((bytes(rng.integers(97, 123, 16, dtype=np.uint8)) for _ in range(50_000)), key=lambda x: int(suffix_dedup.hashes(np.frombuffer(x, np.uint8), 16)[0]))
+    texts = [(k, bytes(rng.integers(97, 123, 34, dtype=np.uint8)) + low + bytes(rng.integers(97, 123, 34, dtype=np.uint8))) for k in range(19_000)]
+    texts += [(30_000 + k, texts[k][1][: 60 + k % 20] + b"-" * 30) for k in range(1000)]
+    strings, owner, anchor, lead, offset = shard_of_contexts(texts)
+    sizes = []
+    made = suffix_dedup.RunIndex
+    monkeypatch.setattr(suffix_dedup, "RunIndex", lambda own, *a: sizes.append(sum(map(len, own))) or made(own, *a))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 16)
+    assert max(np.unique(anchor, return_counts=True)[1]) > 15_000
+    flat = suffix_dedup.least_owners(suffix_dedup.units(anchor, lead, strings, owner), strings, owner, offset)
+    assert flat.tolist() == brute_owners(strings, owner)
+    assert max(sizes) < 2 << 16
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_run_index(seed):
     import random

@@ -58,8 +58,11 @@ class Scratch:
         """Remove the files behind a table from keep() that nothing needs any more."""
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/tidewatch/" in name:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.drop_path(name)
+
+    def drop_path(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -12,9 +12,10 @@ anchor in a row, with their bytes, are its context (``WINDOW`` bytes plus some).
    stand in several documents.
 2. The distinct contexts of these anchors go to shards by anchor, each once for a bucket, with the smallest and largest id there. So a passage that
    every document has costs a shard one entry for each bucket, not for each document.
-3. A shard builds run-length indexes (``run_index``) over its distinct contexts, whole anchors at a time and about ``PIECE`` bytes each, streams every distinct context
-   through its index, and where the matching statistics reach ``WINDOW`` bytes takes the smallest id of the strings that hold the match. An anchor with more bytes than
-   that is split by the half windows beside it: a window has at least half of its other bytes on one side of its anchor.
+3. A shard takes the contexts of each anchor by owner, the smallest id that has one, and halves them: run-length indexes (``run_index``) of about ``PIECE`` bytes hold the
+   earlier halves of many anchors, the later halves are streamed through them, and where the matching statistics reach ``WINDOW`` bytes the window belongs to the
+   smallest owner of the strings that hold the match. What matches all the way is done; the halves are halved again until single contexts are left. An anchor with
+   more bytes than ``PIECE`` is split by the half windows beside it (a window has at least half of its other bytes on one side of its anchor); what is still larger is indexed in portions.
 4. A bucket is told the smallest id of every window of its contexts that another document may have first, and cuts its documents.
 
 Texts are dealt once, into a table bucketed by document, and join the lists of steps 2 and 4 in place. A task
@@ -136,22 +137,19 @@ def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(values[at[0]]), at
 
 
-def pieces(anchor: np.ndarray, place: np.ndarray, strings: list[bytes]) -> Iterator[np.ndarray]:
-    """The contexts in groups for one index each: whole anchors, about PIECE bytes; a larger anchor by the half windows on either side of it.
+def units(anchor: np.ndarray, place: np.ndarray, strings: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
+    """The contexts in groups such that two with a window in common are in one together, each by owner: an anchor's, or where those
+    have over PIECE bytes, the ones that agree on the half window on one side of it.
 
-    An anchor with one context is in none: it shares no window with another string.
-
-    Two contexts with a window in common are in a group together: they have the anchor in common, and with it at least half of the window's
-    other bytes on one side.
+    A window has its anchor and at least half of its other bytes on one side. Contexts of one owner have nothing to learn from each other.
     """
     size = np.fromiter(map(len, strings), np.int64, len(strings))
-    order = np.argsort(anchor, kind="stable")
+    order = np.lexsort((owner, anchor))
     cuts = np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[:1]] ^ np.uint64(1)))
     held = np.add.reduceat(size[order], cuts) if len(cuts) else np.zeros(0, np.int64)
-    groups = np.split(order, cuts[1:]) if len(order) else []
     half = (WINDOW - K + 1) // 2
-    packed_groups, total = [], 0
-    for group, n in zip(groups, held.tolist(), strict=True):
+    out = []
+    for group, n in zip(np.split(order, cuts[1:]) if len(order) else [], held.tolist(), strict=True):
         if len(group) < 2:
             continue
         parts = [group]
@@ -164,14 +162,53 @@ def pieces(anchor: np.ndarray, place: np.ndarray, strings: list[bytes]) -> Itera
                 if len(x) >= p + K + half:
                     sides.setdefault(b">" + x[p : p + K + half], []).append(i)
             parts = [np.array(v) for v in sides.values()]
-        for part in parts:
-            packed_groups.append(part)
-            total += int(size[part].sum())
+        out += [u for u in parts if owner[u[0]] < owner[u[-1]]]
+    return out
+
+
+def in_portions(at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Contexts cut where another PIECE of their bytes begins."""
+    total = np.cumsum(size[at])
+    return np.split(at, np.flatnonzero(np.diff(total // PIECE)) + 1) if total[-1] > PIECE else [at]
+
+
+def batches_of(halves: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What to index, about PIECE bytes, and what to stream through it: each earlier half, in portions, with its later half."""
+    early, late, total = [], [], 0
+    for first, second in halves:
+        for portion in in_portions(first, size):
+            early.append(portion)
+            late.append(second)
+            total += int(size[portion].sum())
             if total >= PIECE:
-                yield np.unique(np.concatenate(packed_groups))
-                packed_groups, total = [], 0
-    if packed_groups:
-        yield np.unique(np.concatenate(packed_groups))
+                yield np.unique(np.concatenate(early)), np.unique(np.concatenate(late))
+                early, late, total = [], [], 0
+    if early:
+        yield np.unique(np.concatenate(early)), np.unique(np.concatenate(late))
+
+
+def least_owners(groups: list[np.ndarray], strings: list[bytes], owner: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """The smallest owner of each window of each context (those of context k are offset[k] .. offset[k + 1]).
+
+    Of each unit the contexts of larger owners are streamed through an index of those of smaller owners. Where the matching statistics reach
+    the window, the interval at hand has its smallest owner, which no later context can beat; a context that matches all the way is done
+    and stands for nothing that the index doesn't hold. Both halves then are halved again.
+    """
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    flat = np.repeat(owner, np.diff(offset))  # its own copies hold it
+    while groups:
+        halves = [(u[: len(u) // 2], u[len(u) // 2 :]) for u in groups]
+        hit = np.full(len(flat), NOBODY)
+        for early, late in batches_of(halves, size):
+            index = RunIndex([strings[i] for i in early.tolist()], owner[early], WINDOW)
+            for portion in in_portions(late, size):
+                found, start = index.earliest([strings[i] for i in portion.tolist()], NOBODY)
+                to = np.arange(start[-1]) + np.repeat(offset[portion] - start[:-1], np.diff(start))
+                hit[to] = np.minimum(hit[to], found)
+        np.minimum(flat, hit, out=flat)
+        worst = np.maximum.reduceat(hit, offset[:-1])
+        groups = [g for first, second in halves for g in (first, second[worst[second] >= owner[second[0]]]) if len(g) > 1 and owner[g[0]] < owner[g[-1]]]
+    return flat
 
 
 def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
@@ -211,10 +248,11 @@ def remove_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", wit
     name = f"tidewatch_texts_{uuid.uuid4().hex}"
     try:
         dealt_docs = docs.mapInPandas(place, "doc long, text string, part long").repartition(files, "part")
-        dealt_docs.write.format("parquet").option("compression", "zstd").bucketBy(files, "part").saveAsTable(name)
+        dealt_docs.write.format("parquet").option("compression", "zstd").bucketBy(files, "part").option("path", f"{scratch.root}/texts").saveAsTable(name)
         done = repeats_removed(spark.table(name), scratch, parts, with_text)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.drop_path(f"{scratch.root}/texts")
     return done.select(F.nullif("doc", F.lit(NO_ID)).alias(key), *done.columns[1:])
 
 
@@ -354,14 +392,7 @@ def earliest_of(pdf: pd.DataFrame) -> pd.DataFrame:
     told.clear()
     n = windows[first].astype(np.int64)
     offset = np.concatenate([[0], np.cumsum(n)])
-    flat = np.repeat(owner, n)  # its own copies hold it
-    for group in pieces(anchor[first], lead[first], strings):
-        if len(group) < 2:
-            continue
-        own = [strings[i] for i in group.tolist()]
-        found, start = RunIndex(own, owner[group], WINDOW).earliest(own, NOBODY)
-        to = np.arange(start[-1]) + np.repeat(offset[group] - start[:-1], np.diff(start))
-        flat[to] = np.minimum(flat[to], found)
+    flat = least_owners(units(anchor[first], lead[first], strings, owner), strings, owner, offset)
     low = np.minimum.reduceat(flat, offset[:-1])
     out = []
     news = np.flatnonzero(low[which] < most)
