@@ -12,10 +12,11 @@ anchor in a row, with their bytes, are its context (``WINDOW`` bytes plus some).
    stand in several documents.
 2. The distinct contexts of these anchors go to shards by anchor, each once for a bucket, with the smallest and largest id there. So a passage that
    every document has costs a shard one entry for each bucket, not for each document.
-3. A shard takes the contexts of each anchor by owner, the smallest id that has one, and halves them: run-length indexes (``run_index``) of about ``PIECE`` bytes hold the
+3. A shard takes the contexts that agree on an anchor and on the half window on one side of it (a window has at least half of its other bytes on one side of its anchor),
+   by owner, the smallest id that has one, and halves them: run-length indexes (``run_index``) of about ``PIECE`` bytes hold the
    earlier halves of many anchors, the later halves are streamed through them, and where the matching statistics reach ``WINDOW`` bytes the window belongs to the
-   smallest owner of the strings that hold the match. What matches all the way is done; the halves are halved again until single contexts are left. An anchor with
-   more bytes than ``PIECE`` is split by the half windows beside it (a window has at least half of its other bytes on one side of its anchor); what is still larger is indexed in portions.
+   smallest owner of the strings that hold the match. What matches all the way is done; the halves are halved again until single contexts are left. Halves of
+   more than ``PIECE`` bytes are indexed in portions.
 4. A bucket is told the smallest id of every window of its contexts that another document may have first, and cuts its documents.
 
 Texts are dealt once, into a table bucketed by document, and join the lists of steps 2 and 4 in place. A task
@@ -138,32 +139,29 @@ def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def units(anchor: np.ndarray, place: np.ndarray, strings: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
-    """The contexts in groups such that two with a window in common are in one together, each by owner: an anchor's, or where those
-    have over PIECE bytes, the ones that agree on the half window on one side of it.
+    """The contexts in groups such that two with a window in common are in one together, each by owner: those that agree on the anchor and on
+    the half window on one side of it.
 
-    A window has its anchor and at least half of its other bytes on one side. Contexts of one owner have nothing to learn from each other.
+    A window has its anchor and at least half of its other bytes on one side. Half windows are told apart by hashes; equal ones of different half windows only make a
+    group larger. Contexts of one owner have nothing to learn from each other.
     """
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    order = np.lexsort((owner, anchor))
-    cuts = np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[:1]] ^ np.uint64(1)))
-    held = np.add.reduceat(size[order], cuts) if len(cuts) else np.zeros(0, np.int64)
     half = (WINDOW - K + 1) // 2
-    out = []
-    for group, n in zip(np.split(order, cuts[1:]) if len(order) else [], held.tolist(), strict=True):
-        if len(group) < 2:
-            continue
-        parts = [group]
-        if n > PIECE:
-            sides: dict[bytes, list[int]] = {}
-            for i in group.tolist():
-                x, p = strings[i], int(place[i])
-                if p >= half:
-                    sides.setdefault(b"<" + x[p - half : p + K], []).append(i)
-                if len(x) >= p + K + half:
-                    sides.setdefault(b">" + x[p : p + K + half], []).append(i)
-            parts = [np.array(v) for v in sides.values()]
-        out += [u for u in parts if owner[u[0]] < owner[u[-1]]]
-    return out
+    digest = xxhash.xxh3_64_intdigest
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    before, behind = np.flatnonzero(place >= half), np.flatnonzero(size >= place + K + half)
+    sides = [digest(strings[i][p - half : p], 1) for i, p in zip(before.tolist(), place[before].tolist(), strict=True)]
+    sides += [digest(strings[i][p + K : p + K + half], 2) for i, p in zip(behind.tolist(), place[behind].tolist(), strict=True)]
+    at = np.concatenate([before, behind])
+    if not len(at):
+        return []
+    key = np.array(sides, np.uint64) ^ (anchor[at] * _M1)
+    order = np.lexsort((owner[at], key))
+    at, key = at[order], key[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    stop = np.append(head[1:], len(at))
+    several = owner[at[head]] < owner[at[stop - 1]]
+    groups = (at[a:b] for a, b in zip(head[several].tolist(), stop[several].tolist(), strict=True))
+    return list({g.tobytes(): g for g in groups}.values())  # both sides often give the same
 
 
 def in_portions(at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
