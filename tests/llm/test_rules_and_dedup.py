@@ -328,7 +328,7 @@ def test_least_owners(seed, piece, monkeypatch):
 def test_statistics_decide(monkeypatch):
     """Streamed contexts aren't in the index: most windows fall short of a full match, and without the statistics the answer is another."""
     rng = np.random.default_rng(6)
-    middle = bytes(rng.integers(97, 123, 30, dtype=np.uint8))
+    middle = bytes(rng.integers(97, 123, 45, dtype=np.uint8))
     texts = [(k, bytes(rng.integers(97, 123, 40, dtype=np.uint8)) + middle + bytes(rng.integers(97, 123, 40, dtype=np.uint8))) for k in range(60)]
     strings, owner, anchor, lead, offset = shard_of_contexts(texts + [(100, texts[7][1][5:]), (101, texts[9][1])])
     want = brute_owners(strings, owner)
