@@ -161,6 +161,30 @@ def test_many_blocks(spark, monkeypatch):
         assert (r.n_links, r.component_id) == (near[r.vec_id - 5].sum(), comp[r.vec_id - 5] + 5)
 
 
+def test_blocks_are_compared_without_a_shuffle(spark, monkeypatch):
+    plans, keep = {}, Scratch.keep
+
+    def watched(self, df):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df)
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    monkeypatch.setattr(cover_tree, "BLOCK", 20)
+    monkeypatch.setattr(cover_tree, "AT_ONCE", 2)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 3))
+    unit = cover_tree.unit(x)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    comp = part_of(150, np.argwhere(near))
+    for kind in ("double", "decimal(20,17)"):
+        d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").selectExpr("vec_id", f"cast(embedding AS array<{kind}>) AS embedding")
+        for r in cover_tree.near_vectors(d).collect():
+            assert (r.n_links, r.component_id) == (near[r.vec_id].sum(), comp[r.vec_id])
+    plan = plans["kind", "a", "b"]
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)] + [(500, k) for k in range(400, 480)]

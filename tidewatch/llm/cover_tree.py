@@ -4,8 +4,9 @@ Unit vectors at cosine c lie ``sqrt(2 - 2c)`` apart. Vectors that are equal are
 a bounded sample of the classes, cut the classes into cells by nearest pivot; every class is in a cell, and a cell
 above ``BLOCK`` classes is dealt over several blocks. Each block gets a cover tree, built once: nested nodes whose radii halve from
 level to level, with the largest distance to a member as covering radius. Two cells are compared unless the
-distance of their pivots less both radii is beyond the threshold; a pair of blocks is one task. It walks
-both trees together: child centres are compared by one matrix product, a node pair is pruned where the
+distance of their pivots less both radii is beyond the threshold. Trees are stored once, and a task reads a file of them
+for either side (a Cartesian product, which shuffles nothing), so disk grows with the vectors, whatever the number of pairs. A pair of blocks
+is compared by walking both trees together: child centres are compared by one matrix product, a node pair is pruned where the
 distance less both radii is beyond the threshold, and taken whole, without visiting its members, where the distance
 plus both radii is within it. Pruning runs in single precision with a margin; any pair that no bound decides is
 decided by its cosine in double precision. A task returns sums of links and a spanning forest, never
@@ -32,6 +33,8 @@ from tidewatch.llm.components import UnionFind, components
 COSINE = 0.95
 BLOCK = 4096
 MAX_CELLS = 512
+#: Trees in a file, about: a task holds one file of the right side.
+AT_ONCE = 8
 #: Added to every bound that is found in single precision.
 MARGIN = 2e-3
 #: The radius from which levels halve. Coarser levels prune nothing: their nodes reach further than vectors lie apart.
@@ -233,7 +236,9 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", key: str = "vec_id"
         raise ValueError("the threshold is a constant of this module")
     spark = rows.sparkSession
     scratch = Scratch(spark, "cover-tree")
-    value = F.transform(vector, lambda x: x.cast("double"))
+    # single precision stays as it is until a task compares: it is half of what tables and shuffles hold
+    kind = "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    value = F.col(vector).cast(f"array<{kind}>")
     sound = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     usable = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(key).cast("bigint").alias("id"), value.alias("v")).distinct()
     classes = scratch.keep(usable.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")).withColumn("width", F.size("v")))
@@ -259,58 +264,64 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", key: str = "vec_id"
                     cell[at], gap[at] = far.argmin(1), far.min(1)
             yield pd.DataFrame({"rep": batch["rep"], "weight": batch["weight"], "v": batch["v"], "width": batch["width"], "cell": cell, "gap": gap})
 
-    placed = scratch.keep(classes.select("rep", "weight", "v", "width").mapInPandas(assign, "rep long, weight long, v array<double>, width int, cell long, gap double"))
+    placed = scratch.keep(classes.select("rep", "weight", "v", "width").mapInPandas(assign, f"rep long, weight long, v array<{kind}>, width int, cell long, gap double"))
     # at most MAX_CELLS rows for each vector length
     cells = {(r["width"], r["cell"]): (r["n"], r["far"]) for r in placed.groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("far")).collect()}
     parts = {k: -(-n // BLOCK) for k, (n, _) in cells.items()}
-    table = spark.createDataFrame([(w, c, s) for (w, c), s in parts.items()], "width int, cell long, parts long")
-    blocks = placed.join(F.broadcast(table), ["width", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    first = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist(), strict=False))  # the number of a cell's first block
+    table = spark.createDataFrame([(w, c, s, first[w, c]) for (w, c), s in parts.items()], "width int, cell long, parts long, first long")
+    blocks = placed.join(F.broadcast(table), ["width", "cell"]).withColumn("number", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")))
     reach = float(np.sqrt(2 - 2 * cosine))
-    plan = spark.sparkContext.broadcast((cells, parts))
+    plan = spark.sparkContext.broadcast(cells)
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        tree = build(unit(np.array(pdf["v"].tolist())))
-        tree["rep"], tree["weight"] = pdf["rep"].to_numpy(), pdf["weight"].to_numpy()
-        del tree["single"]
-        w, c, p = (int(pdf[k].iloc[0]) for k in ("width", "cell", "part"))
-        return pd.DataFrame({"width": [w], "cell": [c], "part": [p], "tree": [pickle.dumps(tree)]})
-
-    trees = scratch.keep(blocks.groupBy("width", "cell", "part").applyInPandas(make, "width int, cell long, part long, tree binary"))
-
-    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, parts = plan.value
+        raw = np.array(pdf["v"].tolist())
+        tree = build(unit(raw))
+        tree["rep"], tree["weight"], tree["raw"] = pdf["rep"].to_numpy(), pdf["weight"].to_numpy(), raw
+        del tree["single"], tree["x"]
+        w, c, k = (int(pdf[name].iloc[0]) for name in ("width", "cell", "number"))
+        others = np.array(sorted(cell for width, cell in plan.value if width == w))
+        piv = held.value[w]
+        if piv is not None:
+            far = gaps(piv[others], piv[[c]])[:, 0] - np.array([plan.value[w, o][1] for o in others]) - plan.value[w, c][1]
+            others = others[far <= reach + MARGIN]
+        return pd.DataFrame({"width": [w], "cell": [c], "number": [k], "near": [others], "tree": [pickle.dumps(tree)]})
+
+    # files of about AT_ONCE trees, but enough of them that their pairs occupy all cores
+    total = sum(parts.values())
+    files = max(-(-total // AT_ONCE), min(total, int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))))
+    trees = scratch.keep(blocks.repartition(files, "width", "cell", "number").groupBy("width", "cell", "number").applyInPandas(make, "width int, cell long, number long, near array<long>, tree binary"))
+    scratch.drop(placed)
+    # each task reads the files of either side from the shared folder, so trees are stored once and nothing is shuffled; a pair's sides alternate, which evens out the tasks
+    one, two = (trees.select(*[F.col(c).alias(c + side) for c in trees.columns]) for side in "12")
+    same, sides = F.col("number1") == F.col("number2"), (F.col("number1") < F.col("number2")) == ((F.col("number1") + F.col("number2")) % 2 == 0)
+    meet = (F.col("width1") == F.col("width2")) & (same | sides) & F.array_contains("near1", F.col("cell2"))
+    pairs = one.join(two.hint("shuffle_replicate_nl"), meet).select("number1", "number2", "tree1", "tree2")
+
+    def opened(blob: bytes) -> dict:
+        tree = pickle.loads(blob)
+        tree["x"] = unit(tree.pop("raw"))
+        tree["single"] = tree["x"].astype(np.float32)
+        return tree
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, a = None, {}
         for batch in batches:
-            for w, c, p in zip(batch["width"], batch["cell"], batch["part"], strict=True):
-                others = np.array(sorted(k for width, k in parts if width == w))
-                piv = held.value[int(w)]
-                if piv is not None:
-                    far = gaps(piv[others], piv[[c]])[:, 0] - np.array([cells[w, k][1] for k in others]) - cells[w, c][1]
-                    others = others[far <= reach + MARGIN]
-                mine = (c, p)
-                keys = [(*min(mine, (k, s)), *max(mine, (k, s))) for k in others.tolist() for s in range(parts[w, k])]
-                out = pd.DataFrame(keys, columns=["c1", "p1", "c2", "p2"])
-                yield out.assign(width=w, cell=c, part=p)
-
-    pairs = trees.select("width", "cell", "part").mapInPandas(partners, "c1 long, p1 long, c2 long, p2 long, width int, cell long, part long")
-    tasks = pairs.join(trees, ["width", "cell", "part"])
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        loaded = [pickle.loads(t) for t in pdf.sort_values(["cell", "part"])["tree"]]
-        for t in loaded:
-            t["single"] = t["x"].astype(np.float32)
-        a, b = loaded[0], loaded[-1]
-        got = dual(a, b, len(loaded) == 1)
-        frames = []
-        for tree, count in ((a, got.count[0]), (b, got.count[1])):
-            hit = np.flatnonzero(count)
-            frames.append(pd.DataFrame({"kind": 0, "a": tree["rep"][hit], "b": count[hit]}))
-        if got.forest:
-            i, j = np.array(got.forest).T
-            frames.append(pd.DataFrame({"kind": 1, "a": a["rep"][i], "b": b["rep"][j]}))
-        return pd.concat(frames)
-
-    found = scratch.keep(tasks.groupBy("width", "c1", "p1", "c2", "p2").applyInPandas(compare, "kind int, a long, b long"))
+            for i, j, left, right in zip(batch["number1"], batch["number2"], batch["tree1"], batch["tree2"], strict=True):
+                if at != i:
+                    at, a = i, opened(left)
+                b = a if i == j else opened(right)
+                got = dual(a, b, i == j)
+                for tree, count in ((a, got.count[0]), (b, got.count[1])):
+                    hit = np.flatnonzero(count)
+                    yield pd.DataFrame({"kind": 0, "a": tree["rep"][hit], "b": count[hit]})
+                if got.forest:
+                    p, q = np.array(got.forest).T
+                    yield pd.DataFrame({"kind": 1, "a": a["rep"][p], "b": b["rep"][q]})
+
+    found = scratch.keep(pairs.mapInPandas(compare, "kind int, a long, b long"))
+    scratch.drop(trees)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     comps = components(found.where("kind = 1").select("a", "b"), scratch)
     done = (
@@ -319,8 +330,7 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", key: str = "vec_id"
         .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
-    ids = usable.join(done, "v").select(F.col("id"), F.col("v").alias("own"), "links", "component")
-    out = rows.select(F.col(key), value.alias("v")).join(ids, (F.col(key) == F.col("id")) & (F.col("v") == F.col("own")), "left")
+    out = rows.select(F.col(key), value.alias("own")).join(done, (F.col("own") == F.col("v")) & F.col(key).isNotNull(), "left")
     return out.select(
         key, F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(F.col("component"), F.col(key)).cast("bigint").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
