@@ -325,6 +325,17 @@ def test_least_owners(seed, piece, monkeypatch):
     assert flat.tolist() == brute_owners(strings, owner)
 
 
+def test_only_contexts_that_can_share_a_window_meet():
+    """Half a window and the anchor are no longer enough: every window has more beside its anchor."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    for shared, together in ((17, 0), (20, 0), (34, 40)):
+        same = noise(16 + shared)
+        strings = [noise(20) + same + noise(40 - shared) for _ in range(40)]
+        groups = suffix_dedup.units(np.full(40, 7, np.uint64), np.full(40, 20), strings, np.arange(40))
+        assert sum(map(len, groups)) == together
+
+
 def test_statistics_decide(monkeypatch):
     """Streamed contexts aren't in the index: most windows fall short of a full match, and without the statistics the answer is another."""
     rng = np.random.default_rng(6)

@@ -12,7 +12,7 @@ anchor in a row, with their bytes, are its context (``WINDOW`` bytes plus some).
    stand in several documents.
 2. The distinct contexts of these anchors go to shards by anchor, each once for a bucket, with the smallest and largest id there. So a passage that
    every document has costs a shard one entry for each bucket, not for each document.
-3. A shard takes the contexts that agree on an anchor and on the half window on one side of it (a window has at least half of its other bytes on one side of its anchor),
+3. A shard takes the contexts that agree on an anchor and on what windows with about as many bytes before it have in common (``CLASSES``),
    by owner, the smallest id that has one, and halves them: run-length indexes (``run_index``) of about ``PIECE`` bytes hold the
    earlier halves of many anchors, the later halves are streamed through them, and where the matching statistics reach ``WINDOW`` bytes the window belongs to the
    smallest owner of the strings that hold the match. What matches all the way is done; the halves are halved again until single contexts are left. Halves of
@@ -51,6 +51,8 @@ BUCKET = 24 << 20
 SHARD, PIECE = 8 << 20, 1 << 20
 #: Most files of the table of texts; further buckets share them.
 MOST_FILES = 50_000
+#: How many bytes a window has before its anchor, in classes (least, most).
+CLASSES = ((0, 8), (9, 16), (17, 25), (26, WINDOW - K))
 #: Windows worked on at once in a long text; places stay below 2^20.
 SLICE = 1 << 19
 
@@ -60,6 +62,7 @@ NO_ID = -(1 << 63)
 _SYMBOL = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64(0xFFFFF)
+_BESIDE = np.random.default_rng(78).integers(0, 1 << 63, (WINDOW - K, 256), dtype=np.uint64)
 #: No document holds the window.
 NOBODY = np.iinfo(np.int64).max
 
@@ -140,28 +143,32 @@ def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def units(anchor: np.ndarray, place: np.ndarray, strings: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
     """The contexts in groups such that two with a window in common are in one together, each by owner: those that agree on the anchor and on
-    the half window on one side of it.
+    what all windows of one of ``CLASSES`` have beside it.
 
-    A window has its anchor and at least half of its other bytes on one side. Half windows are told apart by hashes; equal ones of different half windows only make a
-    group larger. Contexts of one owner have nothing to learn from each other.
+    These bytes are told apart by hashes; equal ones of different bytes only make a group larger. Contexts of one owner have nothing to learn from each other.
     """
-    half = (WINDOW - K + 1) // 2
-    digest = xxhash.xxh3_64_intdigest
     size = np.fromiter(map(len, strings), np.int64, len(strings))
-    before, behind = np.flatnonzero(place >= half), np.flatnonzero(size >= place + K + half)
-    sides = [digest(strings[i][p - half : p], 1) for i, p in zip(before.tolist(), place[before].tolist(), strict=True)]
-    sides += [digest(strings[i][p + K : p + K + half], 2) for i, p in zip(behind.tolist(), place[behind].tolist(), strict=True)]
-    at = np.concatenate([before, behind])
+    raw, begin = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size
+    places, keys = [], []
+    for number, (least, most) in enumerate(CLASSES):
+        behind = WINDOW - K - most
+        own = np.flatnonzero((place >= least) & (size >= place + K + behind))
+        q = begin[own] + place[own]
+        key = anchor[own] * _M1 + np.uint64(number)
+        for k, shift in enumerate([*range(-least, 0), *range(K, K + behind)]):
+            key ^= _BESIDE[k][raw[q + shift]]
+        places.append(own)
+        keys.append(key)
+    at, key = np.concatenate(places), np.concatenate(keys)
     if not len(at):
         return []
-    key = np.array(sides, np.uint64) ^ (anchor[at] * _M1)
     order = np.lexsort((owner[at], key))
     at, key = at[order], key[order]
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     stop = np.append(head[1:], len(at))
     several = owner[at[head]] < owner[at[stop - 1]]
     groups = (at[a:b] for a, b in zip(head[several].tolist(), stop[several].tolist(), strict=True))
-    return list({g.tobytes(): g for g in groups}.values())  # both sides often give the same
+    return list({g.tobytes(): g for g in groups}.values())  # classes often give the same
 
 
 def in_portions(at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
