@@ -51,9 +51,12 @@ def with_links(requests: DataFrame, sent: DataFrame, pages: DataFrame, domains:
     text = F.trim(F.coalesce("text", F.lit("")))
     link = F.when(F.lower(text) != "skip", text)
     known = sent.withColumn("npa_link", link)
-    listed = urls.allowed(known.where("npa_link IS NOT NULL"), domains, "npa_link").select("request_id").distinct().withColumn("listed", F.lit(True))
+    # links are checked, not requests: each distinct one once
+    links = known.where("npa_link IS NOT NULL").select("npa_link").distinct()
+    listed = urls.allowed(links, domains, "npa_link").select("npa_link").distinct().withColumn("listed", F.lit(True))
     reached = pages.where("ok").select(F.col("url").alias("npa_link")).distinct().withColumn("reached", F.lit(True))
-    known = known.join(listed, "request_id", "left").join(reached, "npa_link", "left")
+    checked = links.join(listed, "npa_link", "left").join(reached, "npa_link", "left")
+    known = known.join(checked, "npa_link", "left")
     wrong = F.when(~F.col("npa_link").startswith("http"), "link").when(F.col("npa_link").isNotNull() & F.col("listed").isNull(), "domain").when(F.col("npa_link").isNotNull() & F.col("reached").isNull(), "unreachable")
     made = known.select("request_id", "user_id", "at", "signal_id", F.lit("sent_to_agent").alias("to_status"), wrong.alias("error"), "npa_link")
     return requests.unionByName(made, allowMissingColumns=True)

@@ -11,7 +11,7 @@ from tidewatch.catalog import EVENT_ORDER, STATUS_LABELS, SYNTHETIC
 from tidewatch.functions import dates, textmatch, urls
 from tidewatch.operators import actions, classify, ingest, lifecycle, reports, seen
 from tidewatch.operators.store import Store
-from tidewatch.session import new_folder, spread, table
+from tidewatch.session import kept, new_folder, spread, table
 from tidewatch.schemas import TABLES
 from tidewatch.sources import hooks, listings, outbox
 
@@ -566,6 +566,7 @@ def _acts(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")
     about = F.when(k == 0, F.col("event_id") + 100_000_000).otherwise(F.col("user_id") * 8 + k % 8)
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 7 + 10).alias("user_id"), stamp("ts").alias("at"), "event_type", k.alias("k"), about.alias("signal_id"))
+    events = kept(events, "events")  # read, with its JSON, once for all batches
     id_ = F.col("signal_id").cast("string")
     data = (
         F.when(F.col("event_type") == "view", F.format_string("sig:%s:work", id_))
@@ -578,6 +579,7 @@ def _acts(spark, sf_dir):
     said = events.where("event_type <> 'purchase'").select("request_id", "user_id", "at", data.alias("data"), F.when(F.col("k") % 3 == 1, F.format_string(" c%d ", F.col("k"))).alias("comment"))
     sent = events.where("event_type = 'purchase'").select("request_id", "user_id", "at", "signal_id", link.alias("text"))
     pages = events.select(F.format_string("http://w.a.ru/%d", F.col("k")).alias("url")).distinct().withColumn("ok", F.lit(True)).unionByName(spark.range(1).select(F.lit("http://w.a.ru/gone").alias("url"), F.lit(False).alias("ok")))
+    pages = kept(pages, "pages")
     domains = spark.createDataFrame([("a.ru",)], "domain string")
     store = Store(spark, new_folder(spark, "acts"))
     store.write(1, {"signals": signals})
