@@ -265,3 +265,15 @@ def test_mixing_keeps_columns_of_any_name(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
     mixed = mixing.mix(d, labels)
     assert mixed.columns == d.columns and mixed.count() >= 1 and mixing.core("(né!!###") == ("né", "!!###") and mixing.core("###")[0] == ""
+
+
+def test_stretches_are_decoded_in_step(monkeypatch):
+    """Many stretches together give what each gives alone, and a text's windows are decoded with one call."""
+    rng = np.random.default_rng(3)
+    mask = pii_model.allowed()
+    shares = [rng.dirichlet(np.full(pii_model.TAGS, 0.3), int(n)) for n in [1, 2, 40, 7, 7, 0, 300]]
+    assert pii_model.spans_of_all([], mask) == []
+    assert pii_model.spans_of_all(shares, mask) == [pii_model.spans_of(x, mask) for x in shares]
+    calls, whole = [], pii_model.spans_of_all
+    monkeypatch.setattr(pii_model, "spans_of_all", lambda *a: calls.append(len(a[0])) or whole(*a))
+    assert len(list(pii_model.Tagger(3).decode(["a 1.2.3.4 b" * 9, "", "x@y.zz " * 90]))) == 3 and len(calls) == 1

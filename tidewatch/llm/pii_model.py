@@ -112,7 +112,8 @@ class Tagger:
         """(time, batch) symbols to (time, TAGS, batch) scores, in single precision with the batch innermost. valid: a prefix of each column."""
         steps, n = codes.shape
         embed = np.ascontiguousarray(self.p["embed"].T, np.float32)
-        both = np.zeros((steps, 2 * HIDDEN, n), np.float32)
+        both = np.empty((steps, 2 * HIDDEN, n), np.float32)
+        full = valid.all(axis=1).tolist()
         for k, side in enumerate("fb"):
             w, b = np.ascontiguousarray(self.p["w" + side].T, np.float32), self.p["b" + side].astype(np.float32)[:, None]
             w, b = w * _SCALE, b * _SCALE + _SHIFT
@@ -130,7 +131,7 @@ class Tagger:
                 c += u
                 np.clip(c, -1, 1, out=u)
                 np.multiply(u, z[2 * HIDDEN : 3 * HIDDEN], out=h)
-                if side == "b" and not valid[t].all():  # what lies behind the end has not been read
+                if side == "b" and not full[t]:  # what lies behind the end has not been read
                     h *= valid[t]
                     c *= valid[t]
                 both[t, k * HIDDEN : (k + 1) * HIDDEN] = h
@@ -141,6 +142,7 @@ class Tagger:
         move = (self.p["move"] - self.p["move"][0, 0]).astype(np.float32)[:, :, None]
         free, begun, on = [0, *range(1, TAGS, 2)], slice(1, TAGS, 2), slice(2, TAGS, 2)
         enter, stay, go = move[:, free], move[range(1, TAGS, 2), range(2, TAGS, 2)], move[range(2, TAGS, 2), range(2, TAGS, 2)]
+        full, through = valid.all(axis=1).tolist(), np.empty((TAGS, len(free), emit.shape[2]), np.float32)
         best = np.full(emit.shape[1:], NEVER, np.float32)
         best[0] = 0
         best[begun] = emit[0, begun] - emit[0, 0]
@@ -148,9 +150,10 @@ class Tagger:
             ahead = emit[t] - emit[t, 0]
             new = np.empty_like(best)
             new[on] = np.maximum(best[begun] + stay, best[on] + go)
-            new[free] = (best[:, None] + enter).max(axis=0)
+            np.add(best[:, None], enter, out=through)
+            new[free] = through.max(axis=0)
             new += ahead
-            best = new if valid[t].all() else np.where(valid[t], new, best)
+            best = new if full[t] else np.where(valid[t], new, best)
         return best.max(axis=0) <= 0
 
     def forward_backward(self, emit: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,11 +251,14 @@ class Tagger:
                 for i, j in enumerate(asked.tolist()):
                     k, s, n = part[j]
                     loud.setdefault(k, {})[s] = marginal[:n, :, i].copy()
-        for k, c in enumerate(codes):
-            yield self.reconciled(loud[k], len(c)) if k in loud else []
-
-    def reconciled(self, loud: dict[int, np.ndarray], size: int) -> list[tuple[int, int, int, float]]:
-        """The spans of a text of that size from its windows' marginals, by start; windows that aren't given are all outside."""
+        held = {k: self.reconciled(windows, len(codes[k])) for k, windows in loud.items()}
+        spans = iter(spans_of_all([share for found in held.values() for _, share in found], self.mask))
+        tagged = {k: [(kind, x + at, y + at, sure) for at, _ in found for kind, x, y, sure in next(spans)] for k, found in held.items()}
+        for k in range(len(codes)):
+            yield tagged.get(k, [])
+
+    def reconciled(self, loud: dict[int, np.ndarray], size: int) -> list[tuple[int, np.ndarray]]:
+        """The stretches of a text of that size that aren't clearly outside: start and marginals, from its windows'; windows that aren't given are all outside."""
         found, starts = [], sorted(loud)
         while starts:
             run = [starts.pop(0)]
@@ -272,24 +278,43 @@ class Tagger:
             inside = np.flatnonzero(share[:, 0] < CLEAR)
             for part in np.split(inside, np.flatnonzero(np.diff(inside) > 4) + 1) if len(inside) else []:
                 first = max(0, int(part[0]) - 2)
-                found += [(kind, x + begin + first, y + begin + first, sure) for kind, x, y, sure in spans_of(share[first : int(part[-1]) + 3], self.mask)]
+                found.append((begin + first, share[first : int(part[-1]) + 3]))
         return found
 
 
 def spans_of(share: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, int, float]]:
     """The best allowed tag path by the product of marginals, as spans."""
-    score = np.log(share + 1e-12)
-    if not len(score):
-        return []
-    best, back = score[0] + np.where((np.arange(TAGS) % 2 == 0) & (np.arange(TAGS) > 0), NEVER, 0.0), np.zeros(score.shape, np.int64)
-    for t in range(1, len(score)):
-        through = best[:, None] + mask
-        back[t] = through.argmax(0)
-        best = through.max(0) + score[t]
-    tags = [int(best.argmax())]
-    for t in range(len(score) - 1, 0, -1):
-        tags.append(int(back[t][tags[-1]]))
-    tags.reverse()
+    return spans_of_all([share], mask)[0]
+
+
+def spans_of_all(shares: list[np.ndarray], mask: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
+    """``spans_of`` of many stretches, in step."""
+    size = np.array([len(x) for x in shares], np.int64)
+    order = np.argsort(-size, kind="stable")  # the longest first: those that are done are a tail
+    longest = int(size.max(initial=0))
+    live = np.searchsorted(-size[order], -np.arange(longest), side="left").tolist()  # sizes over each place
+    score = np.zeros((longest, len(shares), TAGS))
+    for j, i in enumerate(order.tolist()):
+        score[: size[i], j] = np.log(shares[i] + 1e-12)
+    back: list[np.ndarray] = []
+    best = score[0] + np.where((np.arange(TAGS) % 2 == 0) & (np.arange(TAGS) > 0), NEVER, 0.0) if longest else np.zeros((len(shares), TAGS))
+    for t in range(1, longest):
+        through = best[: live[t], :, None] + mask
+        back.append(through.argmax(1).astype(np.int8))
+        best[: live[t]] = through.max(1) + score[t, : live[t]]
+    tag, tags = best.argmax(1), np.zeros((len(shares), longest), np.int64)
+    for t in range(longest - 1, -1, -1):
+        tags[: live[t], t] = tag[: live[t]]
+        if t:
+            tag[: live[t]] = back[t - 1][np.arange(live[t]), tag[: live[t]]]
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in shares]
+    for j, i in enumerate(order.tolist()):
+        out[i] = spans_along(tags[j, : size[i]].tolist(), shares[i])
+    return out
+
+
+def spans_along(tags: list[int], share: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """The spans of a tag path, each with its mean marginal."""
     found, t = [], 0
     while t < len(tags):
         if tags[t] % 2:
