@@ -164,6 +164,14 @@ def test_the_keyword_index_equals_the_patterns(spark, monkeypatch):
     assert {(r.grp, r.keyword): r.n for r in classify.keyword_counts(d, words, "id").collect()} == counts
 
 
+def test_parts_of_the_keyword_index_follow_the_scan(spark):
+    words = spark.createDataFrame([("g", "рубли"), ("g", "новый закон")], "grp string, keyword string")
+    rows = spark.createDataFrame([(k, "новым законом 5 рублей" if k % 2 else "закон новый") for k in range(60)], "doc_id long, text string").repartition(20)
+    hits = textmatch.keyword_hits(rows, words, "doc_id")
+    assert hits.rdd.getNumPartitions() == 20 * textmatch.PARTS_A_SCAN
+    assert sorted((r.doc_id, r.keyword) for r in hits.collect()) == sorted((k, w) for k in range(1, 60, 2) for w in ("рубли", "новый закон"))
+
+
 def test_tables_of_keywords_need_no_nested_loop(spark, monkeypatch):
     d = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id long, text string")
     words = spark.createDataFrame([("g", "alpha"), ("g", "beta"), ("g", "gamma")], "grp string, keyword string")

@@ -91,6 +91,8 @@ def keyword_steps(keywords: DataFrame) -> DataFrame:
 
 #: Rows of wanted words (a word, a keyword and a step each) that are sent to all executors; some 100 bytes each.
 FEW_WORDS = 200_000
+#: Parts into which the hits of one of the scan's partitions are dealt.
+PARTS_A_SCAN = 4
 
 
 def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -112,5 +114,8 @@ def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str, text: str = "te
     met = placed.join(F.broadcast(wanted) if wanted.count() <= FEW_WORDS else wanted, "token")
     space = F.col("before").rlike(r"^[\s\p{Z}]+$")
     fits = met.where((F.col("step") == 0) | F.when(F.col("needs").isNull(), space).otherwise(F.col("before") == F.col("needs")))
+    # parts follow the scan's, so that a task's share of the hits stays as it is in a larger table; both groupings below find a text's hits in one part
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS_A_SCAN * lower.rdd.getNumPartitions())
+    fits = fits.select("key", "grp", "keyword", "steps", "place", "step").repartition(parts, "key")
     at_one = fits.groupBy("key", "grp", "keyword", "steps", (F.col("place") - F.col("step")).alias("start")).agg(F.count_distinct("step").alias("met"))
     return at_one.where("met = steps").select("key", "grp", "keyword").distinct().withColumnRenamed("key", key)
