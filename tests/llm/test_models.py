@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -277,3 +278,45 @@ def test_stretches_are_decoded_in_step(monkeypatch):
     calls, whole = [], pii_model.spans_of_all
     monkeypatch.setattr(pii_model, "spans_of_all", lambda *a: calls.append(len(a[0])) or whole(*a))
     assert len(list(pii_model.Tagger(3).decode(["a 1.2.3.4 b" * 9, "", "x@y.zz " * 90]))) == 3 and len(calls) == 1
+
+
+def test_bound_on_paths_leaves_few_windows(monkeypatch):
+    """The bound never calls a window quiet that isn't silent; in prose the exact path is asked for where there may be something only, for many texts at once."""
+    rng = np.random.default_rng(4)
+    shape = (12, pii_model.TAGS, 400)
+    settled = 0
+    for seed in range(6):
+        tagger, _ = toy_scores(seed)
+        emit = rng.normal(size=shape).astype(np.float32) - np.linspace(0, 5, shape[2], dtype=np.float32)
+        emit[:, 0] = 0
+        valid = np.arange(shape[0])[:, None] < rng.integers(1, shape[0] + 1, shape[2])
+        quiet, silent = tagger.quiet(emit, valid), tagger.silent(emit, valid)
+        assert not (quiet & ~silent).any()
+        settled += quiet.sum()
+    assert settled > 200
+    tagger = pii_model.trained()
+    texts = ["They met at noon and read the next chapter of the book aloud. " * 40] * 150 + ["Her number is (706) 555-3138 and she wrote it down. "] * 3
+    asked, whole = [], tagger.silent
+    monkeypatch.setattr(tagger, "silent", lambda emit, valid: asked.append(emit.shape[2]) or whole(emit, valid))
+    found = list(tagger.decode(texts))
+    windows = sum(1 for t in texts for _ in range(0, max(1, len(t) - (pii_model.WINDOW - pii_model.STRIDE)), pii_model.STRIDE))
+    assert windows > pii_model.AT_ONCE and sum(asked) < windows / 5 and len(asked) == -(-sum(asked) // pii_model.ASKED)
+    assert [f for f in found[:-3] if f] == [] and {f[0][:3] for f in found[-3:]} == {(3, 14, 28)}
+
+
+def test_relative_scores_and_windows_of_one_character():
+    tagger = pii_model.Tagger(2)
+    codes, _, valid = pii_model.pad(pii_model.labelled_samples(30, seed=9))
+    scores = tagger.emissions(codes, valid)
+    assert np.abs(scores - scores[:, :1] - tagger.emissions(codes, valid, relative=True)).max() < 1e-4
+    assert len(list(tagger.decode(["1", "", "é", "\ud800", "+" * 257]))) == 5 and list(tagger.decode([])) == []
+
+
+def test_a_long_stretch_takes_no_room_for_the_short_ones():
+    rng = np.random.default_rng(5)
+    shares = [rng.dirichlet(np.full(pii_model.TAGS, 0.3), n) for n in (4000, *[3] * 1000)]
+    tracemalloc.start()
+    got = pii_model.spans_of_all(shares, pii_model.allowed())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and got[1:] == pii_model.spans_of_all(shares[1:], pii_model.allowed())

@@ -3,7 +3,7 @@
 Gates are piecewise linear (``(z + 2) / 4`` and ``z``, clipped), which the training's gradients follow exactly.
 Training minimises the CRF's negative log likelihood of labelled spans by back-propagation through time
 (Adam). Decoding reads whole texts in overlapping windows of ``WINDOW`` characters. A window whose best tag path is all outside
-needs no more; the others get marginals from the CRF's forward-backward
+needs no more, which an upper bound on paths tells of most and the exact best path of the rest; the others get marginals from the CRF's forward-backward
 pass. A character's marginals are the mean over its windows weighted by the distance to the
 nearer window edge, and a Viterbi pass over each stretch of characters that aren't clearly outside picks the tags.
 """
@@ -21,7 +21,9 @@ SYMBOLS = 130  # ASCII, 128 any other letter, 129 anything else
 EMBED, HIDDEN = 8, 10
 WINDOW, STRIDE = 256, 208
 #: Windows worked on at once.
-AT_ONCE = 512
+AT_ONCE = 1024
+#: Windows whose best path and marginals are worked out at once, and the score within which the bound on paths leaves a window to the exact one.
+ASKED, NEAR = 256, 0.01
 #: Characters with this share of the outside tag are outside, but for two at the edges of others.
 CLEAR = 0.98
 NEVER = -1e4
@@ -108,34 +110,80 @@ class Tagger:
             d_x[t], d_h, d_c = back[:, :EMBED], back[:, EMBED:], d_c * f
         return d_x
 
-    def emissions(self, codes: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """(time, batch) symbols to (time, TAGS, batch) scores, in single precision with the batch innermost. valid: a prefix of each column."""
+    def emissions(self, codes: np.ndarray, valid: np.ndarray, relative: bool = False) -> np.ndarray:
+        """(time, batch) symbols to (time, TAGS, batch) scores, in single precision with the batch innermost; relative: less the outside tag's. valid: a prefix of each column.
+
+        A place's rows are the state before it, its character, a one for the biases and the state behind it, so each direction reads one block and writes into
+        the next place's; a step of both is taken at a time."""
         steps, n = codes.shape
         embed = np.ascontiguousarray(self.p["embed"].T, np.float32)
-        both = np.empty((steps, 2 * HIDDEN, n), np.float32)
-        full = valid.all(axis=1).tolist()
-        for k, side in enumerate("fb"):
-            w, b = np.ascontiguousarray(self.p["w" + side].T, np.float32), self.p["b" + side].astype(np.float32)[:, None]
-            w, b = w * _SCALE, b * _SCALE + _SHIFT
-            x = np.zeros((EMBED + HIDDEN, n), np.float32)
-            c, z, u = np.zeros((HIDDEN, n), np.float32), np.zeros((4 * HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
-            h, gates, g = x[EMBED:], z[: 3 * HIDDEN], z[3 * HIDDEN :]
-            for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-                np.take(embed, codes[t], axis=1, out=x[:EMBED], mode="clip")
-                np.matmul(w, x, out=z)
-                z += b
-                np.clip(gates, 0, 1, out=gates)
-                np.clip(g, -1, 1, out=g)
-                c *= z[HIDDEN : 2 * HIDDEN]
-                np.multiply(z[:HIDDEN], g, out=u)
-                c += u
-                np.clip(c, -1, 1, out=u)
-                np.multiply(u, z[2 * HIDDEN : 3 * HIDDEN], out=h)
-                if side == "b" and not full[t]:  # what lies behind the end has not been read
-                    h *= valid[t]
-                    c *= valid[t]
-                both[t, k * HIDDEN : (k + 1) * HIDDEN] = h
-        return np.matmul(np.ascontiguousarray(self.p["out"].T, np.float32), both) + self.p["bias"].astype(np.float32)[:, None]
+        ahead, char, behind = slice(0, HIDDEN), slice(HIDDEN, HIDDEN + EMBED), slice(HIDDEN + EMBED + 1, None)
+        rows = np.zeros((steps + 2, 2 * HIDDEN + EMBED + 1, n), np.float32)  # place t is rows[t + 1]
+        rows[:, HIDDEN + EMBED] = 1
+        for t in range(steps):
+            np.take(embed, codes[t], axis=1, out=rows[t + 1, char], mode="clip")
+        weights = []
+        for side in "fb":
+            w, b = self.p["w" + side].T * _SCALE, self.p["b" + side][:, None] * _SCALE + _SHIFT
+            parts = [w[:, EMBED:], w[:, :EMBED], b] if side == "f" else [w[:, :EMBED], b, w[:, EMBED:]]
+            weights.append(np.ascontiguousarray(np.concatenate(parts, axis=1), np.float32))
+        z, c, u = np.empty((2, 4 * HIDDEN, n), np.float32), np.zeros((2, HIDDEN, n), np.float32), np.empty((2, HIDDEN, n), np.float32)
+        i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        gates, full = z[:, : 3 * HIDDEN], valid.all(axis=1).tolist()
+        for t in range(steps):
+            r = steps - 1 - t
+            np.matmul(weights[0], rows[t + 1, : behind.start], out=z[0])
+            np.matmul(weights[1], rows[r + 1, HIDDEN:], out=z[1])
+            gates.clip(0, 1, out=gates)
+            g.clip(-1, 1, out=g)
+            c *= f
+            np.multiply(i, g, out=u)
+            c += u
+            c.clip(-1, 1, out=u)
+            np.multiply(u[0], o[0], out=rows[t + 2, ahead])
+            h = np.multiply(u[1], o[1], out=rows[r, behind])
+            if not full[r]:  # what lies behind the end has not been read
+                h *= valid[r]
+                c[1] *= valid[r]
+        out, bias = self.p["out"].T, self.p["bias"][:, None]
+        if relative:
+            out, bias = out - out[:1], bias - bias[:1]
+        out_f, out_b = np.ascontiguousarray(out[:, :HIDDEN], np.float32), np.concatenate([bias, out[:, HIDDEN:]], axis=1).astype(np.float32)
+        scores = np.empty((steps, TAGS, n), np.float32)
+        for t in range(0, steps, 32):  # in pieces, as the second summand takes room
+            now = scores[t : t + 32]
+            np.matmul(out_f, rows[t + 2 : t + 2 + len(now), ahead], out=now)
+            now += np.matmul(out_b, rows[t : t + len(now), HIDDEN + EMBED :])
+        return scores
+
+    def quiet(self, emit: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """Windows that are ``silent`` even if each move between tags that aren't outside scores as the best into its end, from ``relative`` scores; rounding is allowed for."""
+        move = self.p["move"] - self.p["move"][0, 0]
+        begun, on, tag = slice(1, TAGS, 2), slice(2, TAGS, 2), np.arange(1, TAGS)
+        column = lambda x: x.astype(np.float32)[:, None]
+        enter, again = column(move[0, begun]), column(move[1:, begun].max(axis=0))
+        stay, go, leave = column(move[tag[::2], tag[1::2]]), column(move[tag[1::2], tag[1::2]]), np.float32(move[1:, 0].max() + NEAR)
+        full, n = valid.all(axis=1).tolist(), emit.shape[2]
+        first, later, u, v = emit[0, begun].copy(), np.full((len(KINDS), n), NEVER, np.float32), *np.empty((2, len(KINDS), n), np.float32)
+        out, most = np.zeros(n, np.float32), np.empty(n, np.float32)
+        for t in range(1, len(emit)):
+            was = None if full[t] else (first.copy(), later.copy(), out.copy())
+            np.maximum(first, later, out=u)
+            u.max(axis=0, out=most)
+            np.add(first, stay, out=v)
+            later += go
+            np.maximum(v, later, out=later)
+            later += emit[t, on]
+            np.add(out, enter, out=first)
+            np.add(most, again, out=v)
+            np.maximum(first, v, out=first)
+            first += emit[t, begun]
+            most += leave
+            np.maximum(out, most, out=out)
+            if was:
+                for now, before in zip((first, later, out), was, strict=True):
+                    np.copyto(now, before, where=~valid[t])
+        return (out <= 0) & (np.maximum(first, later).max(axis=0) <= -NEAR)
 
     def silent(self, emit: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """Which windows have the path of outside tags only as their best one; scores are taken relative to that path."""
@@ -238,19 +286,29 @@ class Tagger:
         codes = [encode(t) for t in texts]
         cut = [(k, s, min(WINDOW, len(c) - s)) for k, c in enumerate(codes) for s in range(0, max(1, len(c) - (WINDOW - STRIDE)), STRIDE) if len(c)]
         cut.sort(key=lambda x: x[2])
+        joined, start = np.concatenate([*codes, np.full(WINDOW, 129, np.uint8)]), np.cumsum([0, *map(len, codes)])
         loud: dict[int, dict[int, np.ndarray]] = {}
+        asked: list[tuple[int, int, int, np.ndarray]] = []  # windows that the bound leaves open, with their scores
         for at in range(0, len(cut), AT_ONCE):
             part = cut[at : at + AT_ONCE]
-            batch, valid = np.full((max(n for _, _, n in part), len(part)), 129, np.uint8), np.zeros((max(n for _, _, n in part), len(part)), bool)
-            for j, (k, s, n) in enumerate(part):
-                batch[:n, j], valid[:n, j] = codes[k][s : s + n], True
-            emit = self.emissions(batch, valid)
-            asked = np.flatnonzero(~self.silent(emit, valid))
-            if len(asked):
-                marginal = self.marginals(emit[:, :, asked], valid[:, asked])
-                for i, j in enumerate(asked.tolist()):
-                    k, s, n = part[j]
-                    loud.setdefault(k, {})[s] = marginal[:n, :, i].copy()
+            places, begin = np.arange(part[-1][2])[:, None], np.array([start[k] + s for k, s, _ in part])
+            valid = places < np.array([n for _, _, n in part])
+            emit = self.emissions(np.where(valid, joined[begin + places], np.uint8(129)), valid, relative=True)
+            left = np.flatnonzero(~self.quiet(emit, valid))
+            scores = emit[:, :, left]
+            asked += [(*part[j], scores[: part[j][2], :, i]) for i, j in enumerate(left.tolist())]
+        while asked:  # many windows together, whatever batch they come from
+            part = asked[-ASKED:]
+            del asked[-ASKED:]
+            emit = np.zeros((max(n for _, _, n, _ in part), TAGS, len(part)), np.float32)
+            for i, (_, _, n, scores) in enumerate(part):
+                emit[:n, :, i] = scores
+            valid = np.arange(len(emit))[:, None] < [n for _, _, n, _ in part]
+            left = np.flatnonzero(~self.silent(emit, valid))
+            marginal = self.marginals(emit[:, :, left], valid[:, left])
+            for i, j in enumerate(left.tolist()):
+                k, s, n, _ = part[j]
+                loud.setdefault(k, {})[s] = marginal[:n, :, i].copy()
         held = {k: self.reconciled(windows, len(codes[k])) for k, windows in loud.items()}
         spans = iter(spans_of_all([share for found in held.values() for _, share in found], self.mask))
         tagged = {k: [(kind, x + at, y + at, sure) for at, _ in found for kind, x, y, sure in next(spans)] for k, found in held.items()}
@@ -291,25 +349,29 @@ def spans_of_all(shares: list[np.ndarray], mask: np.ndarray) -> list[list[tuple[
     """``spans_of`` of many stretches, in step."""
     size = np.array([len(x) for x in shares], np.int64)
     order = np.argsort(-size, kind="stable")  # the longest first: those that are done are a tail
-    longest = int(size.max(initial=0))
-    live = np.searchsorted(-size[order], -np.arange(longest), side="left").tolist()  # sizes over each place
-    score = np.zeros((longest, len(shares), TAGS))
-    for j, i in enumerate(order.tolist()):
-        score[: size[i], j] = np.log(shares[i] + 1e-12)
+    longest, size = int(size.max(initial=0)), size[order]
+    live = np.searchsorted(-size, -np.arange(longest), side="left")  # sizes over each place
+    begin, start = np.concatenate([[0], np.cumsum(live)]), np.cumsum(size) - size
+    # rows by place and then stretch, without room for places past an end; ``at`` has a stretch's rows one after another
+    at = begin[np.arange(size.sum()) - np.repeat(start, size)] + np.repeat(np.arange(len(shares)), size)
+    score, tags = np.empty((len(at), TAGS)), np.empty(len(at), np.int8)
+    if len(at):
+        score[at] = np.log(np.concatenate([shares[i] for i in order.tolist()]) + 1e-12)
+    live, begin = live.tolist(), begin.tolist()
     back: list[np.ndarray] = []
-    best = score[0] + np.where((np.arange(TAGS) % 2 == 0) & (np.arange(TAGS) > 0), NEVER, 0.0) if longest else np.zeros((len(shares), TAGS))
+    best = score[: begin[1]] + np.where((np.arange(TAGS) % 2 == 0) & (np.arange(TAGS) > 0), NEVER, 0.0) if longest else np.zeros((0, TAGS))
     for t in range(1, longest):
         through = best[: live[t], :, None] + mask
         back.append(through.argmax(1).astype(np.int8))
-        best[: live[t]] = through.max(1) + score[t, : live[t]]
-    tag, tags = best.argmax(1), np.zeros((len(shares), longest), np.int64)
+        best[: live[t]] = through.max(1) + score[begin[t] : begin[t + 1]]
+    tag = best.argmax(1)
     for t in range(longest - 1, -1, -1):
-        tags[: live[t], t] = tag[: live[t]]
+        tags[begin[t] : begin[t + 1]] = tag[: live[t]]
         if t:
             tag[: live[t]] = back[t - 1][np.arange(live[t]), tag[: live[t]]]
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in shares]
-    for j, i in enumerate(order.tolist()):
-        out[i] = spans_along(tags[j, : size[i]].tolist(), shares[i])
+    for i, first, n in zip(order.tolist(), start.tolist(), size.tolist(), strict=True):
+        out[i] = spans_along(tags[at[first : first + n]].tolist(), shares[i])
     return out
 
 
